@@ -26,12 +26,12 @@ def qa_count_profile(t: Tables) -> DataFrame:
 @query(
     "qa_node_alignment",
     "WITH n AS (SELECT h_geocode AS name FROM flows_pair UNION SELECT w_geocode FROM flows_pair)"
-    " SELECT coalesce(n.name, GEOID) AS key, CAST(n.name IS NOT NULL AS BIGINT) AS n_nodes, CAST(GEOID IS NOT NULL AS BIGINT) AS n_positions"
-    " FROM n FULL JOIN blocks ON n.name = GEOID WHERE n.name IS NULL OR GEOID IS NULL",
+    " SELECT coalesce(n.name, vec_id) AS key, CAST(n.name IS NOT NULL AS BIGINT) AS n_nodes, CAST(vec_id IS NOT NULL AS BIGINT) AS n_positions"
+    " FROM n FULL JOIN points ON n.name = vec_id WHERE n.name IS NULL OR vec_id IS NULL",
 )
 def qa_node_alignment(t: Tables) -> DataFrame:
     graph = FlowGraph.from_flows(t.flows_pair, "h_geocode", "w_geocode")
-    return q.alignment(graph.nodes_df, t.blocks, "name", "GEOID")
+    return q.alignment(graph.nodes_df, t.points, "name", "vec_id")
 
 
 @query(

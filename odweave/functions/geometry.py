@@ -106,10 +106,10 @@ def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def segments_touch(p: Column, q: Column, a: Column, b: Column) -> Column:
+def segments_touch(
+    px: Column, py: Column, qx: Column, qy: Column, ax: Column, ay: Column, bx: Column, by: Column
+) -> Column:
     """Do segments p-q and a-b share a point? Covers touching and collinear overlap."""
-    px, py, qx, qy = p["x"], p["y"], q["x"], q["y"]
-    ax, ay, bx, by = a["x"], a["y"], b["x"], b["y"]
     boxes = (
         (F.least(px, qx) <= F.greatest(ax, bx))
         & (F.least(ax, bx) <= F.greatest(px, qx))
@@ -118,8 +118,15 @@ def segments_touch(p: Column, q: Column, a: Column, b: Column) -> Column:
     )
     d1, d2 = _turn(px, py, qx, qy, ax, ay), _turn(px, py, qx, qy, bx, by)
     d3, d4 = _turn(ax, ay, bx, by, px, py), _turn(ax, ay, bx, by, qx, qy)
-    straddle = (F.signum(d1) * F.signum(d2) <= 0) & (F.signum(d3) * F.signum(d4) <= 0)
-    return boxes & straddle
+    return boxes & (F.signum(d1) * F.signum(d2) <= 0) & (F.signum(d3) * F.signum(d4) <= 0)
+
+
+def way_crosses_edge(
+    px: Column, py: Column, qx: Column, qy: Column, ax: Column, ay: Column, bx: Column, by: Column
+) -> Column:
+    """Does the way from p to q cross edge a-b? A vertex on the way belongs to one side, so it is crossed once."""
+    ends_apart = (_turn(px, py, qx, qy, ax, ay) >= 0) != (_turn(px, py, qx, qy, bx, by) >= 0)
+    return ends_apart & ((_turn(ax, ay, bx, by, px, py) >= 0) != (_turn(ax, ay, bx, by, qx, qy) >= 0))
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -12,6 +12,7 @@ from odweave.functions.text import parse_number, str_remove
 from odweave.operators.joins import join
 from odweave.operators.verbs import cols_starts_with
 from odweave.operators.windows import add_row_id, weighted_quantiles
+from odweave.session import materialize
 
 
 def unpivot(
@@ -124,27 +125,29 @@ def matrix_to_long(df: DataFrame, prefix: str, row_id: str, col_id: str, value:
     return long.withColumns({col_id: parse_number(str_remove(col_id, "^" + prefix)), row_id: parse_number(row_id)})
 
 
-def level_order(
+def level_ranks(
     df: DataFrame, col: str, by: str | None = None, reverse: bool = False, out: str | None = None, **scan
 ) -> DataFrame:
-    """Display order of a category as an integer column: alphabetical, or by the median of ``by``."""
+    """Each level of a category with its place: alphabetical, or by the median of ``by`` (missing values left out)."""
     out = out or f"{col}_ord"
-    if by is None:
-        levels, order = df.select(col).distinct(), [f"-{col}" if reverse else col]
-    else:
-        levels = join(df.select(col).distinct(), weighted_quantiles(df, by, [0.5], by=[col], out=["__mid"], **scan), by=col)
+    levels, order = df.select(col).distinct(), [f"-{col}" if reverse else col]
+    if by is not None:
+        levels = join(levels, weighted_quantiles(df, by, [0.5], by=[col], out=["__mid"], **scan), by=col)
         order = ["-__mid" if reverse else "__mid", col]
-    ranked = add_row_id(levels, order, out, **scan).select(col, out)
-    return join(df, ranked, by=col)
+    return add_row_id(levels, order, out, **scan).select(col, out)
+
+
+def level_order(
+    df: DataFrame, col: str, by: str | None = None, reverse: bool = False, out: str | None = None, **scan
+) -> DataFrame:
+    """Display order of a category as an integer column next to it."""
+    return join(df, level_ranks(df, col, by, reverse, out, **scan), by=col)
 
 
 def tile_matrix(df: DataFrame, origin: str, dest: str, value: str, weight: str, **scan) -> DataFrame:
     """Full origin x destination grid of ``value``, both axes ordered by the median weight of their flows."""
-    base = df.select(origin, dest, value, weight)
+    base = materialize(df.select(origin, dest, value, weight))
     full = complete(base, [origin, dest])
     for axis in (origin, dest):
-        order = level_order(base, axis, by=weight, out=f"{axis}_ord", **scan).select(axis, f"{axis}_ord").distinct()
-        full = join(full, order, by=axis)
+        full = join(full, level_ranks(base, axis, weight, **scan), by=axis)
     return full
-
-

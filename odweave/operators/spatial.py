@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.functions.geometry import line_segments, polygon_edges, segments_touch
+from odweave.functions.geometry import line_segments, polygon_edges, segments_touch, way_crosses_edge
 from odweave.operators.joins import By, join
 
 
@@ -39,26 +39,34 @@ def assert_srid(df: DataFrame, srid: int, geometry: str = "geometry") -> DataFra
 
 # --- polygons as cell sets -----------------------------------------------------------------------------------
 
-def _first_centre(v: Column, cell: float) -> Column:
-    """Index of the first cell whose centre is not below ``v``."""
-    return F.ceil(v / F.lit(cell) - 0.5)
+def _first_cell(v: Column, cell: float, at: float) -> Column:
+    """Index of the first cell whose reference point, ``at`` of the way through it, is not below ``v``."""
+    return F.ceil(v / F.lit(cell) - at)
+
+
+def _shape_id(geometry: str) -> Column:
+    return F.struct(F.xxhash64(geometry).alias("h"), F.hash(geometry).alias("g"))
 
 
 def polygon_cells(df: DataFrame, ids: Sequence[str], cell: float, geometry: str = "geometry") -> DataFrame:
-    """Cells (``cx``, ``cy``) inside each polygon, next to its ids.
+    """Cells (``cx``, ``cy``) whose centre lies inside each polygon, next to its ids. Copies of a polygon count once."""
+    return _filled(df, ids, cell, geometry, (0.5, 0.5)).drop("__shape")
+
 
-    Scan-line fill: every edge gives its crossing with the centre line of each grid column it spans, crossings are
+def _filled(df: DataFrame, ids: Sequence[str], cell: float, geometry: str, at: tuple[float, float]) -> DataFrame:
+    """Cells whose reference point lies inside each polygon.
+
+    Scan-line fill: every edge gives its crossing with the reference line of each grid column it spans, crossings are
     paired up per polygon and column, and each pair is filled. A polygon's edges and columns are separate rows, so
-    one large polygon spreads over tasks. Copies of a polygon count once.
+    one large polygon spreads over tasks.
     """
-    shape = F.struct(F.xxhash64(geometry).alias("h"), F.hash(geometry).alias("g"))
-    e = df.select(*ids, shape.alias("__shape"), F.posexplode(polygon_edges(geometry)).alias("__no", "__e"))
+    e = df.select(*ids, _shape_id(geometry).alias("__shape"), F.posexplode(polygon_edges(geometry)).alias("__no", "__e"))
     a, b = F.col("__e.a"), F.col("__e.b")
     flip = a["x"] > b["x"]
     e = e.select(*ids, "__shape", "__no", F.when(flip, b).otherwise(a).alias("l"), F.when(flip, a).otherwise(b).alias("r"))
-    lo, hi = _first_centre(F.col("l.x"), cell), _first_centre(F.col("r.x"), cell) - 1
+    lo, hi = _first_cell(F.col("l.x"), cell, at[0]), _first_cell(F.col("r.x"), cell, at[0]) - 1
     cols = e.filter(lo <= hi).withColumn("cx", F.explode(F.sequence(lo, hi)))
-    x = (F.col("cx") + 0.5) * F.lit(cell)
+    x = (F.col("cx") + at[0]) * F.lit(cell)
     y = F.col("l.y") + (x - F.col("l.x")) * (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     hits = cols.select(*ids, "__shape", "cx", F.struct(y.alias("y"), F.col("__no").alias("no")).alias("__hit"))
     rows = hits.groupBy(*ids, "__shape", "cx").agg(F.array_sort(F.collect_set("__hit")).alias("__hits"))
@@ -68,9 +76,9 @@ def polygon_cells(df: DataFrame, ids: Sequence[str], cell: float, geometry: str
             F.get("__hits", 2 * i)["y"].alias("y0"), F.get("__hits", 2 * i + 1)["y"].alias("y1")
         ),
     )
-    spans = rows.filter(F.size("__hits") >= 2).select(*ids, "cx", F.inline(pairs))
-    lo, hi = _first_centre(F.col("y0"), cell), _first_centre(F.col("y1"), cell) - 1
-    return spans.filter(lo <= hi).select(*ids, "cx", F.explode(F.sequence(lo, hi)).alias("cy"))
+    spans = rows.filter(F.size("__hits") >= 2).select(*ids, "__shape", "cx", F.inline(pairs))
+    lo, hi = _first_cell(F.col("y0"), cell, at[1]), _first_cell(F.col("y1"), cell, at[1]) - 1
+    return spans.filter(lo <= hi).select(*ids, "__shape", "cx", F.explode(F.sequence(lo, hi)).alias("cy"))
 
 
 def dissolve(df: DataFrame, keys: Sequence[str], cell: float, geometry: str = "geometry") -> DataFrame:
@@ -107,24 +115,42 @@ def overlay(
 
 # --- lines against polygons -----------------------------------------------------------------------------------
 
-def _segment_cells(df: DataFrame, a: Column, b: Column, cell: float) -> DataFrame:
-    """Cells a segment passes through (a hair more, never less), one row each; ``a`` and ``b`` become columns."""
-    pad = cell * 1e-6
-    s = df.withColumns({"__a": a, "__b": b})
-    x0, x1 = F.least("__a.x", "__b.x"), F.greatest("__a.x", "__b.x")
-    first, last = F.floor((x0 - pad) / cell), F.floor((x1 + pad) / cell)
-    s = s.withColumn("cx", F.explode(F.sequence(first, last)))
-    left, right = F.greatest(x0, F.col("cx") * F.lit(cell)), F.least(x1, (F.col("cx") + 1) * F.lit(cell))
-    slope = (F.col("__b.y") - F.col("__a.y")) / (F.col("__b.x") - F.col("__a.x"))
+# off-centre, so that edges drawn on round coordinates do not run through a reference point
+_REFERENCE = (0.5132719, 0.4871543)
+
+
+def _flat(segment: str, a: str, b: str) -> list[Column]:
+    """Ends of a segment struct as four columns."""
+    return [F.col(f"{segment}.{e}.{c}").alias(n + c) for e, n in (("a", a), ("b", b)) for c in "xy"]
 
-    def y_at(x: Column) -> Column:
-        return F.col("__a.y") + (x - F.col("__a.x")) * slope
 
-    steep = F.abs(F.col("__b.x") - F.col("__a.x")) <= pad
-    ylo, yhi = F.least("__a.y", "__b.y"), F.greatest("__a.y", "__b.y")
-    lo = F.when(steep, ylo).otherwise(F.greatest(ylo, F.least(y_at(left), y_at(right))))
-    hi = F.when(steep, yhi).otherwise(F.least(yhi, F.greatest(y_at(left), y_at(right))))
-    return s.withColumn("cy", F.explode(F.sequence(F.floor((lo - pad) / cell), F.floor((hi + pad) / cell))))
+def _segment_cells(df: DataFrame, ax: str, ay: str, bx: str, by: str, cell: float) -> DataFrame:
+    """Cells ``cx, cy`` a segment passes through (a hair more, never less), one row each.
+
+    Every intermediate is a column of its own: inlined into one another, the expressions make a generated method too
+    large for the JVM to compile.
+    """
+    pad = cell * 1e-6
+    a_x, a_y, b_x, b_y = F.col(ax), F.col(ay), F.col(bx), F.col(by)
+    # a nearly vertical segment has no slope and covers its whole height in each of its columns
+    slope = F.when(F.abs(b_x - a_x) > cell * 1e-3, F.try_divide(b_y - a_y, b_x - a_x))
+    s = df.withColumns({"__x0": F.least(a_x, b_x), "__x1": F.greatest(a_x, b_x), "__m": slope})
+    first, last = F.floor((F.col("__x0") - pad) / cell), F.floor((F.col("__x1") + pad) / cell)
+    s = s.withColumn("cx", F.explode(F.sequence(first, last)))
+    s = s.withColumns(
+        {
+            "__yl": a_y + (F.greatest("__x0", F.col("cx") * F.lit(cell)) - a_x) * F.col("__m"),
+            "__yr": a_y + (F.least("__x1", (F.col("cx") + 1) * F.lit(cell)) - a_x) * F.col("__m"),
+        }
+    )
+    s = s.withColumns(
+        {
+            "__lo": F.greatest(F.least(a_y, b_y), F.least("__yl", "__yr")),
+            "__hi": F.least(F.greatest(a_y, b_y), F.greatest("__yl", "__yr")),
+        }
+    )
+    rows = F.sequence(F.floor((F.col("__lo") - pad) / cell), F.floor((F.col("__hi") + pad) / cell))
+    return s.select(*df.columns, "cx", F.explode(rows).alias("cy"))
 
 
 def crosses(
@@ -138,55 +164,37 @@ def crosses(
 ) -> DataFrame:
     """Distinct (line key, polygon name) pairs that share a point. A key may own any number of line rows.
 
-    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests sit in the
-    join condition, so a candidate that fails never becomes a row.
+    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests look only at
+    polygons present in the same cell and sit in the join condition, so a candidate that fails never becomes a row.
+    Copies of a line within its key are dropped before it is cut into cells.
     """
     keys = list(keys)
     shapes = polygons.select(F.col(name).alias("__name"), F.col(geometry).alias("__poly")).distinct()
-    edges = shapes.select(
-        "__name",
-        F.struct(F.xxhash64("__poly").alias("h"), F.hash("__poly").alias("g")).alias("__shape"),
-        F.explode(polygon_edges("__poly")).alias("__e"),
-    ).select("__name", "__shape", F.col("__e.a").alias("ea"), F.col("__e.b").alias("eb"))
-
-    segments = lines.select(*keys, F.explode(line_segments(line)).alias("__s"))
-    segments = segments.select(*keys, F.col("__s.a").alias("sa"), F.col("__s.b").alias("sb"))
-    seg_cells = _segment_cells(segments, F.col("sa"), F.col("sb"), cell).select(*keys, "sa", "sb", "cx", "cy")
-    edge_cells = _segment_cells(edges, F.col("ea"), F.col("eb"), cell).select(
-        "__name", "ea", "eb", F.col("cx").alias("ex"), F.col("cy").alias("ey")
-    )
-    touching = seg_cells.join(
-        edge_cells,
-        (F.col("cx") == F.col("ex"))
-        & (F.col("cy") == F.col("ey"))
-        & segments_touch(F.col("sa"), F.col("sb"), F.col("ea"), F.col("eb")),
-    ).select(*keys, F.col("__name").alias(name))
+    edges = shapes.select("__name", _shape_id("__poly").alias("__shape"), F.explode(polygon_edges("__poly")).alias("__e"))
+    edges = _segment_cells(edges.select("__name", "__shape", *_flat("__e", "e", "f")), "ex", "ey", "fx", "fy", cell)
+    edges = edges.withColumnsRenamed({"cx": "ecx", "cy": "ecy"})
+    edge = [F.col(c) for c in ("ex", "ey", "fx", "fy")]
+    same_cell = (F.col("cx") == F.col("ecx")) & (F.col("cy") == F.col("ecy"))
 
+    parts = dissolve_lines(lines.filter(F.size(line) > 0), keys, line)
     start = F.get(line, F.lit(0))
-    starts = lines.select(*keys, start["x"].alias("px"), start["y"].alias("py")).distinct()
-    starts = starts.withColumn("cx", F.floor(F.col("px") / cell))
-    flip = F.col("ea.x") > F.col("eb.x")
-    spans = edges.select(
-        "__name", "__shape", F.when(flip, F.col("eb")).otherwise(F.col("ea")).alias("l"),
-        F.when(flip, F.col("ea")).otherwise(F.col("eb")).alias("r"),
-    )
-    spans = spans.withColumn(
-        "ex", F.explode(F.sequence(F.floor(F.col("l.x") / cell), F.floor(F.col("r.x") / cell)))
-    )
-    y = F.col("l.y") + (F.col("px") - F.col("l.x")) * F.try_divide(
-        F.col("r.y") - F.col("l.y"), F.col("r.x") - F.col("l.x")
-    )
-    above = starts.join(
-        spans,
-        (F.col("cx") == F.col("ex")) & (F.col("l.x") <= F.col("px")) & (F.col("px") < F.col("r.x")) & (y > F.col("py")),
-    )
-    inside = (
-        above.groupBy(*keys, "px", "py", "__name", "__shape")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter("__n % 2 = 1")
-        .select(*keys, F.col("__name").alias(name))
-    )
-    return touching.unionByName(inside).distinct()
+    dot = F.array(F.struct(start.alias("a"), start.alias("b")))
+    pieces = F.when(F.size(line) == 1, dot).otherwise(line_segments(line))
+    segments = parts.select(*keys, F.explode(pieces).alias("__s")).select(*keys, *_flat("__s", "a", "b"))
+    segments = _segment_cells(segments, "ax", "ay", "bx", "by", cell)
+    touch = segments_touch(*[F.col(c) for c in ("ax", "ay", "bx", "by")], *edge)
+    touching = segments.join(edges, same_cell & touch).select(*keys, F.col("__name").alias(name))
+
+    # a start lies inside a polygon if its cell's reference point does, switched once per edge between the two
+    starts = parts.select(*keys, start["x"].alias("px"), start["y"].alias("py")).distinct()
+    starts = starts.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+    filled = _filled(shapes, ["__name"], cell, "__poly", _REFERENCE).withColumnsRenamed({"cx": "ecx", "cy": "ecy"})
+    rx, ry = (F.col("cx") + _REFERENCE[0]) * F.lit(cell), (F.col("cy") + _REFERENCE[1]) * F.lit(cell)
+    switch = way_crosses_edge(F.col("px"), F.col("py"), rx, ry, *edge)
+    found = [*keys, "px", "py", "__name", "__shape"]
+    votes = starts.join(filled, same_cell).select(*found).unionAll(starts.join(edges, same_cell & switch).select(*found))
+    inside = votes.groupBy(*found).agg(F.count(F.lit(1)).alias("__n")).filter("__n % 2 = 1")
+    return touching.unionAll(inside.select(*keys, F.col("__name").alias(name))).distinct()
 
 
 def crossing_flags(

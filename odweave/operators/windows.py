@@ -70,14 +70,19 @@ def prefix_scan(
     partition_by: Sequence[str] = (),
     buckets: int | None = None,
     small_rows: int = SMALL_ROWS,
+    store: bool = True,
 ) -> DataFrame:
     """Add running sums ``{new column: summed column}`` and / or a row number in the order ``order_by``.
 
     ``-name`` sorts descending; missing values sort last. With ``partition_by`` the scan restarts per group.
-    ``buckets`` forces the bucketed plan. Sum whole numbers or decimals: both plans then agree to the last digit.
+    ``buckets`` forces the bucketed plan, 1 the plain one. Sum whole numbers or decimals: both plans then agree to
+    the last digit. The input is read in up to four passes, so it is stored first; ``store=False`` is for a table
+    that already lies in files.
     """
     totals = dict(totals or {})
     parts = list(partition_by)
+    if store and buckets != 1:
+        df = materialize(df)
     rows = None if buckets == 1 else df.count()
     if buckets is None and rows is not None and rows > small_rows:
         buckets = min(MAX_BUCKETS, max(8, ceil(rows / ROWS_PER_BUCKET)))
@@ -163,8 +168,9 @@ def add_step_id(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out
 
 def cumulative_share(df: DataFrame, col: str, tiebreak: Sequence[str], out_id: str = "id", **scan) -> DataFrame:
     """Row id, share and running share of ``col``, largest first. One missing value makes all shares missing."""
+    df = materialize(df)
     grand = df.agg(strict_sum(col)).scalar()
-    scanned = prefix_scan(df, [f"-{col}", *tiebreak], {"__run": col}, row_id=out_id, **scan)
+    scanned = prefix_scan(df, [f"-{col}", *tiebreak], {"__run": col}, row_id=out_id, store=False, **scan)
     return scanned.withColumns(
         {f"pct_{col}": F.try_divide(F.col(col), grand), f"cumulative_pct_{col}": F.try_divide(F.col("__run"), grand)}
     ).drop("__run")
@@ -191,9 +197,9 @@ def add_percent_rank(df: DataFrame, col: str, out: str = "percentile", **scan) -
 
     Only the distinct values are scanned; their ranks are joined back.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = prefix_scan(counts, [col], {"__upto": "__n"}, **scan)
-    others = df.agg(F.count(col)).scalar() - 1
+    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")))
+    ranks = prefix_scan(counts, [col], {"__upto": "__n"}, store=False, **scan)
+    others = counts.agg(F.sum("__n")).scalar() - 1
     below = F.col("__upto") - F.col("__n")
     ranks = ranks.select(col, F.when(others > 0, below / others).otherwise(F.lit(0.0)).alias(out))
     return join(df, ranks, by=col, na_matches="never")
@@ -236,7 +242,8 @@ def weighted_quantiles(
         .groupBy(*by, "__x")
         .agg(F.sum("__w").alias("__w"))
     )
-    upto = prefix_scan(counts, ["__x"], {"__upto": "__w"}, partition_by=by, **scan)
+    counts = materialize(counts)
+    upto = prefix_scan(counts, ["__x"], {"__upto": "__w"}, partition_by=by, store=False, **scan)
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("__w").alias("__n"))
         upto = join(upto, sizes, by=by)
