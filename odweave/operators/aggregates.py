@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odweave.functions.semantics import single_value, sort_keys, strict_avg, strict_sum, sum_na_rm
-from odweave.operators.joins import join, map_areas, restrict_to
+from odweave.operators.joins import join, map_areas
+from odweave.session import fits_broadcast
 
 
 def sum_by(
@@ -47,14 +48,19 @@ def summarize_flows(
     areas: DataFrame | None = None,
     area_key: str = "GEOID",
 ) -> DataFrame:
-    """Fine pairs -> coarse pairs: sum per fine pair, map both ends, sum per coarse pair, keep the wanted areas.
+    """Fine pairs -> coarse pairs; ``ends`` maps each code column to its area column.
 
-    ``ends`` maps each code column to its area column. The first sum shrinks the input of the two joins, which
-    Catalyst does not do by itself; the restriction to ``areas`` is moved onto the crosswalk side by Catalyst.
+    With a crosswalk small enough to broadcast, both ends are mapped where the flows are read and only coarse partial
+    sums are shuffled. A larger crosswalk is shuffled, so fine pairs are summed first to shrink that join's input.
+    ``areas`` restricts both ends: it is applied to the crosswalk, whose inner join then drops the other flows early.
     """
-    fine = sum_by(flows, list(ends), count, out=out)
-    coarse = sum_by(map_areas(fine, xwalk, key, level, ends), list(ends.values()), out)
-    return restrict_to(coarse, areas, list(ends.values()), area_key) if areas is not None else coarse
+    tables = dict(xwalk) if isinstance(xwalk, Mapping) else dict.fromkeys(ends, xwalk)
+    if areas is not None:
+        tables = {c: join(x, areas, by={level: area_key}, how="semi", na_matches="never") for c, x in tables.items()}
+    map_first = areas is not None or all(fits_broadcast(x.select(key, level)) for x in tables.values())
+    fine = flows if map_first else sum_by(flows, list(ends), count)
+    mapped = map_areas(fine, tables, key, level, ends, "inner" if areas is not None else "left")
+    return sum_by(mapped, list(ends.values()), count, out=out)
 
 
 def area_flows(df: DataFrame, origin: str, dest: str, count: str, area: str = "area") -> DataFrame:

@@ -85,6 +85,7 @@ def map_areas(
     key: str,
     level: str,
     roles: Mapping[str, str],
+    how: str = "left",
 ) -> DataFrame:
     """Attach the area of each end of a flow: one dimension joined once per role ``{code column: new column}``.
 
@@ -92,7 +93,7 @@ def map_areas(
     """
     for src, out in roles.items():
         table = xwalk[src] if isinstance(xwalk, Mapping) else xwalk
-        df = join(df, table.select(F.col(key).alias(src), F.col(level).alias(out)), by=src, na_matches="never")
+        df = join(df, table.select(F.col(key).alias(src), F.col(level).alias(out)), src, how, "never")
     return df
 
 

@@ -54,3 +54,10 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for one application's intermediate table; a rerun in the same application overwrites it."""
     return f"{shared_dir(spark)}/odweave/{spark.sparkContext.applicationId}/{name}"
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Is the table's estimated size under the session's broadcast threshold?"""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= threshold
