@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from odweave.operators.aggregates import mean_by
 from odweave.operators.joins import join
+from odweave.session import materialize
 
 
 def _bucket(key: Sequence[str], salt: str, n: int) -> Column:
@@ -87,8 +88,9 @@ def lm_pipeline(label: str, features: Sequence[str], scaled: Sequence[str] = ())
 
 
 def fit(df: DataFrame, label: str, features: Sequence[str], scaled: Sequence[str] = ()) -> PipelineModel:
-    numeric = df.withColumns({c: F.col(c).cast("double") for c in [label, *features]}).filter(F.col(label).isNotNull())
-    return lm_pipeline(label, features, scaled).fit(numeric)
+    """Fit the pipeline. Each stage is a pass over the training rows, so their model columns are stored once."""
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in [label, *features]]).filter(F.col(label).isNotNull())
+    return lm_pipeline(label, features, scaled).fit(materialize(numeric))
 
 
 def tidy(model: PipelineModel, df: DataFrame, features: Sequence[str], scaled: Sequence[str] = ()) -> DataFrame:
@@ -141,7 +143,7 @@ def cross_validate(
     the held-out prediction of every row per repeat. The driver sees one row of sums per resample."""
     spark = df.sparkSession
     names = [*features, label]
-    rows = df.select(*key, *[F.col(c).cast("double").alias(c) for c in names]).dropna("any", subset=names)
+    rows = materialize(df.select(*key, *[F.col(c).cast("double").alias(c) for c in names]).dropna("any", subset=names))
     centre = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
     held = folds(rows, key, v, repeats, seed)
     pairs = list(combinations_with_replacement(range(len(names)), 2))

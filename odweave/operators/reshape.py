@@ -147,7 +147,6 @@ def level_order(
 def tile_matrix(df: DataFrame, origin: str, dest: str, value: str, weight: str, **scan) -> DataFrame:
     """Full origin x destination grid of ``value``, both axes ordered by the median weight of their flows."""
     base = materialize(df.select(origin, dest, value, weight))
-    full = complete(base, [origin, dest])
-    for axis in (origin, dest):
-        full = join(full, level_ranks(base, axis, weight, **scan), by=axis)
-    return full
+    axes = [level_ranks(base, axis, weight, **scan) for axis in (origin, dest)]
+    full = join(grid(*axes), base, by=[origin, dest])
+    return full.select(origin, dest, value, weight, f"{origin}_ord", f"{dest}_ord")
