@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +17,17 @@ from odweave.operators.reshape import unnest
 _LEG = T.StructType([T.StructField("leg", T.LongType()), T.StructField("minutes", T.LongType())])
 
 
-def _legs(home: str, work: str, duration: int) -> list[dict]:
-    """Two legs; urgent homes are a bad address, pending orders have no route."""
-    if home == "1-URGENT":
-        raise ValueError("bad address")
-    if work == "P":
-        raise LookupError("no route")
-    return [{"leg": 1, "minutes": duration // 2}, {"leg": 2, "minutes": duration - duration // 2}]
+def _directions() -> Callable[[str, str, int], list[dict]]:
+    """The stand-in service. Made inside a function, it travels to the workers by value."""
+
+    def legs(home: str, work: str, duration: int) -> list[dict]:
+        if home == "1-URGENT":
+            raise ValueError("bad address")
+        if work == "P":
+            raise LookupError("no route")
+        return [{"leg": 1, "minutes": duration // 2}, {"leg": 2, "minutes": duration - duration // 2}]
+
+    return legs
 
 
 @query("udf_map", "SELECT w_tract, l_linenumber, l_partkey, CAST(length(instructions) AS BIGINT) AS n FROM steps_named")
@@ -37,7 +43,7 @@ def udf_map(t: Tables) -> DataFrame:
 )
 def udf_map2(t: Tables) -> DataFrame:
     routes = t.routes.select("w_tract", "home_address", "work_address", "duration")
-    called = e.map_rows(routes, _legs, ["home_address", "work_address", "duration"], _LEG, "legs")
+    called = e.map_rows(routes, _directions(), ["home_address", "work_address", "duration"], _LEG, "legs")
     return unnest(called.select("w_tract", "legs"), "legs")
 
 
@@ -48,7 +54,7 @@ def udf_map2(t: Tables) -> DataFrame:
 )
 def udf_possibly(t: Tables) -> DataFrame:
     routes = t.routes.select("w_tract", "home_address", "work_address", "duration")
-    called = e.possibly(routes, _legs, ["home_address", "work_address", "duration"], T.ArrayType(_LEG), "legs")
+    called = e.possibly(routes, _directions(), ["home_address", "work_address", "duration"], T.ArrayType(_LEG), "legs")
     return called.select("w_tract", "status", "error")
 
 
@@ -62,7 +68,7 @@ def udf_possibly(t: Tables) -> DataFrame:
 def enrich_with_retry(t: Tables) -> DataFrame:
     routes = t.routes.select("w_tract", "home_address", "work_address", "duration")
     done = e.enrich(
-        routes, _legs, ["home_address", "work_address", "duration"], T.ArrayType(_LEG), ["w_tract"], "legs",
+        routes, _directions(), ["home_address", "work_address", "duration"], T.ArrayType(_LEG), ["w_tract"], "legs",
         patches={"home_address": {"1-URGENT": "2-HIGH"}},
     )
     legs = F.when(F.col("legs").isNotNull(), F.size("legs"))
