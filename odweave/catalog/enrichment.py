@@ -75,20 +75,20 @@ def enrich_with_retry(t: Tables) -> DataFrame:
     return done.select("w_tract", "home_address", "status", "source_file", legs.alias("legs"))
 
 
-@query("failure_report", "SELECT CAST(sum(commuters) AS BIGINT) AS commuters FROM routes WHERE work_address = 'P'")
+@query("failure_report", "SELECT CAST(sum(CAST(floor(o_totalprice / 10000) AS BIGINT)) AS BIGINT) AS commuters FROM orders WHERE o_orderstatus = 'P'")
 def failure_report(t: Tables) -> DataFrame:
     return e.failure_report(t.route_nested, "directions", "commuters")
 
 
 @query(
     "retry_inputs",
-    "SELECT h_tract, w_tract, a.x AS h_x, b.x AS w_x, commuters FROM routes LEFT JOIN points a ON h_tract = a.vec_id"
-    " LEFT JOIN points b ON w_tract = b.vec_id WHERE work_address = 'P'",
+    "SELECT o_custkey AS h_tract, o_orderkey AS w_tract, a.x AS h_x, b.x AS w_x, CAST(floor(o_totalprice / 10000) AS BIGINT) AS commuters"
+    " FROM orders LEFT JOIN points a ON o_custkey = a.vec_id LEFT JOIN points b ON o_orderkey = b.vec_id WHERE o_orderstatus = 'P'",
 )
 def retry_inputs(t: Tables) -> DataFrame:
     _, failed = e.split_failures(t.route_nested, "directions", ["h_tract", "w_tract"])
     places = t.points.select("vec_id", point("x", "y").alias("at"))
-    flows = t.routes.select("h_tract", "w_tract", "commuters")
+    flows = t.route_nested.select("h_tract", "w_tract", "commuters")
     out = e.retry_inputs(failed, places, flows, "h_tract", "w_tract", "vec_id", "at")
     return out.select("h_tract", "w_tract", F.col("h_tract_geo.x").alias("h_x"), F.col("w_tract_geo.x").alias("w_x"), "commuters")
 

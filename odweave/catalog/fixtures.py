@@ -176,10 +176,19 @@ class Tables:
 
     @cached_property
     def route_nested(self) -> DataFrame:
-        """Routes with their steps as an array; pending orders have none, as a failed call would leave it."""
-        item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "duration", "distance")
-        lists = self.steps.groupBy(*ROUTE, "commuters").agg(F.array_sort(F.collect_list(item)).alias("directions"))
-        return lists.withColumn("directions", F.when(F.col("work_address") != "P", F.col("directions")))
+        """Orders as routes with their steps as an array, one step per priority level; a pending order has none, as a
+        failed call would leave it."""
+        price = F.floor(F.col("o_totalprice") / 10000).cast("bigint")
+        n = F.substring("o_orderpriority", 1, 1).cast("bigint")
+        steps = F.transform(
+            F.sequence(F.lit(1).cast("bigint"), n), lambda i: F.struct(i.alias("step"), (i * price).alias("duration"))
+        )
+        return self.orders.select(
+            F.col("o_custkey").alias("h_tract"),
+            F.col("o_orderkey").alias("w_tract"),
+            price.alias("commuters"),
+            F.when(F.col("o_orderstatus") != "P", steps).alias("directions"),
+        )
 
     # --- space -----------------------------------------------------------------------------------------------
     def _dim(self, i: int) -> Column:

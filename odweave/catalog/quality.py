@@ -36,7 +36,7 @@ def qa_node_alignment(t: Tables) -> DataFrame:
 
 @query(
     "qa_lost_rows",
-    "SELECT count(*) AS rows, CAST(sum(commuters) AS BIGINT) AS commuters FROM routes WHERE work_address = 'P'",
+    "SELECT count(*) AS rows, CAST(sum(CAST(floor(o_totalprice / 10000) AS BIGINT)) AS BIGINT) AS commuters FROM orders WHERE o_orderstatus = 'P'",
 )
 def qa_lost_rows(t: Tables) -> DataFrame:
     return q.lost_rows(t.route_nested, "directions", "commuters")

@@ -95,12 +95,12 @@ def uncount(t: Tables) -> DataFrame:
 
 @query(
     "unnest_steps",
-    "SELECT h_tract, w_tract, l_linenumber, l_partkey, duration FROM steps WHERE work_address <> 'P' UNION ALL"
-    " SELECT DISTINCT h_tract, w_tract, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM steps WHERE work_address = 'P'",
+    "SELECT o_custkey AS h_tract, o_orderkey AS w_tract, step, step * CAST(floor(o_totalprice / 10000) AS BIGINT) AS duration FROM orders,"
+    " LATERAL (SELECT unnest(range(1, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) + 1)) AS step) s WHERE o_orderstatus <> 'P'"
+    " UNION ALL SELECT o_custkey, o_orderkey, NULL, NULL FROM orders WHERE o_orderstatus = 'P'",
 )
 def unnest_steps(t: Tables) -> DataFrame:
-    rows = r.unnest(t.route_nested, "directions", keep_empty=True)
-    return rows.select("h_tract", "w_tract", "l_linenumber", "l_partkey", "duration")
+    return r.unnest(t.route_nested, "directions", keep_empty=True).drop("commuters")
 
 
 @query(

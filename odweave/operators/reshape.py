@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +57,21 @@ def pivot(
     return df.groupBy(*ids).agg(*[cell(n) for n in names])
 
 
-def grid(left: DataFrame, right: DataFrame, blocks: int = 64) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``. The product is the wanted result, so its size is the cost;
-    ``left`` is spread over blocks and ``right`` repeated in each, which keeps every task at 1/blocks of the product."""
-    l = left.withColumn("__block", F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int"))
-    r = right.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return l.join(r, "__block").drop("__block")
+def grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``. The product is the wanted result, so its size is the cost.
+
+    Both sides are cut into about sqrt(2 x shuffle partitions) blocks by hash and each is repeated once per block of
+    the other, which makes the blocks of the product evenly sized tasks of an equi join.
+    """
+    side = ceil(sqrt(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+
+    def block(df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(side)).cast("int")
+
+    l = left.withColumn("__row", block(left)).withColumn("__col", every)
+    r = right.withColumn("__col", block(right)).withColumn("__row", every)
+    return l.join(r, ["__row", "__col"]).drop("__row", "__col")
 
 
 def complete(df: DataFrame, cols: Sequence[str], fill: Mapping[str, object] | None = None) -> DataFrame:
@@ -102,14 +112,19 @@ def role_panel(
 
 
 def uncount(df: DataFrame, weight: str, chunk: int = 10_000) -> DataFrame:
-    """Repeat each row ``weight`` times and drop the weight. Large weights are exploded in chunks, so no row has to
-    hold an array of its full weight; rows with weight 0 or missing vanish."""
+    """Repeat each row ``weight`` times and drop the weight; rows with weight 0 or missing vanish.
+
+    A row heavier than ``chunk`` is first cut into chunks that are spread over all tasks, so neither one array nor
+    one task has to hold its full weight.
+    """
     keep = [c for c in df.columns if c != weight]
     w = F.col(weight).cast("bigint")
-    starts = F.sequence(F.lit(0).cast("bigint"), w - 1, F.lit(chunk).cast("bigint"))
-    chunks = df.filter(w > 0).select("*", F.explode(starts).alias("__start"))
-    part = F.least(w - F.col("__start"), F.lit(chunk).cast("bigint")).cast("int")
-    return chunks.select(*keep, F.explode(F.array_repeat(F.lit(1), part)).alias("__one")).drop("__one")
+    step = F.lit(chunk).cast("bigint")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    light = df.filter((w > 0) & (w <= chunk)).select(*keep, w.cast("int").alias("__n"))
+    cut = df.filter(w > chunk).select(*keep, w.alias("__w"), F.explode(F.sequence(F.lit(0).cast("bigint"), w - 1, step)).alias("__start"))
+    heavy = cut.repartition(tasks).select(*keep, F.least(F.col("__w") - F.col("__start"), step).cast("int").alias("__n"))
+    return light.unionAll(heavy).select(*keep, F.explode(F.array_repeat(F.lit(1), F.col("__n"))).alias("__one")).drop("__one")
 
 
 def unnest(df: DataFrame, col: str, keep_empty: bool = False) -> DataFrame:
