@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from odweave.functions.semantics import single_value, strict_sum
 from odweave.functions.text import patch_value, str_detect
@@ -21,9 +22,11 @@ from odweave.session import materialize
 def map_column(df: DataFrame, fn: Callable[[Any], Any], col: str, to: T.DataType | str, out: str | None = None) -> DataFrame:
     """Apply a Python function to each value of a column, in Arrow batches."""
 
-    @F.pandas_udf(to)
-    def apply(values: pd.Series) -> pd.Series:
-        return values.map(fn)
+    arrow = to_arrow_type(T._parse_datatype_string(to) if isinstance(to, str) else to)
+
+    @F.arrow_udf(to)
+    def apply(values: pa.Array) -> pa.Array:
+        return pa.array([fn(v) for v in values.to_pylist()], arrow)
 
     return df.withColumn(out or col, apply(F.col(col)))
 
@@ -33,33 +36,31 @@ def possibly(
 ) -> DataFrame:
     """Call ``fn`` on every row; an exception gives NULL with ``status`` = "failed" and the message in ``error``.
 
-    Rows stream through in Arrow batches. ``tasks`` spreads slow calls evenly, whatever the keys look like.
+    A result that does not fit the declared type counts as a failure too. Rows stream through in Arrow batches, their
+    own columns untouched; the function gets plain Python values, a missing one as None. ``tasks`` spreads slow calls
+    evenly, whatever the keys look like.
     """
     schema = T.StructType(
         [*df.schema.fields, T.StructField(out, to), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())]
     )
-    names = list(inputs)
+    names, arrow = list(inputs), to_arrow_type(to)
+
+    def call(args: tuple) -> tuple[Any, str | None]:
+        try:
+            return pa.array([fn(*args)], arrow), None
+        except Exception as exc:  # the point of this operator: no row may stop the job
+            return pa.nulls(1, arrow), f"{type(exc).__name__}: {exc}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results, errors = [], []
-            for args in batch[names].itertuples(index=False, name=None):
-                try:
-                    results.append(fn(*args))
-                    errors.append(None)
-                except Exception as exc:  # the point of this operator: no row may stop the job
-                    results.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            failed = pd.Series([e is not None for e in errors], index=batch.index)
-            yield batch.assign(
-                **{
-                    out: pd.Series(results, index=batch.index, dtype=object),
-                    "status": failed.map({True: "failed", False: "ok"}),
-                    "error": pd.Series(errors, index=batch.index, dtype=object),
-                }
-            )
-
-    return (df.repartition(tasks) if tasks else df).mapInPandas(run, schema)
+            rows = zip(*[batch.column(n).to_pylist() for n in names])
+            results, errors = zip(*[call(args) for args in rows]) if batch.num_rows else ((), ())
+            status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
+            value = pa.concat_arrays(results) if results else pa.nulls(0, arrow)
+            columns = [*batch.columns, value, status, pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out, "status", "error"])
+
+    return (df.repartition(tasks) if tasks else df).mapInArrow(run, schema)
 
 
 def map_rows(

@@ -85,6 +85,10 @@ def complete(df: DataFrame, cols: Sequence[str], fill: Mapping[str, object] | No
     return out.select(*df.columns)
 
 
+# fixed values: how the two ends of a flow are labelled
+ROLE_LABELS = ("Origin tract", "Destination tract")
+
+
 def role_panel(
     areas: DataFrame,
     df: DataFrame,
@@ -92,7 +96,7 @@ def role_panel(
     dest: str,
     col: str,
     key: str = "GEOID",
-    labels: tuple[str, str] = ("Origin tract", "Destination tract"),
+    labels: tuple[str, str] = ROLE_LABELS,
     out: str | None = None,
 ) -> DataFrame:
     """Every area once per role with the mean of ``col``; labels carry an explicit display order.

@@ -19,7 +19,7 @@ from odweave.functions.semantics import sort_keys, sort_name, strict_sum
 from odweave.operators.joins import join
 from odweave.session import materialize
 
-SMALL_ROWS = 100_000
+SMALL_ROWS = 1_000_000
 ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 4096
 _SAMPLE_PER_BUCKET = 20

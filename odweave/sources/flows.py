@@ -49,6 +49,7 @@ def read_flows(
         F.regexp_extract(name, pattern, 3).cast("int").alias("year"),
         F.regexp_extract(name, pattern, 2).alias("part"),
     )
+    flows = flows.filter(F.col("state").isin([s.lower() for s in states]))
     if partitions:
         flows = flows.repartition(partitions)
     if agg_geo == "block":
