@@ -47,11 +47,11 @@ def density(t: Tables) -> DataFrame:
 
 @query(
     "density_bandwidth",
-    "SELECT round(0.9 * least(stddev_samp(duration), (quantile_cont(duration, 0.75) - quantile_cont(duration, 0.25)) / 1.34) * pow(count(duration), -0.2), 9) AS bw,"
-    " CAST(min(duration) AS DOUBLE) AS lo, CAST(max(duration) AS DOUBLE) AS hi FROM routes",
+    "SELECT home_address, round(0.9 * least(stddev_samp(duration), (quantile_cont(duration, 0.75) - quantile_cont(duration, 0.25)) / 1.34)"
+    " * pow(count(duration), -0.2), 9) AS bw FROM routes GROUP BY 1",
 )
 def density_bandwidth(t: Tables) -> DataFrame:
-    return s.bandwidth(t.routes, "duration").withColumn("bw", F.round("bw", 9))
+    return s.bandwidth(t.routes, "duration", ["home_address"]).withColumn("bw", F.round("bw", 9))
 
 
 @query(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.operators.joins import join
 from odweave.operators.windows import weighted_quantiles
+from odweave.session import materialize
 
 
 def _range(df: DataFrame, col: str):
@@ -44,17 +45,22 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     return join(frame, counts, by="bin", na_matches="never").fillna({"count": 0})
 
 
-def bandwidth(df: DataFrame, col: str, weight: str | None = None, **scan) -> DataFrame:
-    """Rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) as a one-row table ``bw, lo, hi``."""
-    stats = df.agg(
-        F.stddev_samp(col).alias("sd"), F.count(col).alias("n"),
-        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"),
-    )
-    q = weighted_quantiles(df, col, [0.25, 0.75], out=["q1", "q3"], **scan)
-    q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
-    iqr = (q3 - q1) / 1.34
-    spread = F.when(F.least("sd", iqr) > 0, F.least("sd", iqr)).when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
-    return stats.select((spread * 0.9 * F.pow(F.col("n"), F.lit(-0.2))).alias("bw"), "lo", "hi")
+def _rule_of_thumb(sd: Column, n: Column, q1: Column, q3: Column) -> Column:
+    least = F.least(sd, (q3 - q1) / 1.34)
+    spread = F.when(least > 0, least).when(sd > 0, sd).otherwise(F.lit(1.0))
+    return spread * 0.9 * F.pow(n, F.lit(-0.2))
+
+
+def bandwidth(df: DataFrame, col: str, by: Sequence[str] = (), **scan) -> DataFrame:
+    """Rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) of each group, as column ``bw``."""
+    by = list(by)
+    stats = df.groupBy(*by).agg(F.stddev_samp(col).alias("__sd"), F.count(col).alias("__n"))
+    q = weighted_quantiles(df, col, [0.25, 0.75], by=by, out=["__q1", "__q3"], **scan)
+    if by:
+        joined = join(stats, q, by=by)
+        return joined.select(*by, _rule_of_thumb(*[F.col(c) for c in ("__sd", "__n", "__q1", "__q3")]).alias("bw"))
+    q1, q3 = (q.select(c).scalar() for c in ("__q1", "__q3"))
+    return stats.select(_rule_of_thumb(F.col("__sd"), F.col("__n"), q1, q3).alias("bw"))
 
 
 def density(
@@ -63,15 +69,11 @@ def density(
 ) -> DataFrame:
     """Gaussian kernel density at ``grid`` points over the range of the data, optionally weighted and per group.
 
-    Rows are first spread linearly over ``bins`` + 1 fixed points, so the kernel sums cost bins x grid per group
-    whatever the row count.
+    Each group has its own bandwidth unless ``bw`` is given. Rows are first spread linearly over ``bins`` + 1 fixed
+    points, so the kernel sums cost bins x grid per group whatever the row count.
     """
     by = list(by)
-    stats = bandwidth(df, col, weight, **scan) if bw is None else df.agg(
-        F.lit(bw).cast("double").alias("bw"), F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")
-    )
-    s = stats.select(F.struct("bw", "lo", "hi")).scalar()
-    lo, hi, band = s.getField("lo"), s.getField("hi"), s.getField("bw")
+    lo, hi = _range(df, col)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     step = (hi - lo) / bins
     pos = F.coalesce(F.try_divide(F.col("__x") - lo, step), F.lit(0.0))
@@ -88,11 +90,20 @@ def density(
         ),
     )
     binned = parts.groupBy(*by, "__bin").agg(F.sum("__w").alias("__w"))
-    points = binned.withColumns({"__c": lo + F.col("__bin") * step, "__band": band, "__lo": lo, "__hi": hi})
+    if bw is not None:
+        points = binned.withColumn("bw", F.lit(float(bw)))
+    elif by:
+        points = join(binned, bandwidth(df, col, by, **scan), by=by)
+    else:
+        # four flat scalar subqueries: one inside another is more than the optimizer takes
+        sd, n = df.agg(F.stddev_samp(col)).scalar(), df.agg(F.count(col)).scalar()
+        q = materialize(weighted_quantiles(df, col, [0.25, 0.75], out=["q1", "q3"], **scan))
+        points = binned.withColumn("bw", _rule_of_thumb(sd, n, q.select("q1").scalar(), q.select("q3").scalar()))
+    points = points.withColumns({"__c": lo + F.col("__bin") * step, "__lo": lo, "__hi": hi})
     points = points.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("__lo") + F.col("__i") * (F.col("__hi") - F.col("__lo")) / max(grid - 1, 1)
-    z = (F.col("__gx") - F.col("__c")) / F.col("__band")
-    kernel = F.exp(-z * z / 2) / (F.col("__band") * F.sqrt(2 * F.pi()))
+    z = (F.col("__gx") - F.col("__c")) / F.col("bw")
+    kernel = F.exp(-z * z / 2) / (F.col("bw") * F.sqrt(2 * F.pi()))
     sums = points.withColumn("__gx", x).groupBy(*by, F.col("__i").alias("i")).agg(
         F.min("__gx").alias("x"), F.sum(F.col("__w") * kernel).alias("__k"), F.sum("__w").alias("__n")
     )

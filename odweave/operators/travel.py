@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.functions.geometry import haversine_km
@@ -10,15 +12,20 @@ from odweave.functions.semantics import sort_keys
 from odweave.operators.reshape import grid
 
 
-def od_matrix(places: DataFrame, key: str = "GEOID", x: str = "lon", y: str = "lat") -> DataFrame:
-    """Distance between all pairs of the chosen places in long form. The full matrix is the result, so it is meant
+Measure = Callable[[Column, Column, Column, Column], Column]
+
+
+def od_matrix(
+    places: DataFrame, measure: Measure = haversine_km, key: str = "GEOID", x: str = "lon", y: str = "lat"
+) -> DataFrame:
+    """Travel measure (great-circle distance unless given) between all pairs of the chosen places in long form. The full matrix is the result, so it is meant
     for a short list such as the ends of the top flows."""
 
     def role(prefix: str) -> DataFrame:
         return places.select(*[F.col(c).alias(f"{prefix}_{n}") for c, n in ((key, key), (x, "x"), (y, "y"))])
 
     pairs = grid(role("origin"), role("destination"))
-    km = haversine_km(F.col("origin_x"), F.col("origin_y"), F.col("destination_x"), F.col("destination_y"))
+    km = measure(F.col("origin_x"), F.col("origin_y"), F.col("destination_x"), F.col("destination_y"))
     return pairs.select(f"origin_{key}", f"destination_{key}", km.alias("travel_km"))
 
 
