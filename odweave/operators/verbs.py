@@ -76,12 +76,6 @@ def lookup_map(df: DataFrame, key: str, mapping: Mapping[str, str | None], out:
     return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(key)))
 
 
-def key_value_rows(df: DataFrame, mapping: Mapping[str, str | None], key: str, value: str) -> DataFrame:
-    """A named vector as key/value rows next to every row of ``df``."""
-    pairs = F.array(*[F.struct(F.lit(k).alias(key), F.lit(v).cast("string").alias(value)) for k, v in mapping.items()])
-    return df.select("*", F.inline(pairs))
-
-
 def scalar(df: DataFrame, expr: str | Column) -> Column:
     """One value of a one-row table as a constant for another query (a scalar subquery, run once)."""
     return df.select(expr).scalar()
