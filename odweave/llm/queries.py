@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from odweave.llm.chat import digest, format_turns
 from odweave.llm.packing import cut, pack
+from odweave.llm.quality import assess
+from odweave.llm.quality import sql as quality_sql
 from odweave.llm.sharding import shard
 from odweave.llm.tables import table
 from odweave.llm.token_counts import token_counts
@@ -40,6 +42,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_quality_rules"] = quality_sql()
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 16)
