@@ -16,6 +16,7 @@ from odweave.llm.sharding import shard
 from odweave.llm.tables import table
 from odweave.llm.token_counts import token_counts
 from odweave.llm.token_files import read_token_files, write_token_files
+from odweave.llm.warc import read_packages, write_packages
 from odweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_packages(write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, f"warc/{uuid4().hex}")))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))
