@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from odweave.llm.chat import digest, format_turns
+from odweave.llm.language import fit, predict
 from odweave.llm.packing import cut, pack
 from odweave.llm.quality import assess
 from odweave.llm.quality import sql as quality_sql
@@ -30,6 +31,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, spark.sparkContext.broadcast(fit(docs)))
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, end_id=1)
