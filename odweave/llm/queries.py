@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from odweave.llm.chat import digest, format_turns
+from odweave.llm.decontaminate import contaminated, item_blocks
 from odweave.llm.language import fit, predict
 from odweave.llm.packing import cut, pack
 from odweave.llm.quality import assess
@@ -50,6 +51,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files)
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), item_blocks(table(spark, sf_dir, "benchmark")))
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, f"warc/{uuid4().hex}")))
