@@ -113,8 +113,9 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    return measured(docs).filter(verdict(F.col("__m"), rules)).drop("__m")
+    """The rows of ``docs`` that pass, with all their columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
+    return measured(rows).filter(verdict(F.col("__m"), rules)).select("row.*")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from odweave.llm.chat import digest, format_turns
 from odweave.llm.decontaminate import contaminated, item_blocks
+from odweave.llm.jaccard import jaccard_groups
 from odweave.llm.language import fit, predict
 from odweave.llm.packing import cut, pack
 from odweave.llm.quality import assess
@@ -32,6 +33,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
