@@ -47,7 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     costs a re-read instead of the lineage. The files live under the application's id and may go when it has ended.
     """
     path = scratch_path(df.sparkSession, f"stored/{uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
