@@ -45,11 +45,11 @@ def str_replace(t: Tables) -> DataFrame:
 
 @query(
     "case_when",
-    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'Downtown' WHEN l_returnflag = 'R' THEN 'Shadyside' END AS name FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'Centre' WHEN l_returnflag = 'R' THEN 'East side' END AS name FROM lineitem",
 )
 def case_when(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
-    name = x.case_when((flag == "A", F.lit("Downtown")), (flag == "R", F.lit("Shadyside")))
+    name = x.case_when((flag == "A", F.lit("Centre")), (flag == "R", F.lit("East side")))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", name.alias("name"))
 
 

@@ -45,11 +45,11 @@ def scan_text_multi(t: Tables) -> DataFrame:
     return read_text_table(t.spark, f"{path}/part=*", cols)
 
 
-@query("scan_head", "SELECT count(*) AS n FROM (SELECT * FROM flows_block LIMIT 100000) q")
+@query("scan_head", "SELECT count(*) AS n FROM (SELECT * FROM flows_block LIMIT 2500) q")
 def scan_head(t: Tables) -> DataFrame:
     path = t.scratch("scan_head")
     write_table(_coded(t), path, "csv", "overwrite")
-    return read_text_table(t.spark, path, n_max=100_000).agg(F.count(F.lit(1)).alias("n"))
+    return read_text_table(t.spark, path, n_max=2_500).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_typed", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")

@@ -9,6 +9,7 @@ from odweave.catalog.fixtures import Tables
 from odweave.catalog.registry import query
 from odweave.operators import stats as s
 from odweave.operators.aggregates import mean_by
+from odweave.operators.joins import map_areas
 from odweave.operators.reshape import tile_matrix
 from odweave.operators.windows import cumulative_share
 
@@ -87,12 +88,12 @@ _ORD = "(SELECT {c}, row_number() OVER (ORDER BY median(commuters), {c}) AS {c}_
 
 @query(
     "tile_matrix",
-    "WITH s AS (SELECT h_geocode AS h_tract, w_geocode AS w_tract, CAST(max(S000) AS BIGINT) AS duration, CAST(sum(S000) AS BIGINT) AS commuters FROM flows_block GROUP BY ALL)"
+    "WITH s AS (SELECT c_nationkey AS h_tract, s_nationkey AS w_tract, CAST(max(S000) AS BIGINT) AS duration, CAST(sum(S000) AS BIGINT) AS commuters"
+    " FROM flows_block JOIN customer ON h_geocode = c_custkey JOIN supplier ON w_geocode = s_suppkey GROUP BY ALL)"
     f" SELECT h.h_tract, w.w_tract, duration, commuters, h_tract_ord, w_tract_ord FROM {_ORD.format(c='h_tract')} h CROSS JOIN {_ORD.format(c='w_tract')} w"
     " LEFT JOIN s ON s.h_tract = h.h_tract AND s.w_tract = w.w_tract",
 )
 def tile_matrix_(t: Tables) -> DataFrame:
-    flows = t.flows_block.toDF("h_tract", "w_tract", "n").groupBy("h_tract", "w_tract").agg(
-        F.max("n").alias("duration"), F.sum("n").alias("commuters")
-    )
+    ends = map_areas(t.flows_block, t.crosswalk, "tabblk2010", "trct", {"h_geocode": "h_tract", "w_geocode": "w_tract"})
+    flows = ends.groupBy("h_tract", "w_tract").agg(F.max("S000").alias("duration"), F.sum("S000").alias("commuters"))
     return tile_matrix(flows, "h_tract", "w_tract", "duration", "commuters")

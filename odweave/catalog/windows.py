@@ -18,11 +18,6 @@ def win_row_number(t: Tables) -> DataFrame:
     return w.add_row_id(t.flows_pair, ["-commuters", "h_geocode", "w_geocode"])
 
 
-@query("win_row_number_buckets", f"SELECT *, row_number() OVER ({_ORDER}) AS id FROM flows_pair")
-def win_row_number_buckets(t: Tables) -> DataFrame:
-    return w.add_row_id(t.flows_pair, ["-commuters", "h_geocode", "w_geocode"], buckets=32)
-
-
 _STEP_ORDER = "PARTITION BY h_tract, w_tract ORDER BY l_linenumber, l_partkey, l_suppkey, distance"
 _STEPS = (
     "SELECT h_tract, w_tract, l_linenumber, l_partkey, l_suppkey, CAST(distance AS DOUBLE) AS distance,"
@@ -31,8 +26,8 @@ _STEPS = (
 _STEP_COLS = ["h_tract", "w_tract", "l_linenumber", "l_partkey", "l_suppkey", "distance"]
 
 
-def _step_ids(t: Tables, **scan) -> DataFrame:
-    out = w.add_step_id(t.steps.select(*_STEP_COLS), ["h_tract", "w_tract"], _STEP_COLS[2:], **scan)
+def _step_ids(t: Tables) -> DataFrame:
+    out = w.add_step_id(t.steps.select(*_STEP_COLS), ["h_tract", "w_tract"], _STEP_COLS[2:])
     return out.withColumn("distance", F.col("distance").cast("double"))
 
 
@@ -41,11 +36,6 @@ def win_row_number_group(t: Tables) -> DataFrame:
     return _step_ids(t)
 
 
-@query("win_row_number_group_buckets", _STEPS)
-def win_row_number_group_buckets(t: Tables) -> DataFrame:
-    return _step_ids(t, buckets=16)
-
-
 @query("win_percent_rank", "SELECT *, percent_rank() OVER (ORDER BY commuters) AS percentile FROM flows_pair")
 def win_percent_rank(t: Tables) -> DataFrame:
     return w.add_percent_rank(t.flows_pair, "commuters")
@@ -64,11 +54,6 @@ def win_cum_share(t: Tables) -> DataFrame:
     return w.cumulative_share(t.flows_pair, "commuters", ["h_geocode", "w_geocode"])
 
 
-@query("win_cum_share_buckets", _CUM)
-def win_cum_share_buckets(t: Tables) -> DataFrame:
-    return w.cumulative_share(t.flows_pair, "commuters", ["h_geocode", "w_geocode"], buckets=32)
-
-
 @query("top_share", f"SELECT h_geocode, w_geocode, commuters FROM ({_CUM}) q WHERE cumulative_pct_commuters <= 0.1")
 def top_share(t: Tables) -> DataFrame:
     return w.top_share(t.flows_pair, "commuters", 0.1, ["h_geocode", "w_geocode"])

@@ -45,6 +45,13 @@ def try_num(c: str | Column, to: str = "double") -> Column:
     return _col(c).try_cast(to)
 
 
+def whole(c: str | Column) -> Column:
+    """A number that must be whole, as bigint; a fraction is an error, a missing value stays missing."""
+    c = _col(c)
+    number = c.cast("double")
+    return F.when(number != F.floor(number), F.raise_error(F.lit("a weight is not a whole number"))).otherwise(c.cast("bigint"))
+
+
 def na_text(c: str | Column) -> Column:
     """Treat both the empty string and ``NA`` as missing."""
     c = _col(c)

@@ -15,7 +15,6 @@ from odweave.functions.semantics import single_value, strict_sum
 from odweave.functions.text import patch_value, str_detect
 from odweave.operators.joins import join
 from odweave.operators.reshape import flags_to_rows
-from odweave.operators.verbs import replace_rows
 from odweave.session import materialize
 
 
@@ -45,18 +44,29 @@ def possibly(
     )
     names, arrow = list(inputs), to_arrow_type(to)
 
-    def call(args: tuple) -> tuple[Any, str | None]:
+    def attempt(make: Callable[[], Any]) -> tuple[Any, str | None]:
         try:
-            return pa.array([fn(*args)], arrow), None
+            return make(), None
         except Exception as exc:  # the point of this operator: no row may stop the job
-            return pa.nulls(1, arrow), f"{type(exc).__name__}: {exc}"
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def converted(results: list[Any], errors: list[str | None]) -> tuple[pa.Array, list[str | None]]:
+        """The whole batch at once; only where that fails, each result is tried alone."""
+        try:
+            return pa.array(results, arrow), errors
+        except Exception:
+            for i, result in enumerate(results):
+                misfit = attempt(lambda: pa.array([result], arrow))[1]
+                if misfit:
+                    results[i], errors[i] = None, misfit
+            return pa.array(results, arrow), errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*[batch.column(n).to_pylist() for n in names])
-            results, errors = zip(*[call(args) for args in rows]) if batch.num_rows else ((), ())
+            called = [attempt(lambda: fn(*args)) for args in rows]
+            value, errors = converted([c[0] for c in called], [c[1] for c in called])
             status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
-            value = pa.concat_arrays(results) if results else pa.nulls(0, arrow)
             columns = [*batch.columns, value, status, pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out, "status", "error"])
 
@@ -95,13 +105,12 @@ def enrich(
     fn: Callable[..., Any],
     inputs: Sequence[str],
     to: T.DataType,
-    keys: Sequence[str],
     out: str = "steps",
     patches: Mapping[str, Mapping[object, object]] | None = None,
     retries: int = 1,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Enrich every row, then patch the inputs of the failed ones, retry them and merge.
+    """Enrich every row, then patch the inputs of the failed ones, retry them and put them in the place of the failures.
 
     ``patches`` maps an input column to ``{bad value: replacement}``. Each round is written to the shared checkpoint
     folder, so that no row is sent to the function again when its result is read. ``source_file`` tells the round.
@@ -113,7 +122,7 @@ def enrich(
             for bad, good in values.items():
                 again = again.withColumn(col, patch_value(col, bad, col, good))
         redone = materialize(possibly(again, fn, inputs, to, out, tasks).withColumn("source_file", F.lit("retried")))
-        done = replace_rows(done, redone, keys)
+        done = done.filter(F.col(out).isNotNull()).unionByName(redone)
     return done
 
 

@@ -68,19 +68,19 @@ def normalize(df: DataFrame, training: DataFrame, cols: Sequence[str]) -> DataFr
 def lm_pipeline(label: str, features: Sequence[str], scaled: Sequence[str] = ()) -> Pipeline:
     """Recipe and least squares: centre and scale ``scaled``, drop constant predictors, fit.
 
-    Rows with a missing label or predictor are left out by the assembler.
+    A row with a missing predictor gets a missing prediction.
     """
     rest = [c for c in features if c not in scaled]
     stages = []
     inputs = []
     if scaled:
         stages += [
-            VectorAssembler(inputCols=list(scaled), outputCol="__num", handleInvalid="skip"),
+            VectorAssembler(inputCols=list(scaled), outputCol="__num", handleInvalid="keep"),
             StandardScaler(inputCol="__num", outputCol="__std", withMean=True, withStd=True),
         ]
         inputs.append("__std")
     stages += [
-        VectorAssembler(inputCols=[*inputs, *rest], outputCol="__all", handleInvalid="skip"),
+        VectorAssembler(inputCols=[*inputs, *rest], outputCol="__all", handleInvalid="keep"),
         VarianceThresholdSelector(varianceThreshold=0.0, featuresCol="__all", outputCol="features"),
         LinearRegression(labelCol=label, featuresCol="features", predictionCol="pred", solver="normal"),
     ]
@@ -88,8 +88,8 @@ def lm_pipeline(label: str, features: Sequence[str], scaled: Sequence[str] = ())
 
 
 def fit(df: DataFrame, label: str, features: Sequence[str], scaled: Sequence[str] = ()) -> PipelineModel:
-    """Fit the pipeline. Each stage is a pass over the training rows, so their model columns are stored once."""
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in [label, *features]]).filter(F.col(label).isNotNull())
+    """Fit the pipeline on the rows without missing values. Each stage is a pass, so the model columns are stored once."""
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in [label, *features]]).dropna("any")
     return lm_pipeline(label, features, scaled).fit(materialize(numeric))
 
 
@@ -103,11 +103,11 @@ def tidy(model: PipelineModel, df: DataFrame, features: Sequence[str], scaled: S
 
 
 def score(model: PipelineModel, df: DataFrame, label: str, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Predictions next to the identifying columns of their row."""
+    """Predictions of all rows next to their identifying columns; NULL where a predictor is missing."""
     inputs = df.withColumns({f"__keep_{c}": F.col(c) for c in keep}).withColumns(
         {c: F.col(c).cast("double") for c in features}
     )
-    return model.transform(inputs).select(*[F.col(f"__keep_{c}").alias(c) for c in keep], F.col("pred").alias(".pred"))
+    return model.transform(inputs).select(*[F.col(f"__keep_{c}").alias(c) for c in keep], F.nanvl("pred", F.lit(None).cast("double")).alias(".pred"))
 
 
 def residuals(df: DataFrame, label: str, pred: str = ".pred", out: str = ".resid") -> DataFrame:

@@ -8,7 +8,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.functions.semantics import strict_avg
+from odweave.functions.semantics import strict_avg, whole
 from odweave.functions.text import parse_number, str_remove
 from odweave.operators.joins import join
 from odweave.operators.verbs import cols_starts_with
@@ -47,27 +47,40 @@ def endpoint_mean(
 def pivot(
     df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, names: Sequence[str], fill: object = None
 ) -> DataFrame:
-    """Rows to columns for the given names; ``fill`` goes into absent cells only, a missing value stays missing."""
+    """Rows to columns for the given names; ``fill`` goes into absent cells only, a missing value stays missing.
+
+    Two rows for one cell are an error.
+    """
 
     def cell(n: str) -> Column:
         here = F.col(names_from) == F.lit(n)
-        value = F.first(F.when(here, F.col(values_from)), ignorenulls=True)
+        twice = F.raise_error(F.lit(f"two rows for one cell of column {n}"))
+        value = F.when(F.count_if(here) > 1, twice).otherwise(F.first(F.when(here, F.col(values_from)), ignorenulls=True))
         return (value if fill is None else F.when(F.count_if(here) > 0, value).otherwise(F.lit(fill))).alias(n)
 
     return df.groupBy(*ids).agg(*[cell(n) for n in names])
 
 
+#: Rows of a side that is sent whole to the tasks of the other one.
+_SMALL_SIDE = 10_000
+
+
 def grid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of ``left`` with every row of ``right``. The product is the wanted result, so its size is the cost.
 
-    Both sides are cut into about sqrt(2 x shuffle partitions) blocks by hash and each is repeated once per block of
-    the other, which makes the blocks of the product evenly sized tasks of an equi join.
+    A side counted to be small is broadcast and nothing is shuffled. Two large sides are cut into about sqrt(2 x shuffle
+    partitions) blocks by hash and each is repeated once per block of the other, which makes the blocks of the product
+    evenly sized tasks of an equi join.
     """
-    side = ceil(sqrt(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    for side, other in ((right, left), (left, right)):
+        if side.limit(_SMALL_SIDE + 1).count() <= _SMALL_SIDE:
+            met = other.withColumn("__one", F.lit(1)).join(F.broadcast(side.withColumn("__one", F.lit(1))), "__one")
+            return met.select(*left.columns, *right.columns)
+    blocks = ceil(sqrt(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     def block(df: DataFrame) -> Column:
-        return F.pmod(F.xxhash64(*df.columns), F.lit(side)).cast("int")
+        return F.pmod(F.xxhash64(*df.columns), F.lit(blocks)).cast("int")
 
     l = left.withColumn("__row", block(left)).withColumn("__col", every)
     r = right.withColumn("__col", block(right)).withColumn("__row", every)
@@ -116,13 +129,13 @@ def role_panel(
 
 
 def uncount(df: DataFrame, weight: str, chunk: int = 10_000) -> DataFrame:
-    """Repeat each row ``weight`` times and drop the weight; rows with weight 0 or missing vanish.
+    """Repeat each row ``weight`` times and drop the weight; rows with weight 0 or missing vanish, a fraction is an error.
 
     A row heavier than ``chunk`` is first cut into chunks that are spread over all tasks, so neither one array nor
     one task has to hold its full weight.
     """
     keep = [c for c in df.columns if c != weight]
-    w = F.col(weight).cast("bigint")
+    w = whole(weight)
     step = F.lit(chunk).cast("bigint")
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     light = df.filter((w > 0) & (w <= chunk)).select(*keep, w.cast("int").alias("__n"))

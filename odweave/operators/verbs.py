@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odweave.functions.semantics import sort_keys, strict_sum, try_num
 from odweave.operators.joins import join
@@ -88,15 +89,23 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- order -------------------------------------------------------------------------------------------------
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns that can be hashed."""
+    return F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def arrange(df: DataFrame, *keys: str) -> DataFrame:
-    """Global sort, ``-key`` for descending, missing values last."""
-    return df.orderBy(*sort_keys(keys))
+    """Global sort, ``-key`` for descending, missing values last; ties go by a hash of the row.
+
+    The hash lets rows with one value spread over many tasks of the sort.
+    """
+    return df.orderBy(*sort_keys(keys), row_hash(df))
 
 
 def arrange_numeric(df: DataFrame, col: str) -> DataFrame:
     """Sort text codes by their numeric value and give them back as text without leading zeros."""
     number = try_num(col, "bigint")
-    return df.withColumn(col, number).orderBy(F.col(col).asc_nulls_last()).withColumn(col, F.col(col).cast("string"))
+    return df.withColumn(col, number).orderBy(F.col(col).asc_nulls_last(), row_hash(df)).withColumn(col, F.col(col).cast("string"))
 
 
 def top_k(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:

@@ -1,65 +1,80 @@
 """Running totals, row ids and ranks over a whole table without a single-task window.
 
-``prefix_scan`` is the one primitive. Small tables use a plain window. Larger ones are cut into ordered buckets at
-sampled boundary rows of the complete sort key, so that many rows with the same value, or one dominant group, still
-spread over all buckets; each bucket is scanned on its own and shifted by the totals of the buckets before it.
+``in_order`` deals the rows out by ranges of the complete sort key (value, row hash, salt), so that many rows with one
+value, or one dominant group, still spread over all ranges, and stores them with the number of their range. ``prefix_scan``
+scans each range on its own and shifts it by the totals of the ranges before it. There is one plan for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odweave.functions.semantics import sort_keys, sort_name, strict_sum
+from odweave.functions.semantics import sort_keys, strict_sum, whole
 from odweave.operators.joins import join
 from odweave.session import materialize
 
-SMALL_ROWS = 1_000_000
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
-_SAMPLE_PER_BUCKET = 20
-_BUCKET, _TIE, _SALT = "__bucket", "__tie", "__salt"
+_RANGE, _TIE, _SALT = "__range", "__tie", "__salt"
 
 
-def _not_before(spec: str, key: Column) -> tuple[Column, Column]:
-    """(strictly after, equal) of a row's sort column against a boundary value."""
-    c = F.col(sort_name(spec))
-    beyond = c < key if spec.startswith("-") else c > key
-    return F.coalesce(beyond, c.isNull() & key.isNotNull()), c.eqNullSafe(key)
+def in_order(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of (``partition_by``, ``order_by``, row hash), each row with the number of its range.
 
+    The row hash decides ties, so the order does not depend on the partitioning; copies of one row, which it cannot tell
+    apart, are separated by a salt that is stored with them. ``partitions`` defaults to the session's shuffle partitions.
+    """
+    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    tagged = df.withColumns({_TIE: F.xxhash64(*hashable), _SALT: F.rand(seed=7)})
+    keys = sort_keys([*partition_by, *order_by, _TIE, _SALT])
+    ranged = tagged.repartitionByRange(partitions, *keys) if partitions else tagged.repartitionByRange(*keys)
+    return materialize(ranged.withColumn(_RANGE, F.spark_partition_id()))
 
-def _bucket_of(bounds: list[Row], specs: Sequence[str], schema: T.StructType) -> Column:
-    """Number of boundaries at or before the row, by binary search in a literal array."""
-    table = F.array(
-        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema)]) for b in bounds]
-    )
-
-    def reached(i: Column) -> Column:
-        bound = F.get(table, i - 1)
-        out: Column = F.lit(True)
-        for spec in reversed(specs):
-            after, equal = _not_before(spec, bound.getField(sort_name(spec)))
-            out = after | (equal & out)
-        return (i <= len(bounds)) & out
-
-    steps = [1 << p for p in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(reached(at + s), at + s).otherwise(at)
-    )
 
+def scan_stored(
+    stored: DataFrame, order_by: Sequence[str], totals: Mapping[str, str], row_id: str | None, partition_by: Sequence[str]
+) -> DataFrame:
+    """Running sums and row numbers over a table from ``in_order`` with the same keys."""
+    kinds = {f.name: f.dataType for f in stored.schema}
+    for src in totals.values():
+        if isinstance(kinds[src], (T.FloatType, T.DoubleType)):
+            raise TypeError(f"{src} is a floating point column: its running sum would depend on the partitioning; cast it to a decimal")
+    parts = list(partition_by)
+    within = Window.partitionBy(_RANGE, *parts).orderBy(*sort_keys([*order_by, _TIE, _SALT]))
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {out: F.sum(src).over(upto) for out, src in totals.items()}
+    if row_id:
+        new[row_id] = F.row_number().over(within).cast("bigint")
+    local = stored.withColumns(new)
+    shifts = _shifts(stored, parts, totals)
+    cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(shifts[f"__s_{c}"]) for c in [_RANGE, *parts]])
+    # a range continues at most one group of the ranges before it: no more rows than ranges, so the hint is safe
+    joined = local.join(F.broadcast(shifts), cond, "left")
 
-def _boundaries(df: DataFrame, specs: Sequence[str], rows: int, buckets: int) -> list[Row]:
-    """About ``buckets - 1`` rows of the sort key at even distances, from a sample of a few rows per bucket."""
-    fraction = min(1.0, buckets * _SAMPLE_PER_BUCKET / rows)
-    keys = df.select(*[sort_name(s) for s in specs])
-    sample = keys.sample(fraction, seed=7).orderBy(*sort_keys(specs)).collect()
-    stride = max(1, len(sample) // buckets)
-    return sample[stride::stride]
+    def shifted(n: str) -> Column:
+        before = F.col("__o_rows" if n == row_id else f"__o_{n}")
+        # NULL + 0 happens when every value so far is missing; a plain window gives NULL there as well
+        moved = F.when(F.col(n).isNull(), before).otherwise(F.col(n) + F.coalesce(before, F.lit(0)))
+        return moved.cast(local.schema[n].dataType).alias(n)
+
+    keep = [c for c in stored.columns if c not in (_RANGE, _TIE, _SALT)]
+    return joined.select(*keep, *[shifted(n) for n in new])
+
+
+def _shifts(stored: DataFrame, parts: list[str], totals: Mapping[str, str]) -> DataFrame:
+    """Sums and counts of everything before each range (before each range within its group), where there is anything."""
+    keys = [_RANGE, *parts]
+    per = stored.groupBy(*keys).agg(*[F.sum(src).alias(out) for out, src in totals.items()], F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(*parts).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    found = per.select(
+        *[F.col(k).alias(f"__s_{k}") for k in keys],
+        *[F.sum(n).over(before).alias(f"__o_{n}") for n in totals],
+        F.sum("__rows").over(before).alias("__o_rows"),
+    )
+    return found.filter(F.col("__o_rows").isNotNull())
 
 
 def prefix_scan(
@@ -68,92 +83,15 @@ def prefix_scan(
     totals: Mapping[str, str] | None = None,
     row_id: str | None = None,
     partition_by: Sequence[str] = (),
-    buckets: int | None = None,
-    small_rows: int = SMALL_ROWS,
-    store: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add running sums ``{new column: summed column}`` and / or a row number in the order ``order_by``.
 
-    ``-name`` sorts descending; missing values sort last. With ``partition_by`` the scan restarts per group.
-    ``buckets`` forces the bucketed plan, 1 the plain one. Sum whole numbers or decimals: both plans then agree to
-    the last digit. The input is read in up to four passes, so it is stored first; ``store=False`` is for a table
-    that already lies in files.
+    ``-name`` sorts descending; missing values sort last; ties go by a hash of the row. With ``partition_by`` the scan
+    restarts per group. Whole numbers and decimals can be summed, floating point columns cannot.
     """
-    totals = dict(totals or {})
-    parts = list(partition_by)
-    if store and buckets != 1:
-        df = materialize(df)
-    rows = None if buckets == 1 else df.count()
-    if buckets is None and rows is not None and rows > small_rows:
-        buckets = min(MAX_BUCKETS, max(8, ceil(rows / ROWS_PER_BUCKET)))
-    if not rows or buckets in (None, 1):
-        w = Window.partitionBy(*parts).orderBy(*sort_keys(order_by))
-        return _local_scan(df, w, totals, row_id)
-
-    hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    tagged = df.withColumn(_TIE, F.xxhash64(*hashable))
-    specs = [*parts, *order_by, _TIE]
-    bounds = _boundaries(tagged, specs, rows, buckets)
-    if len(set(bounds)) < len(bounds):
-        # copies of one row fill whole buckets: a stored random salt tells them apart in every later pass
-        tagged = materialize(tagged.withColumn(_SALT, F.rand(seed=7)))
-        specs.append(_SALT)
-        bounds = _boundaries(tagged, specs, rows, buckets)
-    key_schema = tagged.select(*[sort_name(s) for s in specs]).schema
-    cut = tagged.withColumn(_BUCKET, _bucket_of(bounds, specs, key_schema))
-
-    names = [*totals, *([row_id] if row_id else [])]
-    w = Window.partitionBy(_BUCKET, *parts).orderBy(*sort_keys(specs[len(parts):]))
-    local = _local_scan(cut, w, totals, row_id)
-    shifts = _shifts(cut, bounds, parts, totals, row_id)
-    if parts:
-        cond = reduce(
-            lambda a, b: a & b, [local[c].eqNullSafe(shifts[f"__s_{c}"]) for c in [_BUCKET, *parts]]
-        )
-    else:
-        cond = local[_BUCKET] == shifts[f"__s_{_BUCKET}"]
-    # at most two rows per boundary: a bound fixed by the bucket count, so the hint is safe
-    joined = local.join(F.broadcast(shifts), cond, "left")
-
-    def shifted(n: str) -> Column:
-        if n == row_id:
-            return F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0))
-        # NULL + 0 happens when every value so far is missing; a plain window gives NULL there as well
-        return F.when(F.col(n).isNull(), F.col(f"__o_{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"__o_{n}"), F.lit(0)))
-
-    return joined.select(*df.columns, *[shifted(n).cast(local.schema[n].dataType).alias(n) for n in names])
-
-
-def _local_scan(df: DataFrame, w, totals: Mapping[str, str], row_id: str | None) -> DataFrame:
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {out: F.sum(src).over(upto) for out, src in totals.items()}
-    if row_id:
-        new[row_id] = F.row_number().over(w).cast("bigint")
-    return df.withColumns(new)
-
-
-def _shifts(
-    cut: DataFrame, bounds: list[Row], parts: list[str], totals: Mapping[str, str], row_id: str | None
-) -> DataFrame:
-    """Sums and counts of everything before each bucket (before each bucket within its group)."""
-    keys = [_BUCKET, *parts]
-    if parts:
-        # a group reaches into a second bucket only if one of the boundaries lies inside it
-        spark = cut.sparkSession
-        schema = cut.select(*parts).schema
-        split = spark.createDataFrame([tuple(b[p] for p in parts) for b in bounds], schema).distinct()
-        split = split.select(*[F.col(p).alias(f"__g_{p}") for p in parts])
-        cond = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"__g_{p}")) for p in parts])
-        cut = cut.join(F.broadcast(split), cond, "left_semi")
-    aggs = [F.sum(src).alias(out) for out, src in totals.items()]
-    if row_id:
-        aggs.append(F.count(F.lit(1)).alias(row_id))
-    before = Window.partitionBy(*parts).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    per = cut.groupBy(*keys).agg(*aggs)
-    names = [*totals, *([row_id] if row_id else [])]
-    return per.select(
-        *[F.col(k).alias(f"__s_{k}") for k in keys], *[F.sum(n).over(before).alias(f"__o_{n}") for n in names]
-    )
+    stored = in_order(df, order_by, partition_by, partitions)
+    return scan_stored(stored, order_by, dict(totals or {}), row_id, partition_by)
 
 
 def add_row_id(df: DataFrame, order_by: Sequence[str], out: str = "id", **scan) -> DataFrame:
@@ -168,9 +106,10 @@ def add_step_id(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], out
 
 def cumulative_share(df: DataFrame, col: str, tiebreak: Sequence[str], out_id: str = "id", **scan) -> DataFrame:
     """Row id, share and running share of ``col``, largest first. One missing value makes all shares missing."""
-    df = materialize(df)
-    grand = df.agg(strict_sum(col)).scalar()
-    scanned = prefix_scan(df, [f"-{col}", *tiebreak], {"__run": col}, row_id=out_id, store=False, **scan)
+    order = [f"-{col}", *tiebreak]
+    stored = in_order(df, order, **scan)
+    grand = stored.agg(strict_sum(col)).scalar()
+    scanned = scan_stored(stored, order, {"__run": col}, out_id, ())
     return scanned.withColumns(
         {f"pct_{col}": F.try_divide(F.col(col), grand), f"cumulative_pct_{col}": F.try_divide(F.col("__run"), grand)}
     ).drop("__run")
@@ -197,8 +136,8 @@ def add_percent_rank(df: DataFrame, col: str, out: str = "percentile", **scan) -
 
     Only the distinct values are scanned; their ranks are joined back.
     """
-    counts = materialize(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")))
-    ranks = prefix_scan(counts, [col], {"__upto": "__n"}, store=False, **scan)
+    counts = in_order(df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n")), [col], **scan)
+    ranks = scan_stored(counts, [col], {"__upto": "__n"}, None, ())
     others = counts.agg(F.sum("__n")).scalar() - 1
     below = F.col("__upto") - F.col("__n")
     ranks = ranks.select(col, F.when(others > 0, below / others).otherwise(F.lit(0.0)).alias(out))
@@ -231,19 +170,19 @@ def weighted_quantiles(
     """Exact quantiles with linear interpolation, every row counted ``weight`` times (once without a weight).
 
     Works on distinct values and their counts: no rows are repeated and no group is gathered. Rows with a missing
-    value or a missing or zero weight do not count.
+    value or a missing or zero weight do not count; a weight that is no whole number is an error.
     """
     by = list(by)
     names = list(out or [f"q{p:g}" for p in probs])
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    w = whole(weight) if weight else F.lit(1).cast("bigint")
     counts = (
         df.select(*by, F.col(col).cast("double").alias("__x"), w.alias("__w"))
         .filter(F.col("__x").isNotNull() & (F.col("__w") > 0))
         .groupBy(*by, "__x")
         .agg(F.sum("__w").alias("__w"))
     )
-    counts = materialize(counts)
-    upto = prefix_scan(counts, ["__x"], {"__upto": "__w"}, partition_by=by, store=False, **scan)
+    counts = in_order(counts, ["__x"], by, **scan)
+    upto = scan_stored(counts, ["__x"], {"__upto": "__w"}, None, by)
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("__w").alias("__n"))
         upto = join(upto, sizes, by=by)

@@ -57,7 +57,7 @@ def study_routes(
     tasks: int | None = None,
 ) -> RouteStudy:
     """Ask ``directions`` for the steps of every route, retry failures with patched inputs, summarise per route."""
-    done = enrich(routes, directions, inputs, T.ArrayType(step), keys, "directions", patches, retries, tasks)
+    done = enrich(routes, directions, inputs, T.ArrayType(step), "directions", patches, retries, tasks)
     ok, failed = split_failures(done, "directions", keys)
     steps = unnest(ok.drop("status", "error"), "directions")
     return RouteStudy(steps, route_stats(steps, [*keys, *inputs]), failed, failure_report(done, "directions", "commuters"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -28,13 +29,15 @@ def get_session(app_name: str = "odweave", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by the cluster; a local one only where none is set."""
+    """The folder all executors share, as named by the cluster. Only a local master may do without: it gets one of its own."""
     named = spark.conf.get(_CHECKPOINT_KEY, None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="odweave-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -44,7 +47,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute a table once: write it to the shared folder and go on from there.
 
     Later passes read only the columns they need, its row count comes from the file footers, and a lost executor
-    costs a re-read instead of the lineage. The files live under the application's id and may go when it has ended.
+    costs a re-read instead of the lineage. The files live under the application's id until ``drop_stored``.
     """
     path = scratch_path(df.sparkSession, f"stored/{uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
@@ -56,6 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/odweave/{spark.sparkContext.applicationId}/{name}"
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has stored for this application; results that were not written yet are lost with it."""
+    fs, path = pafs.FileSystem.from_uri(scratch_path(spark, "stored"))
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Is the table's estimated size under the session's broadcast threshold?"""
     threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
