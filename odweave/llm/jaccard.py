@@ -175,7 +175,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         matrix[:, led[columns[start : start + _COLUMNS]]] = 1
         matrix[owner[here], place[here] - start] = ~led[column[here]]
         both += matrix @ matrix.T
-    return base + np.rint(both).astype(np.int64)
+    out = base + np.rint(both).astype(np.int64)
+    np.fill_diagonal(out, sizes)  # differences that only one set has were left out
+    return out
 
 
 def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -242,7 +244,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     profiles, counts = _profiles(rows, words)
     sets = ["s1", "s2", "n"]
     classes = profiles.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(profiles.join(classes, sets, "left").select("doc_id", "n", "rep", "copies"))
+    known = F.col("doc_id").isNotNull()
+    members = profiles.join(classes, sets, "left")
+    members = materialize(members.select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.col("copies")).alias("copies")))
 
     context = docs.sparkSession.sparkContext
     candidates = _candidates(_postings(rows.filter("doc_id is not null"), context.broadcast(counts), words, percent), percent)
