@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from odweave.catalog.fixtures import Tables
 from odweave.catalog.registry import query
 from odweave.operators import model as m
+from odweave.operators.reshape import unnest
+from odweave.operators.verbs import arrange
 
 _KEY = ["w_tract"]
 _FEATURES = ["distance", "steps"]
@@ -119,6 +121,19 @@ def ml_cv_metrics(t: Tables) -> DataFrame:
     return m.collect_metrics(metrics).withColumns({c: F.round(c, 6) for c in ("mean", "std_err")})
 
 
+@query(
+    "ml_resample_metrics",
+    f"WITH {_HELD} SELECT CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, 'rmse' AS metric, round(rmse, 6) AS estimate FROM per"
+    " UNION ALL SELECT CAST(rep AS INTEGER), CAST(fold AS INTEGER), 'rsq', round(rsq, 6) FROM per",
+)
+def ml_resample_metrics(t: Tables) -> DataFrame:
+    """The metrics of every resample: nested per resample, taken apart, worst first."""
+    metrics, _ = m.cross_validate(_routes(t), "duration", _FEATURES, _KEY)
+    nested = metrics.groupBy("repeat", "fold").agg(F.collect_list(F.struct("metric", "estimate")).alias("metrics"))
+    rows = unnest(nested, "metrics").withColumn("estimate", F.round("estimate", 6))
+    return arrange(rows, "metric", "-estimate")
+
+
 @query(
     "ml_cv_predictions",
     f"WITH {_HELD} SELECT w_tract, CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, round(pred, 5) AS pred FROM preds",
@@ -138,6 +153,19 @@ def ml_coefficients(t: Tables) -> DataFrame:
     return m.tidy(fitted, training, _FEATURES, _FEATURES).withColumn("estimate", F.round("estimate", 6))
 
 
+_GAPPY = _SCORED.replace(f"{_PRED} AS pred FROM routes, fit", f"CASE WHEN steps <> 3 THEN {_PRED} END AS pred FROM routes, fit")
+
+
+@query("ml_predict_gaps", f"WITH {_GAPPY} SELECT h_tract, w_tract, duration, round(pred, 5) AS pred FROM scored")
+def ml_predict_gaps(t: Tables) -> DataFrame:
+    """Routes with a missing predictor are kept, with a missing prediction."""
+    training, _ = m.split(_routes(t), _KEY)
+    fitted = m.fit(training, "duration", _FEATURES, _FEATURES)
+    gaps = _routes(t).withColumn("steps", F.nullif("steps", F.lit(3)))
+    scored = m.score(fitted, gaps, "duration", _FEATURES, ["h_tract", "w_tract", "duration"])
+    return scored.select("h_tract", "w_tract", "duration", F.round("`.pred`", 5).alias("pred"))
+
+
 @query("ml_predict", f"WITH {_SCORED} SELECT h_tract, w_tract, duration, round(pred, 5) AS pred FROM scored")
 def ml_predict(t: Tables) -> DataFrame:
     return _scored(t).select("h_tract", "w_tract", "duration", F.round("`.pred`", 5).alias("pred"))

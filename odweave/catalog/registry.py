@@ -29,6 +29,6 @@ def query(key: str, sql: str | None = None) -> Callable:
 
 for _section in (
     "sources", "verbs", "joins", "aggregates", "windows", "sorting", "reshape", "scalars", "network", "spatial",
-    "enrichment", "model", "stats", "quality",
+    "enrichment", "model", "stats", "quality", "plans",
 ):
     import_module(f"odweave.catalog.{_section}")

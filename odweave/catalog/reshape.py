@@ -9,7 +9,7 @@ from odweave.catalog.fixtures import Tables
 from odweave.catalog.registry import query
 from odweave.functions.text import str_detect
 from odweave.operators import reshape as r
-from odweave.operators.verbs import cols_contains
+from odweave.operators.verbs import arrange, cols_contains
 
 
 @query(
@@ -111,7 +111,7 @@ def unnest_steps(t: Tables) -> DataFrame:
 def unnest_metrics(t: Tables) -> DataFrame:
     item = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("estimate")) for m in ("duration", "steps")]
     nested = t.routes.select("h_tract", "w_tract", F.array(*item).alias("metrics"))
-    return r.unnest(nested, "metrics").orderBy("metric")
+    return arrange(r.unnest(nested, "metrics"), "metric")
 
 
 @query(

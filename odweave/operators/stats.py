@@ -30,7 +30,8 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     counts = df.filter(x.isNotNull()).select(bin_no.cast("bigint").alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("count")
     )
-    edges = df.agg(F.struct(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")).alias("r"))
+    # the range is one subquery, worked out once for both parts
+    edges = df.sparkSession.range(1).select(F.struct(lo.alias("lo"), hi.alias("hi")).alias("r"))
     w = (F.col("r.hi") - F.col("r.lo")) / max(bins - 1, 1)
     o = w / 2 + F.floor(F.try_divide(F.col("r.lo") - w / 2, w)) * w
     one = F.when(F.col("r.lo") == F.col("r.hi"), F.lit(0)).otherwise(F.lit(bins - 1))
