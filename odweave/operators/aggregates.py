@@ -57,7 +57,7 @@ def summarize_flows(
     tables = dict(xwalk) if isinstance(xwalk, Mapping) else dict.fromkeys(ends, xwalk)
     if areas is not None:
         tables = {c: join(x, areas, by={level: area_key}, how="semi", na_matches="never") for c, x in tables.items()}
-    map_first = areas is not None or all(fits_broadcast(x.select(key, level)) for x in tables.values())
+    map_first = all(fits_broadcast(x.select(key, level)) for x in tables.values())
     fine = flows if map_first else sum_by(flows, list(ends), count)
     mapped = map_areas(fine, tables, key, level, ends, "inner" if areas is not None else "left")
     return sum_by(mapped, list(ends.values()), count, out=out)
