@@ -20,8 +20,8 @@ SLOTS = 1 << 16
 FIT_DOCUMENTS = 20_000
 #: What a change of language between two words costs, in natural log likelihood.
 SWITCH = 6.0
-#: A text whose language has less than this share of its letters is rejected.
-LEAST_SHARE = 0.5
+#: A text whose language has less than this share of its letters is rejected; texts half in one language and half in another stay.
+LEAST_SHARE = 0.3
 _OTHER = "other"
 # The blocks of Unicode that hold the letters of a script.
 _SCRIPTS = {
