@@ -77,7 +77,8 @@ def scan_flows(t: Tables) -> DataFrame:
     named = t.county_flows.select(
         "w_geocode", "h_geocode", "S000", F.concat("state", F.lit("_od_"), "part", F.lit("_JT00_2017.csv.gz")).alias("file")
     )
-    write_table(named, path, "csv", "overwrite", partition_by=["file"], compression="gzip")
+    dealt = named.repartition("file", F.pmod(F.hash("h_geocode"), F.lit(4)))  # a few files per state, not one per task
+    write_table(dealt, path, "csv", "overwrite", partition_by=["file"], compression="gzip")
     states = [r["s"] for r in t.region.select(F.lower(F.regexp_replace("r_name", " ", "")).alias("s")).collect()]
     return read_flows(t.spark, path, states, 2017, ("main", "aux"), agg_geo="county")
 

@@ -46,22 +46,23 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     return join(frame, counts, by="bin", na_matches="never").fillna({"count": 0})
 
 
-def _rule_of_thumb(sd: Column, n: Column, q1: Column, q3: Column) -> Column:
+def _rule_of_thumb(sd: Column, n: Column, low: Column, q1: Column, q3: Column) -> Column:
+    """Without any spread the size of the one value stands in, and 1 where that is 0."""
     least = F.least(sd, (q3 - q1) / 1.34)
-    spread = F.when(least > 0, least).when(sd > 0, sd).otherwise(F.lit(1.0))
+    spread = F.when(least > 0, least).when(sd > 0, sd).when(low != 0, F.abs(low)).otherwise(F.lit(1.0))
     return spread * 0.9 * F.pow(n, F.lit(-0.2))
 
 
 def bandwidth(df: DataFrame, col: str, by: Sequence[str] = (), **scan) -> DataFrame:
     """Rule-of-thumb bandwidth 0.9 min(sd, IQR / 1.34) n^(-1/5) of each group, as column ``bw``."""
     by = list(by)
-    stats = df.groupBy(*by).agg(F.stddev_samp(col).alias("__sd"), F.count(col).alias("__n"))
+    stats = df.groupBy(*by).agg(F.stddev_samp(col).alias("__sd"), F.count(col).alias("__n"), F.min(col).alias("__low"))
     q = weighted_quantiles(df, col, [0.25, 0.75], by=by, out=["__q1", "__q3"], **scan)
     if by:
         joined = join(stats, q, by=by)
-        return joined.select(*by, _rule_of_thumb(*[F.col(c) for c in ("__sd", "__n", "__q1", "__q3")]).alias("bw"))
+        return joined.select(*by, _rule_of_thumb(*[F.col(c) for c in ("__sd", "__n", "__low", "__q1", "__q3")]).alias("bw"))
     q1, q3 = (q.select(c).scalar() for c in ("__q1", "__q3"))
-    return stats.select(_rule_of_thumb(F.col("__sd"), F.col("__n"), q1, q3).alias("bw"))
+    return stats.select(_rule_of_thumb(F.col("__sd"), F.col("__n"), F.col("__low"), q1, q3).alias("bw"))
 
 
 def density(
@@ -96,10 +97,10 @@ def density(
     elif by:
         points = join(binned, bandwidth(df, col, by, **scan), by=by)
     else:
-        # four flat scalar subqueries: one inside another is more than the optimizer takes
-        sd, n = df.agg(F.stddev_samp(col)).scalar(), df.agg(F.count(col)).scalar()
+        # one row of constants in one pass, then flat scalar subqueries: one inside another is more than the optimizer takes
+        one = df.agg(F.struct(F.stddev_samp(col).alias("sd"), F.count(col).alias("n"), F.min(col).alias("low"))).scalar()
         q = materialize(weighted_quantiles(df, col, [0.25, 0.75], out=["q1", "q3"], **scan))
-        points = binned.withColumn("bw", _rule_of_thumb(sd, n, q.select("q1").scalar(), q.select("q3").scalar()))
+        points = binned.withColumn("bw", _rule_of_thumb(one["sd"], one["n"], one["low"], q.select("q1").scalar(), q.select("q3").scalar()))
     points = points.withColumns({"__c": lo + F.col("__bin") * step, "__lo": lo, "__hi": hi})
     points = points.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("__lo") + F.col("__i") * (F.col("__hi") - F.col("__lo")) / max(grid - 1, 1)
