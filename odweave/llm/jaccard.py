@@ -39,24 +39,28 @@ def _slots(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def _sum_of(found: np.ndarray) -> int:
+    return int(found.sum(dtype=np.uint64).view(np.int64))
+
+
+def _mix_of(found: np.ndarray) -> int:
+    mixed = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return int(np.bitwise_xor.reduce(mixed, initial=np.uint64(0)).view(np.int64))
+
+
 def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """Per row with a doc_id: doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
         names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
-        for batch in batches:
-            rows = []
-            for text in texts(batch.column(1)):
-                found = shingle_set(text, words)
-                counts += np.bincount(_slots(found), minlength=SLOTS) if len(found) > SLOTS // 8 else 0
-                if len(found) <= SLOTS // 8:
-                    np.add.at(counts, _slots(found), 1)
-                twice = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-                rows.append((len(found), int(found.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(twice, initial=np.uint64(0)).view(np.int64))))
-            n, s1, s2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
-            none = pa.nulls(len(rows), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, s1, s2, none, pa.nulls(len(rows), pa.binary())], names)
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+            sets = [shingle_set(t, words) for t in texts(batch.column(1))]
+            counts += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            s1, s2 = (pa.array([f(s) for s in sets], pa.int64()) for f in (_sum_of, _mix_of))
+            none = pa.nulls(len(sets), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, s1, s2, none, pa.nulls(len(sets), pa.binary())], names)
         used = [k for k in range(SLOTS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         packed = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in used]
         empty = pa.nulls(len(used), pa.int64())
