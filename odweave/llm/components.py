@@ -35,5 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         onward = roots.select(F.col("node").alias("to"), "root")
         roots = pointer.join(onward, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     roots = materialize(roots)
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    smallest = materialize(roots.groupBy("root").agg(F.min("node").alias("component")))  # so that a huge component can be split
     return roots.join(smallest, "root").select("node", "component")

@@ -242,12 +242,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     them is linked with; repeated rows are all returned. An empty table gives no rows; other columns are not read.
 
     Equal sets are one class, which its smallest doc_id stands for; links are looked for between classes only and copies
-    follow their class (n_links counts them).
+    follow their class (n_links counts them). Sums that are joined back are stored first: the join then reads both sides
+    from plain shuffles, and a class or component with a large part of all rows can be split.
     """
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     profiles, counts = _profiles(rows, words)
     sets = ["s1", "s2", "n"]
     classes = profiles.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes)
     known = F.col("doc_id").isNotNull()
     members = profiles.join(classes, sets, "left")
     members = materialize(members.select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.col("copies")).alias("copies")))
@@ -264,7 +266,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     blocks = placed.groupBy("bundle").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    placed = placed.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = placed.join(materialize(blocks), "bundle").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     with_text = placed.join(rows, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bundled = with_text.select(
         "bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "copies", "text"
@@ -274,7 +276,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     found = components(verified.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("doc_id").agg(F.sum("links").alias("links"))
     reps = links.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("rep"), "links", "component")
-    return members.join(reps, "rep", "left").select(
+    return members.join(materialize(reps), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
