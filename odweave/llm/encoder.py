@@ -62,7 +62,7 @@ class _Uneven(Exception):
 class Encoder:
     """``encode(text)`` gives what ``of_ids`` makes of the ids, joined over the text by ``join``."""
 
-    def __init__(self, path: str, of_ids: Callable[[list[int]], object], join: Callable, memo: int = 400_000):
+    def __init__(self, path: str, of_ids: Callable[[list[int]], object], join: Callable, memo: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # the memos below take its place

@@ -15,7 +15,7 @@ _TURN = np.uint64(33)
 
 @lru_cache(maxsize=1)
 def _memo() -> Memo:
-    return Memo(xxh3_64_intdigest, 400_000)
+    return Memo(xxh3_64_intdigest, 100_000)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
