@@ -49,34 +49,34 @@ def _mix_of(found: np.ndarray) -> int:
 
 
 def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """Per row with a doc_id: doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles."""
+    """Per row: row, doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles. ``docs``: row, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
-        names = ["doc_id", "n", "s1", "s2", "chunk", "counts"]
+        names = ["row", "doc_id", "n", "s1", "s2", "chunk", "counts"]
         for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
-            sets = [shingle_set(t, words) for t in texts(batch.column(1))]
+            sets = [shingle_set(t, words) for t in texts(batch.column(2))]
             counts += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
             n = pa.array([len(s) for s in sets], pa.int64())
             s1, s2 = (pa.array([f(s) for s in sets], pa.int64()) for f in (_sum_of, _mix_of))
             none = pa.nulls(len(sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, s1, s2, none, pa.nulls(len(sets), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, s1, s2, none, pa.nulls(len(sets), pa.binary())], names)
         used = [k for k in range(SLOTS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         packed = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in used]
         empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
     def total(rows: pa.Table) -> pa.Table:
         summed = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in rows["counts"].to_pylist())
         return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([zlib.compress(summed.tobytes(), 1)], pa.binary())})
 
-    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"
+    schema = "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"
     stored = materialize(docs.mapInArrow(run, schema))
     counts = np.zeros(SLOTS, dtype=np.int64)
     sums = stored.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk int, counts binary")
     for row in sums.collect():
         counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
-    return stored.filter("chunk is null").select("doc_id", "n", "s1", "s2"), np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+    return stored.filter("chunk is null").select("row", "doc_id", "n", "s1", "s2"), np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
@@ -97,9 +97,9 @@ def _postings(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> D
                     keys = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                     n = np.repeat(np.array([len(s) for s in sets], dtype=np.int32), sizes)
                     place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes.tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(keys), pa.array(n), pa.array(place)], ["token", "doc_id", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(keys), pa.array(n), pa.array(place)], ["token", "row", "n", "place"])
 
-    return docs.mapInArrow(run, "token bigint, doc_id bigint, n int, place int")
+    return docs.mapInArrow(run, "token bigint, row bigint, n int, place int")
 
 
 class ListSweep:
@@ -145,11 +145,11 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         sweep = ListSweep(percent)
         for batch in batches:
             if batch.num_rows:
-                a, b = sweep.edges(*(batch.column(c).to_numpy() for c in ("token", "doc_id", "n", "place")))
+                a, b = sweep.edges(*(batch.column(c).to_numpy() for c in ("token", "row", "n", "place")))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    lists = postings.repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    lists = postings.repartition("token").sortWithinPartitions("token", "n", "row")
     return lists.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -210,9 +210,9 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _verified(bundled: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per set and block pair: doc_id, root (a set it reaches there), links (documents whose sets it is linked with there).
+    """Per set and block pair: row, root (a set it reaches there), links (documents whose sets it is linked with there).
 
-    ``bundled``: bundle, i, j (a pair of blocks), block (the set's own), doc_id, copies, text.
+    ``bundled``: bundle, i, j (a pair of blocks), block (the set's own), row, copies, text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,72 +222,91 @@ def _verified(bundled: DataFrame, words: int, percent: int) -> DataFrame:
             if rows["i"][0].as_py() != rows["j"][0].as_py():  # pairs within a block are another task's
                 block = rows["block"].to_numpy()
                 linked &= block[:, None] != block[None, :]
-            ids = rows["doc_id"].to_numpy()
+            ids = rows["row"].to_numpy()
             links = linked @ rows["copies"].to_numpy()
             some = links > 0
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[_roots(linked)][some]), pa.array(links[some])], ["doc_id", "root", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[_roots(linked)][some]), pa.array(links[some])], ["row", "root", "links"])
 
     keys = ["bundle", "i", "j"]
-    ordered = bundled.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return ordered.mapInArrow(run, "doc_id bigint, root bigint, links bigint")
+    ordered = bundled.repartition(*keys).sortWithinPartitions(*keys, "row")
+    return ordered.mapInArrow(run, "row bigint, root bigint, links bigint")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
-
-    Two documents are linked when their sets of ``words``-word shingles share at least ``percent`` of their union. A text with
-    fewer words is one shingle; a missing or empty text has none, is linked with nothing and is its own component. A missing
-    doc_id is linked with nothing and has no component. Rows with one doc_id count as one document, linked with what any of
-    them is linked with; repeated rows are all returned. An empty table gives no rows; other columns are not read.
-
-    Equal sets are one class, which its smallest doc_id stands for; links are looked for between classes only and copies
-    follow their class (n_links counts them). Sums that are joined back are stored first: the join then reads both sides
-    from plain shuffles, and a class or component with a large part of all rows can be split.
-    """
-    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+def _groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row of the stored ``rows`` (row, a number of its own; doc_id; text): row, doc_id, n_shingles, component_id, n_links."""
     profiles, counts = _profiles(rows, words)
     sets = ["s1", "s2", "n"]
-    classes = profiles.filter("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    documents = profiles.filter("n > 0 and doc_id is not null").groupBy(*sets, "doc_id").agg(F.min("row").alias("row"))
+    classes = documents.groupBy(*sets).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes)
     known = F.col("doc_id").isNotNull()
     members = profiles.join(classes, sets, "left")
-    members = materialize(members.select("doc_id", "n", F.when(known, F.col("rep")).alias("rep"), F.when(known, F.col("copies")).alias("copies")))
+    members = materialize(members.select("row", "doc_id", "n", *(F.when(known, F.col(c)).alias(c) for c in ("rep", "least", "copies"))))
 
-    context = docs.sparkSession.sparkContext
-    candidates = _candidates(_postings(rows.filter("doc_id is not null"), context.broadcast(counts), words, percent), percent)
-    to_rep = members.filter("rep is not null").select("doc_id", "rep").distinct()
-    at_a, at_b = (to_rep.select(F.col("doc_id").alias(x), F.col("rep").alias(f"{x}_rep")) for x in ("a", "b"))
-    between = candidates.join(at_a, "a").join(at_b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    context = rows.sparkSession.sparkContext
+    postings = _postings(rows.filter("doc_id is not null").select("row", "text"), context.broadcast(counts), words, percent)
+    to_rep = members.filter("rep is not null").select("row", "rep")
+    at_a, at_b = (to_rep.select(F.col("row").alias(x), F.col("rep").alias(f"{x}_rep")) for x in ("a", "b"))
+    between = _candidates(postings, percent).join(at_a, "a").join(at_b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     bundles = components(between)
 
-    standing = members.filter("doc_id = rep").select("doc_id", "n", "copies")
-    placed = bundles.select(F.col("node").alias("doc_id"), F.col("component").alias("bundle")).join(standing, "doc_id")
+    standing = members.filter("row = rep").select("row", "n", "copies")
+    placed = bundles.select(F.col("node").alias("row"), F.col("component").alias("bundle")).join(standing, "row")
     blocks = placed.groupBy("bundle").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    placed = placed.join(materialize(blocks), "bundle").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    with_text = placed.join(rows, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(materialize(blocks), "bundle").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    with_text = placed.join(rows.select("row", "text"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     bundled = with_text.select(
-        "bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "copies", "text"
+        "bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "copies", "text"
     )
     verified = materialize(_verified(bundled, words, percent))
 
-    found = components(verified.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
-    links = verified.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    reps = links.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("rep"), "links", "component")
+    # Rows of one doc_id with different sets hold their classes together.
+    held = members.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    held = materialize(held.filter("a <> z").select("doc_id", "a"))
+    same = held.join(members.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b").filter("a <> b").distinct()
+    found = components(verified.select(F.col("row").alias("a"), F.col("root").alias("b")).unionByName(same)).withColumnRenamed("node", "rep")
+    least = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    links = verified.groupBy(F.col("row").alias("rep")).agg(F.sum("links").alias("links"))
+    reps = found.join(materialize(least), "component").join(links, "rep", "left").select("rep", "links", "component_id")
     return members.join(materialize(reps), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),
+        "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "doc_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
 
 
+def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links.
+
+    Two documents are linked when their sets of ``words``-word shingles share at least ``percent`` of their union. A text with
+    fewer words is one shingle; a missing or empty text has none, is linked with nothing and is its own component. A missing
+    doc_id is linked with nothing and has no component. Rows with one doc_id are one document: they are in one component, and
+    repeated rows, all returned, count once in n_links. Where such rows have different sets, n_links is that of the row's own
+    set, and counts a document once for each of its sets that is linked.
+
+    Rows are numbered once in a stored table, and all goes by these numbers, whatever the doc_ids. Equal sets are one class,
+    which its smallest row stands for; links are looked for between classes only and copies follow their class (n_links counts
+    their documents). Sums that are joined back are stored first: the join then reads both sides from plain shuffles, and a
+    class or component with a large part of all rows can be split. An empty table gives no rows; other columns are not read.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
+    return _groups(materialize(rows), words, percent).drop("row")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all columns, that stand for their group: those with its smallest doc_id, one row of each.
+    """The rows of ``docs``, with all columns, that stand for their group: those with its smallest (doc_id, row number).
 
-    Rows without doc_id are linked with nothing and stay.
+    Groups are made of rows, whatever their doc_ids: rows of one doc_id whose texts are not linked all stay. Of the rows of a
+    group that have no doc_id one stays as well. A missing or empty text is linked with nothing and stays.
     """
-    groups = jaccard_groups(docs, words, percent)
-    standing = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    one = docs.filter(docs["doc_id"].isNotNull()).join(standing, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter(docs["doc_id"].isNull()))
+    number = "row"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number += "_"
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
+    row = F.col(number)
+    groups = _groups(numbered.select(row.alias("row"), row.alias("doc_id"), "text"), words, percent).select("row", "component_id")
+    ids = numbered.select(row.alias("row"), "doc_id")
+    first = groups.join(ids, "row").groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias(number))
+    return numbered.join(first.select(number), number, "left_semi").drop(number)
