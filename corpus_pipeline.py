@@ -20,7 +20,7 @@ def passing_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def in_a_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which most letters are in one known language."""
+    """Documents with half of their letters or more in learned scripts and three tenths in one learned language."""
     return language.keep(docs, spark.sparkContext.broadcast(language.fit(docs)))
 
 

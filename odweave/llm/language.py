@@ -22,6 +22,8 @@ FIT_DOCUMENTS = 20_000
 SWITCH = 6.0
 #: A text whose language has less than this share of its letters is rejected; texts half in one language and half in another stay.
 LEAST_SHARE = 0.3
+#: A text with less than this share of its letters in scripts that the model has learned is rejected.
+KNOWN_SHARE = 0.5
 _OTHER = "other"
 # The blocks of Unicode that hold the letters of a script.
 _SCRIPTS = {
@@ -153,12 +155,19 @@ def spans(model: Model, batch: list[str], switch: float = SWITCH) -> list[list[t
     return out
 
 
-def label(model: Model, batch: list[str], switch: float = SWITCH) -> tuple[list[str], np.ndarray]:
-    """Per text the language of most of its letters along the path (`und` without letters), and its share of them."""
+def _held(model: Model, batch: list[str], switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray]:
+    """Letters per (text, language) along the path: all, and those of words in a script that some language was seen in."""
     words = Words.of(batch)
     path = viterbi(model.scores(words), words.text, switch)
-    held = np.zeros((len(batch), len(model.languages)))
+    held, known = np.zeros((2, len(batch), len(model.languages)))
     np.add.at(held, (words.text, path), words.letters)
+    np.add.at(known, (words.text, path), words.letters * model.scripts.any(axis=1)[words.script])
+    return held, known
+
+
+def label(model: Model, batch: list[str], switch: float = SWITCH) -> tuple[list[str], np.ndarray]:
+    """Per text the language of most of its letters along the path (`und` without letters), and its share of them."""
+    held, _ = _held(model, batch, switch)
     total = held.sum(axis=1)
     names = [model.languages[k] if n else "und" for k, n in zip(held.argmax(axis=1).tolist(), total.tolist(), strict=True)]
     return names, np.divide(held.max(axis=1, initial=0), total, out=np.zeros(len(batch)), where=total > 0)
@@ -239,13 +248,25 @@ def predict(docs: DataFrame, model: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
+def known(model: Model, batch: list[str], least: float = LEAST_SHARE) -> np.ndarray:
+    """Per text: are half of its letters or more in learned scripts, and ``least`` of all in one language's words there?
+
+    A text without letters is not known, and none is to a model without languages. A language never learned whose script was
+    learned is not told from the learned ones.
+    """
+    if not model.languages:
+        return np.zeros(len(batch), dtype=bool)
+    held, found = _held(model, batch)
+    total = held.sum(axis=1)
+    return (total > 0) & (found.sum(axis=1) >= KNOWN_SHARE * total) & (found.max(axis=1) >= least * total)
+
+
 def keep(docs: DataFrame, model: Broadcast, least: float = LEAST_SHARE) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose language is known and has at least that share of the letters."""
+    """The rows of ``docs``, with all columns, that are ``known``."""
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in _parts(b, column)):
-            names, scores = _names(model.value, batch.column(column))
-            yield batch.filter(pa.array((np.array(names, dtype=object) != "und") & (scores >= least)))
+            yield batch.filter(pa.array(known(model.value, texts(batch.column(column)), least)))
 
     return docs.mapInArrow(run, docs.schema)
