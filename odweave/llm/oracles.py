@@ -63,4 +63,77 @@ c as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) ||
 select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars, valid from c"""
 
 
-__all__ = ["chat_sql", "jaccard_sql", "quality_sql", "warc_sql"]
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def resample_sql(percent: int, least_words: int, buckets: int, seed: int) -> str:
+    """Checksums letter by letter: all different runs of words walk through their bytes side by side."""
+    return rf"""
+with recursive w as (select 'd' as side, doc_id, row_number() over () as r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+  union all select 'b', null, row_number() over (), regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+p as (select side, r, ws, unnest(range(1, len(ws) + 1)) as i from w),
+f as (select side, r, array_to_string(ws[i:i + k - 1], ' ') as f from p, range(1, 4) as ks(k) where i + k - 1 <= len(ws)),
+tab as (select b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+  from range(256) as bs(b)),
+crc as (select f, hex(encode(f)) as h, octet_length(encode(f)) as n, 4294967295 as c, 0 as i from (select distinct f from f)
+  union all select f, h, n, xor(tab.v, c >> 8), i + 1 from crc join tab on tab.b = xor(c & 255, ('0x' || substr(h, 2 * i + 1, 2))::bigint) where i < n),
+bucket as (select f, xor(c, 4294967295) % {buckets} as bucket from crc where i = n),
+fb as (select side, r, bucket from f join bucket using (f)),
+n as (select bucket, count(*) filter (where side = 'd') as s, count(*) filter (where side = 'b') as t from fb group by bucket),
+g as (select bucket, floor(1000 * ln((t + 1)::double * ((sum(s) over ()) + {buckets})::double / ((s + 1)::double * ((sum(t) over ()) + {buckets})::double)))::bigint as gain from n),
+d as (select r, count(*) as n_features, sum(gain)::bigint as weight from fb join g using (bucket) where side = 'd' group by r),
+x as (select doc_id, r, len(ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  ('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from w left join d using (r) where side = 'd'),
+y as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from x),
+z as (select r, row_number() over (order by score desc, doc_id nulls last) as k, count(*) over () as all_ from y where n_words >= {least_words})
+select doc_id, n_features, weight, score, case when k <= {percent} * all_ // 100 then k end as rank from y left join z using (r)"""
+
+
+def audit_sql() -> str:
+    """Every order applied to the counts of documents by failed filters."""
+    letters = "ABCDE"
+    picks = ", ".join(f"l{i}.f as f{i}" for i in range(5))
+    unlike = " and ".join(f"l{i}.f <> l{j}.f" for i in range(5) for j in range(i))
+    return rf"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+e as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+  + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+  + 16 * coalesce(min(d.doc_id) over (partition by text) < d.doc_id, false)::int as fails
+  from d left join l on l.doc_id = d.doc_id),
+c as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from e group by all),
+letters as (select substr('{letters}', i::int, 1) as f, (1 << (i - 1)::int) as bit from range(1, 6) as x(i)),
+o as (select {picks} from letters l0, letters l1, letters l2, letters l3, letters l4 where {unlike}),
+s as (select f0 || f1 || f2 || f3 || f4 as filter_order, i::int as step, substr(filter_order, i::int, 1) as f,
+  (select sum(bit) from letters where contains(substr(filter_order, 1, (i - 1)::int), f)) as before from o, range(1, 6) as x(i)),
+t as (select part, filter_order, step, s.f, n, good, toxic, fails & coalesce(before, 0) = 0 as there, fails & bit <> 0 as failed, fails = bit as lone
+  from s join letters using (f), c),
+r as (select part, filter_order, step, f, coalesce(sum(n) filter (where there and not failed), 0)::bigint as kept,
+  coalesce(sum(n) filter (where there and failed), 0)::bigint as removed, coalesce(sum(n) filter (where failed and not there), 0)::bigint as redundant,
+  coalesce(sum(n) filter (where lone), 0)::bigint as unique_fails, coalesce(sum(good) filter (where there and failed), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (where there and failed), 0)::bigint as toxic_lost from t group by all)
+select * exclude (f), (sum(removed) over (partition by part, f))::bigint as shapley from r"""
+
+
+def mixing_sql(weights: tuple[int, ...], share: float, most: int, seed: int) -> str:
+    """Targets by the common level, documents in the order of their odds."""
+    return rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+  (('0x' || substr(sha256('{seed}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint + 0.5::double) / 281474976710656::double as u from documents),
+s as (select source, sum(size)::bigint as source_size, {list(weights)}[((row_number() over (order by source nulls last)) - 1) % {len(weights)} + 1] as weight
+  from d group by source),
+c as (select *, source_size * {most} as cap, (source_size * {most})::double / weight as per,
+  coalesce(sum(source_size * {most}) over b, 0)::bigint as caps, coalesce(sum(weight) over b, 0)::bigint as weights,
+  (sum(source_size) over ())::double * {share} as budget, (sum(weight) over ())::bigint as heavy
+  from s window b as (order by (source_size * {most})::double / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+v as (select *, (budget - caps) / (heavy - weights) as level from c),
+t as (select source, source_size, least(cap::double, coalesce((select max(level) from v where per >= level), 0) * weight) as target from v),
+p as (select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole, target - whole * source_size as rest from t),
+q as (select d.*, source_size, target, whole, rest, (u / (1 - u)) / nullif((rest / nullif(source_size, 0)) / (1 - rest / nullif(source_size, 0)), 0) as odds
+  from d join p on p.source is not distinct from d.source),
+r as (select *, sum(size) over (partition by source order by odds nulls last, doc_id nulls last rows unbounded preceding) as upto from q)
+select doc_id, size, source_size, target, (size * (whole + (odds is not null and 2 * upto - size <= 2 * rest)::int))::bigint as taken from r"""
+
+
+__all__ = ["audit_sql", "chat_sql", "jaccard_sql", "mixing_sql", "quality_sql", "resample_sql", "warc_sql"]

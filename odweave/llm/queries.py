@@ -8,13 +8,16 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from odweave.llm.audit import audit
 from odweave.llm.chat import digest, format_turns
 from odweave.llm.decontaminate import contaminated, item_blocks
 from odweave.llm.jaccard import jaccard_groups
 from odweave.llm.language import fit, predict
-from odweave.llm.oracles import chat_sql, jaccard_sql, quality_sql, warc_sql
+from odweave.llm.mixing import mix
+from odweave.llm.oracles import audit_sql, chat_sql, jaccard_sql, mixing_sql, quality_sql, resample_sql, warc_sql
 from odweave.llm.packing import cut, pack
 from odweave.llm.quality import assess
+from odweave.llm.resample import resample
 from odweave.llm.sharding import shard
 from odweave.llm.tables import table
 from odweave.llm.token_counts import token_counts
@@ -30,6 +33,9 @@ SQL: dict[str, str] = {
     "op6_warc": warc_sql(),
     "op7_quality_rules": quality_sql(),
     "op9_chat_formatting": chat_sql(HOSTILE),
+    "op11_importance_resampling": resample_sql(5, 20, 10_000, 42),
+    "op12_filter_audit": audit_sql(),
+    "op13_source_mixing": mixing_sql((3, 1, 2), 1.5, 2, 13),
 }
 #: Ids of a packed sequence.
 SEQUENCE = 4096
@@ -95,3 +101,18 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
