@@ -65,6 +65,17 @@ def step_curve(t: Tables) -> DataFrame:
     return curve.select("id", "cumulative_pct_commuters")
 
 
+@query(
+    "step_curve_real",
+    "WITH r AS (SELECT w_tract, duration / CAST(60 AS DOUBLE) AS hours FROM routes) SELECT row_number() OVER (ORDER BY hours DESC, w_tract) AS id,"
+    " round(sum(hours) OVER (ORDER BY hours DESC, w_tract ROWS UNBOUNDED PRECEDING) / (SELECT sum(hours) FROM r), 9) AS cumulative_pct_hours FROM r",
+)
+def step_curve_real(t: Tables) -> DataFrame:
+    hours = t.routes.select("w_tract", (F.col("duration") / F.lit(60.0)).alias("hours"))
+    curve = cumulative_share(hours, "hours", ["w_tract"])
+    return curve.select("id", F.round("cumulative_pct_hours", 9).alias("cumulative_pct_hours"))
+
+
 _UNIT = "(commuters - (SELECT min(commuters) FROM flows_pair)) / CAST((SELECT max(commuters) - min(commuters) FROM flows_pair) AS DOUBLE)"
 
 

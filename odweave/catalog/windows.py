@@ -78,3 +78,30 @@ def win_share_whole(t: Tables) -> DataFrame:
 def cumulative_frames(t: Tables) -> DataFrame:
     ids = w.add_step_id(t.steps.select(*_STEP_COLS, "duration"), ["h_tract", "w_tract"], _STEP_COLS[2:])
     return w.cumulative_frames(ids, "id", ["duration"])
+
+
+@query(
+    "cumulative_frames_real",
+    "SELECT id, round(sum(sum(hours)) OVER (ORDER BY id), 6) AS cumulative_hours, CAST(sum(sum(km)) OVER (ORDER BY id) AS DOUBLE) AS cumulative_km,"
+    " CAST(sum(count(*)) OVER (ORDER BY id) AS BIGINT) AS cumulative_rows"
+    f" FROM (SELECT duration / CAST(60 AS DOUBLE) AS hours, distance AS km, row_number() OVER ({_STEP_ORDER}) AS id FROM steps) q GROUP BY id",
+)
+def cumulative_frames_real(t: Tables) -> DataFrame:
+    steps = t.steps.select(*_STEP_COLS, (F.col("duration") / F.lit(60.0)).alias("hours"), F.col("distance").cast("double").alias("km"))
+    frames = w.cumulative_frames(w.add_step_id(steps, ["h_tract", "w_tract"], _STEP_COLS[2:]), "id", ["hours", "km"])
+    return frames.withColumns({"cumulative_hours": F.round("cumulative_hours", 6), "cumulative_km": F.round("cumulative_km", 2)})
+
+
+_FAR = "ORDER BY distance DESC, w_tract"
+_FAR_SHARE = f"round(sum(distance) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) / (SELECT sum(distance) FROM routes), 9)"
+
+
+@query(
+    "win_cum_share_real",
+    f"SELECT h_tract, w_tract, distance, row_number() OVER ({_FAR}) AS id, round(distance / (SELECT sum(distance) FROM routes), 9) AS pct_distance,"
+    f" {_FAR_SHARE} AS cumulative_pct_distance FROM routes",
+)
+def win_cum_share_real(t: Tables) -> DataFrame:
+    routes = t.routes.select("h_tract", "w_tract", F.col("distance").cast("double").alias("distance"))
+    ranked = w.cumulative_share(routes, "distance", ["w_tract"])
+    return ranked.withColumns({c: F.round(c, 9) for c in ("pct_distance", "cumulative_pct_distance")})

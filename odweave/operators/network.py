@@ -13,7 +13,7 @@ from odweave.functions.semantics import sort_keys
 from odweave.functions.text import str_c
 from odweave.operators.joins import destinations_of, join
 from odweave.operators.reshape import endpoints
-from odweave.operators.verbs import min_flow, top_n
+from odweave.operators.verbs import arrange, min_flow, top_n
 from odweave.operators.windows import add_row_id
 
 
@@ -55,7 +55,8 @@ class FlowGraph:
         return self.nodes_df.orderBy(*sort_keys(["name"]))
 
     def edges(self, order: Sequence[str] = ()) -> DataFrame:
-        return self.edges_df.orderBy(*sort_keys(order)) if order else self.edges_df
+        """The edges, in an order if asked for; ties go by a hash of the edge, so that one weight spreads over tasks."""
+        return arrange(self.edges_df, *order) if order else self.edges_df
 
     def with_ids(self, **scan) -> FlowGraph:
         """Dense node ids in name order; edges get the ids of both ends."""

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from odweave.functions.semantics import sort_keys, strict_sum, whole
+from odweave.operators.exact import grids
 from odweave.operators.joins import join
+from odweave.operators.verbs import arrange
 from odweave.session import materialize
 
 _RANGE, _TIE, _SALT = "__range", "__tie", "__salt"
@@ -37,19 +39,23 @@ def in_order(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str]
 def scan_stored(
     stored: DataFrame, order_by: Sequence[str], totals: Mapping[str, str], row_id: str | None, partition_by: Sequence[str]
 ) -> DataFrame:
-    """Running sums and row numbers over a table from ``in_order`` with the same keys."""
-    kinds = {f.name: f.dataType for f in stored.schema}
-    for src in totals.values():
-        if isinstance(kinds[src], (T.FloatType, T.DoubleType)):
-            raise TypeError(f"{src} is a floating point column: its running sum would depend on the partitioning; cast it to a decimal")
+    """Running sums and row numbers over a table from ``in_order`` with the same keys.
+
+    Floating point columns are summed as whole digits, so their running sums do not depend on the ranges either.
+    """
+    found = grids(stored, totals.values())
+    digits = {out: [f"__d_{out}_{k}" for k in range(len(found[src]))] for out, src in totals.items() if src in found}
+    for out, names in digits.items():
+        stored = stored.withColumns(dict(zip(names, found[totals[out]].digits(F.col(totals[out])), strict=True)))
+    summed = {out: src for out, src in totals.items() if out not in digits} | {f"{d}_run": d for names in digits.values() for d in names}
     parts = list(partition_by)
     within = Window.partitionBy(_RANGE, *parts).orderBy(*sort_keys([*order_by, _TIE, _SALT]))
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {out: F.sum(src).over(upto) for out, src in totals.items()}
+    new = {out: F.sum(src).over(upto) for out, src in summed.items()}
     if row_id:
         new[row_id] = F.row_number().over(within).cast("bigint")
     local = stored.withColumns(new)
-    shifts = _shifts(stored, parts, totals)
+    shifts = _shifts(stored, parts, summed)
     cond = reduce(lambda a, b: a & b, [local[c].eqNullSafe(shifts[f"__s_{c}"]) for c in [_RANGE, *parts]])
     # a range continues at most one group of the ranges before it: no more rows than ranges, so the hint is safe
     joined = local.join(F.broadcast(shifts), cond, "left")
@@ -60,8 +66,11 @@ def scan_stored(
         moved = F.when(F.col(n).isNull(), before).otherwise(F.col(n) + F.coalesce(before, F.lit(0)))
         return moved.cast(local.schema[n].dataType).alias(n)
 
-    keep = [c for c in stored.columns if c not in (_RANGE, _TIE, _SALT)]
-    return joined.select(*keep, *[shifted(n) for n in new])
+    hidden = {_RANGE, _TIE, _SALT, *(d for names in digits.values() for d in names)}
+    keep = [c for c in stored.columns if c not in hidden]
+    moved = joined.select(*keep, *[shifted(n) for n in new])
+    whole_sums = {out: found[totals[out]].value([F.col(f"{d}_run") for d in names]) for out, names in digits.items()}
+    return moved.select(*keep, *[whole_sums[n].alias(n) if n in digits else n for n in [*totals, *([row_id] if row_id else [])]])
 
 
 def _shifts(stored: DataFrame, parts: list[str], totals: Mapping[str, str]) -> DataFrame:
@@ -88,7 +97,7 @@ def prefix_scan(
     """Add running sums ``{new column: summed column}`` and / or a row number in the order ``order_by``.
 
     ``-name`` sorts descending; missing values sort last; ties go by a hash of the row. With ``partition_by`` the scan
-    restarts per group. Whole numbers and decimals can be summed, floating point columns cannot.
+    restarts per group. Sums are exact: those of floating point columns are rounded once, after the last addition.
     """
     stored = in_order(df, order_by, partition_by, partitions)
     return scan_stored(stored, order_by, dict(totals or {}), row_id, partition_by)
@@ -108,13 +117,19 @@ def cumulative_share(df: DataFrame, col: str, tiebreak: Sequence[str], out_id: s
     """Row id, share and running share of ``col``, largest first. One missing value makes all shares missing."""
     order = [f"-{col}", *tiebreak]
     stored = in_order(df, order, **scan)
-    grand = stored.agg(strict_sum(col)).scalar()
+    grand = stored.agg(_strict_total(stored, col)).scalar()
     scanned = scan_stored(stored, order, {"__run": col}, out_id, ())
     return scanned.withColumns(
         {f"pct_{col}": F.try_divide(F.col(col), grand), f"cumulative_pct_{col}": F.try_divide(F.col("__run"), grand)}
     ).drop("__run")
 
 
+def _strict_total(df: DataFrame, col: str) -> Column:
+    """``strict_sum``; of a floating point column the sum that its running sum ends with."""
+    found = grids(df, [col])
+    return F.when(F.count(col) == F.count(F.lit(1)), found[col].total(F.col(col))) if found else strict_sum(col)
+
+
 def top_share(df: DataFrame, col: str, share: float, tiebreak: Sequence[str], **scan) -> DataFrame:
     """The largest rows that together carry at most ``share`` of the total."""
     ranked = cumulative_share(df, col, tiebreak, **scan)
@@ -128,7 +143,7 @@ def share_buckets(
     ranked = cumulative_share(df, col, tiebreak, **scan)
     inside = F.col(f"cumulative_pct_{col}") <= cut
     flag = F.when(inside, F.lit(labels[0])).when(~inside, F.lit(labels[1]))
-    return ranked.groupBy(flag.alias(out)).agg(strict_sum(col).alias(col))
+    return ranked.groupBy(flag.alias(out)).agg(_strict_total(ranked, col).alias(col))
 
 
 def add_percent_rank(df: DataFrame, col: str, out: str = "percentile", **scan) -> DataFrame:
@@ -148,14 +163,48 @@ def add_count(df: DataFrame, keys: Sequence[str], out: str = "n", sort: bool = F
     """Group size on every row. Counted with map-side combine and joined back, so no group is gathered in a task."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
     counted = join(df, sizes, by=list(keys))
-    return counted.orderBy(*sort_keys([f"-{out}", *keys])) if sort else counted
+    return arrange(counted, f"-{out}", *keys) if sort else counted
+
+
+#: Frames of one block of ``cumulative_frames``.
+_BLOCK = 4096
 
 
 def cumulative_frames(df: DataFrame, frame: str, measures: Sequence[str], **scan) -> DataFrame:
-    """Totals over all rows whose frame id is at most each frame's: summed per frame, then a running sum."""
-    per = df.groupBy(frame).agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("rows"))
-    scanned = prefix_scan(per, [frame], {f"cumulative_{m}": m for m in [*measures, "rows"]}, **scan)
-    return scanned.select(frame, *[f"cumulative_{m}" for m in [*measures, "rows"]])
+    """Totals over all rows whose frame id is at most each frame's: summed per frame, then a running sum.
+
+    Sums of floating point measures are exact until the last rounding. Whole frame ids are scanned in blocks of ids, without
+    sorting or storing the table of frames; any other id (also a missing one, which comes last) takes the scan by ranges.
+    """
+    found = grids(df, measures)
+    digits = {m: [f"__d_{m}_{k}" for k in range(len(found[m]))] if m in found else [m] for m in measures}
+    aggs = [F.sum(d).alias(n) for m in measures for d, n in zip(found[m].digits(F.col(m)) if m in found else [F.col(m)], digits[m], strict=True)]
+    sums = [*(n for m in measures for n in digits[m]), "rows"]
+    per = df.groupBy(frame).agg(*aggs, F.count(F.lit(1)).alias("rows"))
+    if isinstance(df.schema[frame].dataType, T.IntegralType) and not scan:
+        scanned = _blockwise(per, frame, sums)
+    else:
+        scanned = prefix_scan(per, [frame], {f"__c_{n}": n for n in sums}, **scan)
+    values = {m: found[m].value([F.col(f"__c_{n}") for n in digits[m]]) if m in found else F.col(f"__c_{m}") for m in measures}
+    return scanned.select(frame, *[v.alias(f"cumulative_{m}") for m, v in values.items()], F.col("__c_rows").alias("cumulative_rows"))
+
+
+def _blockwise(per: DataFrame, frame: str, sums: Sequence[str]) -> DataFrame:
+    """Running sums in the order of a whole number: inside blocks of ids, and over the blocks' own sums."""
+    block = F.floor(F.col(frame) / _BLOCK)
+    blocked = per.withColumn("__block", F.coalesce(block, F.lit((1 << 62))))
+    inside = Window.partitionBy("__block").orderBy(F.col(frame).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    totals = blocked.groupBy("__block").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(F.col("__block").alias("__b"), *[F.sum(n).over(before).alias(f"__o_{n}") for n in sums])
+    local = blocked.withColumns({f"__c_{n}": F.sum(n).over(inside) for n in sums})
+    joined = local.join(shifts, local["__block"] == shifts["__b"])
+
+    def shifted(n: str) -> Column:
+        kind, own, moved = per.schema[n].dataType, F.col(f"__c_{n}"), F.col(f"__o_{n}")
+        return F.when(own.isNull(), moved).otherwise(own + F.coalesce(moved, F.lit(0))).cast(kind).alias(f"__c_{n}")
+
+    return joined.select(frame, *[shifted(n) for n in sums])
 
 
 def weighted_quantiles(
