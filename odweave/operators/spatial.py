@@ -8,13 +8,16 @@ Nothing here pairs all geometries: candidates always meet through an equi join o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odweave.functions.geometry import line_segments, polygon_edges, segments_touch, way_crosses_edge
+from odweave.functions.geometry import bbox, line_segments, polygon_edges, segments_touch, way_crosses_edge
 from odweave.operators.joins import By, join
+from odweave.session import materialize
 
 
 def drop_geometry(df: DataFrame, *cols: str) -> DataFrame:
@@ -117,6 +120,12 @@ def overlay(
 
 # off-centre, so that edges drawn on round coordinates do not run through a reference point
 _REFERENCE = (0.5132719, 0.4871543)
+#: Cells of its own level that a segment or a simple polygon spans at most.
+_ACROSS = 16
+#: Levels are this many doublings apart: fewer levels mean fewer rows above a segment's own.
+_STEP = 2
+#: Cells of a grid column that make a block of the next size.
+_BLOCK = 8
 
 
 def _flat(segment: str, a: str, b: str) -> list[Column]:
@@ -124,23 +133,37 @@ def _flat(segment: str, a: str, b: str) -> list[Column]:
     return [F.col(f"{segment}.{e}.{c}").alias(n + c) for e, n in (("a", a), ("b", b)) for c in "xy"]
 
 
-def _segment_cells(df: DataFrame, ax: str, ay: str, bx: str, by: str, cell: float) -> DataFrame:
-    """Cells ``cx, cy`` a segment passes through (a hair more, never less), one row each.
+def _level(extent: Column, cell: float, across: Column | int = _ACROSS) -> Column:
+    """The lowest level of a quadtree, with cells of ``cell * 2^level``, at which an extent spans ``across`` cells or less."""
+    doublings = F.log2(F.greatest(extent / (F.lit(cell) * across), F.lit(1.0)))
+    return (F.ceil(doublings / _STEP) * _STEP).cast("int")
+
+
+def _size(level: str, cell: float) -> Column:
+    return F.lit(cell) * F.pow(F.lit(2.0), F.col(level))
+
+
+def _levels(found: Iterable[int]) -> Column:
+    """The levels that occur, as a constant array. There are no more of them than exponents of a double."""
+    return F.array(*[F.lit(int(level)) for level in found]).cast("array<int>")
+
+
+def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float) -> DataFrame:
+    """Cells ``cx, cy`` of the row's level that a segment passes through (a hair more, never less), one row each.
 
     Every intermediate is a column of its own: inlined into one another, the expressions make a generated method too
     large for the JVM to compile.
     """
-    pad = cell * 1e-6
-    a_x, a_y, b_x, b_y = F.col(ax), F.col(ay), F.col(bx), F.col(by)
+    a_x, a_y, b_x, b_y = (F.col(c) for c in ends)
+    s = df.withColumns({"__c": _size(level, cell), "__x0": F.least(a_x, b_x), "__x1": F.greatest(a_x, b_x)})
+    size, pad = F.col("__c"), F.col("__c") * 1e-6
     # a nearly vertical segment has no slope and covers its whole height in each of its columns
-    slope = F.when(F.abs(b_x - a_x) > cell * 1e-3, F.try_divide(b_y - a_y, b_x - a_x))
-    s = df.withColumns({"__x0": F.least(a_x, b_x), "__x1": F.greatest(a_x, b_x), "__m": slope})
-    first, last = F.floor((F.col("__x0") - pad) / cell), F.floor((F.col("__x1") + pad) / cell)
-    s = s.withColumn("cx", F.explode(F.sequence(first, last)))
+    s = s.withColumn("__m", F.when(F.abs(b_x - a_x) > size * 1e-3, F.try_divide(b_y - a_y, b_x - a_x)))
+    s = s.withColumn("cx", F.explode(F.sequence(F.floor((F.col("__x0") - pad) / size), F.floor((F.col("__x1") + pad) / size))))
     s = s.withColumns(
         {
-            "__yl": a_y + (F.greatest("__x0", F.col("cx") * F.lit(cell)) - a_x) * F.col("__m"),
-            "__yr": a_y + (F.least("__x1", (F.col("cx") + 1) * F.lit(cell)) - a_x) * F.col("__m"),
+            "__yl": a_y + (F.greatest("__x0", F.col("cx") * size) - a_x) * F.col("__m"),
+            "__yr": a_y + (F.least("__x1", (F.col("cx") + 1) * size) - a_x) * F.col("__m"),
         }
     )
     s = s.withColumns(
@@ -149,10 +172,68 @@ def _segment_cells(df: DataFrame, ax: str, ay: str, bx: str, by: str, cell: floa
             "__hi": F.least(F.greatest(a_y, b_y), F.greatest("__yl", "__yr")),
         }
     )
-    rows = F.sequence(F.floor((F.col("__lo") - pad) / cell), F.floor((F.col("__hi") + pad) / cell))
+    rows = F.sequence(F.floor((F.col("__lo") - pad) / size), F.floor((F.col("__hi") + pad) / size))
     return s.select(*df.columns, "cx", F.explode(rows).alias("cy"))
 
 
+def segment_cover(df: DataFrame, ends: Sequence[str], others: Column, cell: float, asks: int, meets: Sequence[int]) -> DataFrame:
+    """A segment's cells ``cx, cy`` at its own level (column ``level``) and, above it, at the levels of the ``others``.
+
+    ``slot`` is twice the cell's level plus a kind. Kinds make two covers meet once, at the higher of both levels: cells of a
+    segment's own level carry the kinds ``meets``, those above it the kind ``asks``; the other side has them the other way round.
+    """
+    own = F.col("level")
+    here = [F.struct(own.alias("at"), (own * 2 + kind).alias("slot")) for kind in meets]
+    above = F.transform(F.filter(others, lambda at: at > own), lambda at: F.struct(at.alias("at"), (at * 2 + asks).alias("slot")))
+    return _covered(df.select("*", F.inline(F.concat(F.array(*here), above))), ends, "at", cell).drop("level", "at")
+
+
+def _inside_blocks(shapes: DataFrame, cell: float, largest: int) -> list[DataFrame]:
+    """Cells of each shape's level whose reference point lies inside it, as blocks of 1, 8, 64, ... cells of a grid column.
+
+    The fill is the scan line's of ``_filled`` on cells of the shape's own size; a run of cells in a column becomes few blocks.
+    One table for each size of block: ``cy`` counts blocks.
+    """
+    e = shapes.select("__shape", "__name", "level", F.posexplode(polygon_edges("__poly")).alias("__no", "__e"))
+    e = e.select("__shape", "__name", "level", "__no", *_flat("__e", "e", "f")).withColumn("__c", _size("level", cell))
+    flip, size = F.col("ex") > F.col("fx"), F.col("__c")
+    for n, (one, other) in {"l": ("e", "f"), "r": ("f", "e")}.items():
+        e = e.withColumns({f"{n}{c}": F.when(flip, F.col(f"{other}{c}")).otherwise(F.col(f"{one}{c}")) for c in "xy"})
+    at_x, at_y = _REFERENCE
+    lo, hi = F.ceil(F.col("lx") / size - at_x), F.ceil(F.col("rx") / size - at_x) - 1
+    cols = e.filter(lo <= hi).withColumn("cx", F.explode(F.sequence(lo, hi)))
+    y = F.col("ly") + ((F.col("cx") + at_x) * size - F.col("lx")) * (F.col("ry") - F.col("ly")) / (F.col("rx") - F.col("lx"))
+    owner = ["__shape", "__name", "level"]
+    hits = cols.groupBy(*owner, "__c", "cx").agg(F.array_sort(F.collect_list(y)).alias("__ys")).filter(F.size("__ys") >= 2)
+    spans = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("__ys") / 2).cast("int") - 1),
+        lambda i: F.struct(
+            F.ceil(F.get("__ys", 2 * i) / size - at_y).alias("from"), F.ceil(F.get("__ys", 2 * i + 1) / size - at_y).alias("to")
+        ),
+    )
+    runs = hits.select(*owner, "cx", F.inline(spans)).filter(F.col("from") < F.col("to"))
+    parts = []
+    for k in range(largest + 1):
+        unit = _BLOCK**k
+        first, end = F.ceil(F.col("from") / unit), F.floor(F.col("to") / unit)
+        # blocks whose whole next larger block lies in the run belong to that one
+        wide_from, wide_to = F.ceil(F.col("from") / (unit * _BLOCK)) * _BLOCK, F.floor(F.col("to") / (unit * _BLOCK)) * _BLOCK
+        alone = F.sequence(first, end - 1)
+        if k < largest:
+            alone = F.filter(alone, lambda i: (wide_from >= wide_to) | (i < wide_from) | (i >= wide_to))
+        parts.append(runs.filter(first < end).select(*owner, "cx", F.explode(alone).alias("cy")))
+    return parts
+
+
+def _fill_levels(shapes: DataFrame, geometry: str, cell: float) -> DataFrame:
+    """Shapes with the level of their own fill and their extent in its cells: the more edges, the finer, so that a cell holds few."""
+    box = bbox(geometry)
+    extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
+    across = _ACROSS * F.ceil(F.sqrt(F.size(F.flatten(geometry)) / 4))
+    leveled = shapes.withColumn("level", F.coalesce(_level(extent, cell, across), F.lit(0)))
+    return leveled.withColumn("__wide", extent / _size("level", cell))
+
+
 def crosses(
     lines: DataFrame,
     polygons: DataFrame,
@@ -164,37 +245,59 @@ def crosses(
 ) -> DataFrame:
     """Distinct (line key, polygon name) pairs that share a point. A key may own any number of line rows.
 
-    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests look only at
-    polygons present in the same cell and sit in the join condition, so a candidate that fails never becomes a row.
-    Copies of a line within its key are dropped before it is cut into cells.
+    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests look only at what meets
+    in a cell of a quadtree and sit in the join condition, so a candidate that fails never becomes a row. ``cell`` is the
+    size of the smallest cells. Segments and edges lie in cells of a level that suits their own length, tens of rows however
+    long they are, and meet at the higher of both levels. Copies of a line within its key are dropped; lines and polygons are
+    stored once; what is counted per line goes by a short id.
     """
     keys = list(keys)
     shapes = polygons.select(F.col(name).alias("__name"), F.col(geometry).alias("__poly")).distinct()
-    edges = shapes.select("__name", _shape_id("__poly").alias("__shape"), F.explode(polygon_edges("__poly")).alias("__e"))
-    edges = _segment_cells(edges.select("__name", "__shape", *_flat("__e", "e", "f")), "ex", "ey", "fx", "fy", cell)
-    edges = edges.withColumnsRenamed({"cx": "ecx", "cy": "ecy"})
-    edge = [F.col(c) for c in ("ex", "ey", "fx", "fy")]
-    same_cell = (F.col("cx") == F.col("ecx")) & (F.col("cy") == F.col("ecy"))
+    shapes = materialize(_fill_levels(shapes.withColumn("__shape", _shape_id("__poly")), "__poly", cell))
+    edges = shapes.select("__shape", "__name", F.col("level").alias("__fill"), F.explode(polygon_edges("__poly")).alias("__e"))
+    edges = edges.select("__shape", "__name", "__fill", *_flat("__e", "e", "f"))
+    edges = edges.withColumn("level", _level(F.greatest(F.abs(F.expr("fx - ex")), F.abs(F.expr("fy - ey"))), cell))
+    known = edges.agg(F.collect_set("level").alias("level"), F.collect_set("__fill").alias("fill")).first()
+    widest = shapes.agg(F.max("__wide")).first()[0] or 1.0
+    largest = int(math.log(max(widest, 1.0), 2 * _BLOCK))
 
-    parts = dissolve_lines(lines.filter(F.size(line) > 0), keys, line)
     start = F.get(line, F.lit(0))
     dot = F.array(F.struct(start.alias("a"), start.alias("b")))
     pieces = F.when(F.size(line) == 1, dot).otherwise(line_segments(line))
-    segments = parts.select(*keys, F.explode(pieces).alias("__s")).select(*keys, *_flat("__s", "a", "b"))
-    segments = _segment_cells(segments, "ax", "ay", "bx", "by", cell)
-    touch = segments_touch(*[F.col(c) for c in ("ax", "ay", "bx", "by")], *edge)
-    touching = segments.join(edges, same_cell & touch).select(*keys, F.col("__name").alias(name))
+    # narrow rows, much work on each: the tasks that drop copies stay as many as asked for, however few bytes they hold
+    dealt = lines.filter(F.size(line) > 0).repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, line)
+    parts = dissolve_lines(dealt, keys, line)
+    parts = materialize(parts.select(*keys, F.monotonically_increasing_id().alias("__line"), pieces.alias("__s")))
+    segments = parts.select(*keys, "__line", F.posexplode("__s").alias("__no", "__s")).select(*keys, "__line", "__no", *_flat("__s", "a", "b"))
+    segments = segments.withColumn("level", _level(F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("by - ay"))), cell))
+
+    edge = [F.col(c) for c in ("ex", "ey", "fx", "fy")]
+    ends = ["ax", "ay", "bx", "by"], ["ex", "ey", "fx", "fy"]
+    left = segment_cover(segments.drop("__line", "__no"), ends[0], _levels(known["level"]), cell, 1, [0])
+    right = segment_cover(edges.drop("__fill", "__shape"), ends[1], _levels(r[0] for r in segments.select("level").distinct().collect()), cell, 0, [0, 1])
+    right = right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})
+    same_cell = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
+    touch = segments_touch(*[F.col(c) for c in ends[0]], *edge)
+    touching = left.join(right, same_cell & touch).select(*keys, "__name")
 
     # a start lies inside a polygon if its cell's reference point does, switched once per edge between the two
-    starts = parts.select(*keys, start["x"].alias("px"), start["y"].alias("py")).distinct()
-    starts = starts.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    filled = _filled(shapes, ["__name"], cell, "__poly", _REFERENCE).withColumnsRenamed({"cx": "ecx", "cy": "ecy"})
-    rx, ry = (F.col("cx") + _REFERENCE[0]) * F.lit(cell), (F.col("cy") + _REFERENCE[1]) * F.lit(cell)
+    starts = segments.filter("__no = 0").select(*keys, "__line", F.col("ax").alias("px"), F.col("ay").alias("py"))
+    starts = starts.withColumn("at", F.explode(_levels(known["fill"])))
+    starts = starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell)) for c in "xy"})
+    found = ["__line", "__name", "__shape"]
+    votes = None
+    for k, blocks in enumerate(_inside_blocks(shapes, cell, largest)):
+        blocks = blocks.withColumnsRenamed({"level": "e_at", "cx": "e_cx", "cy": "e_cy"})
+        in_block = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.floor(F.col("cy") / _BLOCK**k) == F.col("e_cy"))
+        filled = starts.join(blocks, in_block).select(*keys, *found)
+        votes = filled if votes is None else votes.unionAll(filled)
+    near = _covered(edges.drop("level"), ends[1], "__fill", cell).withColumnsRenamed({"__fill": "e_at", "cx": "e_cx", "cy": "e_cy"})
+    beside = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.col("cy") == F.col("e_cy"))
+    rx, ry = ((F.col(f"c{c}") + _REFERENCE[i]) * _size("at", cell) for i, c in enumerate("xy"))
     switch = way_crosses_edge(F.col("px"), F.col("py"), rx, ry, *edge)
-    found = [*keys, "px", "py", "__name", "__shape"]
-    votes = starts.join(filled, same_cell).select(*found).unionAll(starts.join(edges, same_cell & switch).select(*found))
-    inside = votes.groupBy(*found).agg(F.count(F.lit(1)).alias("__n")).filter("__n % 2 = 1")
-    return touching.unionAll(inside.select(*keys, F.col("__name").alias(name))).distinct()
+    votes = votes.unionAll(starts.join(near, beside & switch).select(*keys, *found))
+    odd = votes.groupBy(*found).agg(*[F.any_value(k).alias(k) for k in keys], F.count(F.lit(1)).alias("__n")).filter("__n % 2 = 1")
+    return touching.unionAll(odd.select(*keys, "__name")).distinct().withColumnRenamed("__name", name)
 
 
 def crossing_flags(
