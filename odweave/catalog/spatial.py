@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from odweave.catalog.fixtures import CELL, Tables
 from odweave.catalog.registry import query
-from odweave.functions.geometry import centroid, point, xy
+from odweave.functions.geometry import bbox, box, centroid, point, xy
 from odweave.operators import spatial as s
 from odweave.operators.joins import join
+from odweave.operators.polygons import dissolve_rings, erased_areas, shared_areas
 from odweave.operators.quality import missing_rows
 from odweave.operators.reshape import flags_to_rows, unpivot
 from odweave.operators.verbs import agg_top_k, top_k
@@ -80,6 +81,65 @@ def geo_overlay(t: Tables) -> DataFrame:
     return s.overlay(t.plots, t.zones, ["vec_id"], ["zone"], CELL).drop("shared_area")
 
 
+# Outlines of cell sets: boundary sides and corners of the lattice say how many edges and rings there must be.
+_RINGS = (
+    "c AS (SELECT DISTINCT label, cx, cy FROM plot_cells),"
+    " s AS (SELECT c.label, count(*) AS edges FROM c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)"
+    " WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.label = c.label AND o.cx = c.cx + dx AND o.cy = c.cy + dy) GROUP BY 1),"
+    " q AS (SELECT label, cx + dx AS vx, cy + dy AS vy, sum(1 << (dx + 2 * dy)) AS quad FROM c, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy) GROUP BY 1, 2, 3),"
+    " e AS (SELECT label, sum(CASE WHEN bit_count(quad::int) = 1 THEN 1 WHEN bit_count(quad::int) = 3 THEN -1 WHEN quad IN (6, 9) THEN 2 ELSE 0 END) // 4 AS rings FROM q GROUP BY 1)"
+)
+
+
+@query(
+    "geo_dissolve_rings",
+    f"WITH {_RINGS} SELECT label, edges, CAST(rings AS BIGINT) AS outer_less_holes, CAST(count(*) AS DOUBLE) AS area FROM c JOIN s USING (label) JOIN e USING (label) GROUP BY ALL",
+)
+def geo_dissolve_rings(t: Tables) -> DataFrame:
+    cells = s.dissolve(t.plots, ["label"], CELL)
+    squares = cells.select("label", box("cx", "cy", F.col("cx") + 1, F.col("cy") + 1).alias("geometry"))
+    rings = dissolve_rings(squares, ["label"])
+    first = F.struct(F.col("place").alias("p"), "x", "y")
+    ahead = rings.select("ring", F.col("x").alias("nx"), F.col("y").alias("ny"), (F.col("place") - 1).alias("place"))
+    last = rings.groupBy("ring").agg(F.max("place").alias("place"), F.min(first).alias("f")).select("ring", "f.x", "f.y", "place")
+    closed = ahead.filter("place >= 0").unionByName(last.withColumnsRenamed({"x": "nx", "y": "ny"}))
+    sides = join(rings, closed, ["ring", "place"], "inner")
+    return sides.groupBy("label").agg(
+        F.count(F.lit(1)).alias("edges"), F.sum(F.when(F.col("place") == 0, F.when(F.col("hole"), -1).otherwise(1)).otherwise(0)).alias("outer_less_holes"),
+        (F.sum(F.expr("x * ny - nx * y")) / 2).alias("area"),
+    )
+
+
+# what a box shares with an L: its lower bar and the square on top of its left half
+_PART = "greatest(least({a1}, {b1}) - greatest({a0}, {b0}), 0)"
+_IN_BOX = (
+    f"{_PART.format(a0='x', a1='x + 2 * s', b0='x0', b1='x1')} * {_PART.format(a0='y', a1='y + s', b0='y0', b1='y1')}"
+    f" + {_PART.format(a0='x', a1='x + s', b0='x0', b1='x1')} * {_PART.format(a0='y + s', a1='y + 2 * s', b0='y0', b1='y1')}"
+)
+
+
+@query("geo_overlay_exact", f"SELECT * FROM (SELECT vec_id, zone, round({_IN_BOX}, 9) AS shared_area FROM plots, zones) q WHERE shared_area > 0")
+def geo_overlay_exact(t: Tables) -> DataFrame:
+    shared = shared_areas(t.plots, t.zones, ["vec_id"], ["zone"])
+    return shared.withColumn("shared_area", F.round("shared_area", 9)).filter("shared_area > 0")
+
+
+_STRIPES = "SELECT zone, zone * CAST(0.1 AS DOUBLE) - 1 AS x0, zone * CAST(0.1 AS DOUBLE) - CAST(0.95 AS DOUBLE) AS x1, y0, y1 FROM zones"
+
+
+@query(
+    "geo_erase_exact",
+    f"SELECT vec_id, round(3 * s * s, 9) AS area, round(3 * s * s - sum({_IN_BOX}), 9) AS left_area FROM plots, ({_STRIPES}) z GROUP BY vec_id, s",
+)
+def geo_erase_exact(t: Tables) -> DataFrame:
+    """Plots without stripes, one for each zone, that do not overlap one another."""
+    b = bbox("geometry")
+    west = F.col("zone") * 0.1 - 1
+    stripes = t.zones.select("zone", box(west, b["ymin"], F.col("zone") * 0.1 - 0.95, b["ymax"]).alias("geometry"))
+    left = erased_areas(t.plots, stripes, ["vec_id"], ["zone"])
+    return left.withColumns({c: F.round(c, 9) for c in ("area", "left_area")})
+
+
 # a segment meets a closed box if the part of it inside the box's x range overlaps the y range
 _CROSS = (
     "rivers AS (SELECT FULLNAME, row_number() OVER (ORDER BY sum(AWATER) DESC, FULLNAME) AS rank FROM water GROUP BY 1 ORDER BY 2 LIMIT 4),"

@@ -71,6 +71,11 @@ def _moments(poly: Column) -> Column:
     return F.aggregate(polygon_edges(poly), zero, add)
 
 
+def signed_area(poly: str | Column) -> Column:
+    """Area of a polygon whose holes run against its outer rings; negative if these run clockwise."""
+    return _moments(_col(poly))["a"] / 2
+
+
 def area(poly: str | Column) -> Column:
     """Area of a polygon whose holes run against the outer ring."""
     return F.abs(_moments(_col(poly))["a"]) / 2
