@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.catalog.fixtures import Tables
-from odweave.catalog.model import _SCORED
+from odweave.catalog.fixtures import CELL, Tables
+from odweave.catalog.model import _hash
 from odweave.catalog.registry import query
+from odweave.catalog.spatial import _CROSS
+from odweave.operators.joins import join
+from odweave.operators.spatial import crossing_flags
+from odweave.operators.verbs import agg_top_k
 from odweave.plans.duration_model import duration_model
 from odweave.plans.flow_summary import area_balance, main_network, top_area_pairs
 from odweave.plans.route_study import study_routes
+from odweave.session import materialize
 
 
 @query("plan_top_area_pairs", "SELECT h_tract, w_tract, commuters FROM flows_area WHERE h_tract <> w_tract")
@@ -72,11 +77,37 @@ def plan_route_study(t: Tables) -> DataFrame:
     )
 
 
-@query("plan_duration_model", f"WITH {_SCORED} SELECT h_tract, w_tract, round(pred, 5) AS pred, round(duration - pred, 5) AS resid FROM scored")
+# Predictors made orthogonal one after another on the training part, so that each coefficient stands alone.
+_ORTHOGONAL = (
+    "r AS (SELECT h_tract, w_tract, CAST(duration AS DOUBLE) AS y, CAST(distance AS DOUBLE) AS x1, CAST(steps AS DOUBLE) AS x2,"
+    " CAST(coalesce(f.f1, 0) AS DOUBLE) AS x3, CAST(coalesce(f.f2, 0) AS DOUBLE) AS x4, {train} AS fits FROM routes LEFT JOIN"
+    " (SELECT l_orderkey, max((rank = 1)::int) AS f1, max((rank = 2)::int) AS f2 FROM met GROUP BY 1) f ON f.l_orderkey = w_tract),"
+    " o1 AS (SELECT *, x1 - avg(x1) {on} AS z1 FROM r),"
+    " o2 AS (SELECT *, x2 - avg(x2) {on} - coalesce(regr_slope(x2, z1) {on}, 0) * z1 AS z2 FROM o1),"
+    " o3 AS (SELECT *, x3 - avg(x3) {on} - coalesce(regr_slope(x3, z1) {on}, 0) * z1 - coalesce(regr_slope(x3, z2) {on}, 0) * z2 AS z3 FROM o2),"
+    " o4 AS (SELECT *, x4 - avg(x4) {on} - coalesce(regr_slope(x4, z1) {on}, 0) * z1 - coalesce(regr_slope(x4, z2) {on}, 0) * z2"
+    " - coalesce(regr_slope(x4, z3) {on}, 0) * z3 AS z4 FROM o3),"
+    " fitted AS (SELECT *, avg(y) {on} + "
+    + " + ".join(f"coalesce(regr_slope(y, z{k}) {{on}}, 0) * z{k}" for k in range(1, 5))
+    + " AS pred FROM o4)"
+).format(train=f"{_hash('split-1234', 10000)} < 7500", on="FILTER (WHERE fits) OVER ()")
+
+
+@query(
+    "plan_duration_model",
+    f"WITH {_CROSS}, {_ORTHOGONAL} SELECT h_tract, w_tract, round(pred, 5) AS pred, round(y - pred, 5) AS resid FROM fitted",
+)
 def plan_duration_model(t: Tables) -> DataFrame:
-    """Durations by distance, steps and a crossing flag that is the same for all routes, which the recipe drops."""
-    routes = t.routes.select(
-        "h_tract", "w_tract", F.col("distance").cast("double").alias("distance"), "steps", "duration", (F.col("steps") < 0).alias("crosses")
-    )
-    model = duration_model(routes, t.blocks.withColumnRenamed("NAME", "area_name"), ("distance", "steps", "crosses"), key=("w_tract",))
+    """Durations by distance, steps, and which of the two largest rivers a route crosses.
+
+    A third flag, of a river that is not there, is the same for all routes; the recipe drops it.
+    """
+    rivers = [row["FULLNAME"] for row in agg_top_k(t.water, "FULLNAME", "AWATER", 2).collect()]
+    names = {"first": rivers[0], "second": rivers[1], "dry": "no such river"}
+    flags = crossing_flags(t.step_lines, t.water, ["l_orderkey"], "FULLNAME", names, CELL)
+    routes = t.routes.select("h_tract", "w_tract", F.col("distance").cast("double").alias("distance"), "steps", "duration")
+    flagged = join(routes, flags, {"w_tract": "l_orderkey"}, na_matches="never")
+    flagged = materialize(flagged.withColumns({n: F.coalesce(n, F.lit(False)).cast("double") for n in names}))
+    features = ("distance", "steps", *names)
+    model = duration_model(flagged, t.blocks.withColumnRenamed("NAME", "area_name"), features, key=("w_tract",))
     return model.predictions.select("h_tract", "w_tract", F.round("`.pred`", 5).alias("pred"), F.round("`.resid`", 5).alias("resid"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from odweave.functions.semantics import na_text, strict_sum, try_num
+from odweave.functions.semantics import strict_sum, try_num
 from odweave.functions.text import area_prefix
+from odweave.sources.flow_source import FlowSource
 
 # fixed values: length of an area code at each level of a 15-digit block code
 CODE_LENGTH = {"state": 2, "county": 5, "tract": 11, "bg": 12, "block": 15}
@@ -20,26 +19,6 @@ def flow_file(state: str, part: str, job_type: str, year: int) -> str:
     return f"{state.lower()}_od_{part}_{job_type}_{year}.csv"
 
 
-def _by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One scan per different header, united by name; within a scan every file's header is checked.
-
-    The driver reads one header line per path.
-    """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = spark.read.option("header", True).csv(path).columns
-        by_header.setdefault(tuple(header), []).append(path)
-    needed, out = {"w_geocode", "h_geocode"}, None
-    for header, same in by_header.items():
-        if missing := needed - set(header):
-            raise ValueError(f"no column {', '.join(sorted(missing))} in {same[0]}")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        read = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("nullValue", "NA")
-        part = read.csv(same).withColumn("__file", F.col("_metadata.file_path"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 def read_flows(
     spark: SparkSession,
     root: str,
@@ -53,24 +32,21 @@ def read_flows(
 ) -> DataFrame:
     """Rows ``state, w_<geo>, h_<geo>, <segment>, year, part`` of the chosen files, summed per pair of areas.
 
-    Only the chosen files are opened; state, part and year come from the file name. Columns are taken by name, whatever
-    their order in a file. The prefix is taken before the sum, so that the partial sums shrink the shuffle.
+    Only the chosen files are opened, each by the task that reads it; state, part and year come from the file name. Columns are
+    taken by name, whatever their order in a file; a file without a code column or without the segment is an error, and so is
+    a state, part and year without a file. The prefix is taken before the sum, so that the partial sums shrink the shuffle.
     """
     years = [year] if isinstance(year, int) else list(year)
-    paths = [f"{root}/*{flow_file(s, p, job_type, y)}*" for s in states for p in parts for y in years]
-    raw = _by_name(spark, paths)
-    name = F.col("__file")
-    pattern = rf"([a-z]+)_od_([a-z]+)_{job_type}_(\d{{4}})\.csv"
+    spark.dataSource.register(FlowSource)
+    chosen = {"state": [s.lower() for s in states], "part": parts, "year": years}
+    raw = spark.read.format(FlowSource.name()).option("segment", segment).option("jobtype", job_type)
+    for name, values in chosen.items():
+        raw = raw.option(name, ",".join(map(str, values)))
     n = CODE_LENGTH[agg_geo]
-    flows = raw.select(
-        F.regexp_extract(name, pattern, 1).alias("state"),
-        area_prefix(na_text("w_geocode"), n).alias(f"w_{agg_geo}"),
-        area_prefix(na_text("h_geocode"), n).alias(f"h_{agg_geo}"),
-        try_num(segment, "bigint").alias(segment),
-        F.regexp_extract(name, pattern, 3).cast("int").alias("year"),
-        F.regexp_extract(name, pattern, 2).alias("part"),
+    flows = raw.load(root).select(
+        "state", area_prefix("w_geocode", n).alias(f"w_{agg_geo}"), area_prefix("h_geocode", n).alias(f"h_{agg_geo}"),
+        try_num("count", "bigint").alias(segment), "year", "part",
     )
-    flows = flows.filter(F.col("state").isin([s.lower() for s in states]))
     if partitions:
         flows = flows.repartition(partitions)
     if agg_geo == "block":
