@@ -125,39 +125,64 @@ def written(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), "")
 
 
+def loss_spans(segments: Column) -> Column:
+    """Where the loss mask stands in the written turn: an array of (start from 0, length), in code points."""
+
+    def span(segment: Column, place: Column) -> Column:
+        before = F.aggregate(F.slice(segments, 1, place), F.lit(0), lambda total, s: total + F.length(s["text"]))
+        return F.struct(segment["loss"].alias("loss"), before.alias("start"), F.length(segment["text"]).alias("length"))
+
+    marked = F.filter(F.transform(segments, span), lambda s: s["loss"])
+    return F.transform(marked, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+
+
+def write_turns(formatted: DataFrame) -> DataFrame:
+    """What a trainer gets, per turn of ``format_turns``: conv_id, turn, accepted, written (one string) and mask (spans of it)."""
+    return formatted.select("conv_id", "turn", "accepted", written(F.col("segments")).alias("written"), loss_spans(F.col("segments")).alias("mask"))
+
+
+def masked(turn: Column, mask: Column) -> Column:
+    """All text of a written turn under its mask, unescaped."""
+    return F.array_join(F.transform(mask, lambda s: unescape(F.substring(turn, s["start"] + 1, s["length"]))), "")
+
+
 def read_turn(turn: Column, template: Template = INSTRUCT) -> Column:
-    """(role, text, loss) of a written turn."""
+    """(role, text) of a written turn. Which of its text bears loss is not in the string: the mask says so."""
     head = F.substring_index(F.substring(turn, len(template.named[0]) + 1, 1 << 30), template.named[1], 1)
 
     def between(opening: Column, closing: str) -> Column:
         return F.substring(turn, F.length(opening) + 1, F.length(turn) - F.length(opening) - len(closing))
 
-    def read(role: Column, text: Column, loss: bool) -> Column:
-        return F.struct(role.alias("role"), unescape(text).alias("text"), F.lit(loss).alias("loss"))
+    def read(role: Column, text: Column) -> Column:
+        return F.struct(role.alias("role"), unescape(text).alias("text"))
 
     name = F.concat(F.lit(template.named[0]), head, F.lit(template.named[1] + template.other.opening))
-    out = F.when(turn.startswith(template.named[0]), read(unescape(head), between(name, template.other.closing), template.other.learned))
+    out = F.when(turn.startswith(template.named[0]), read(unescape(head), between(name, template.other.closing)))
     for role, form in template.roles.items():
-        out = out.when(turn.startswith(form.opening), read(F.lit(role), between(F.lit(form.opening), form.closing), form.learned))
+        out = out.when(turn.startswith(form.opening), read(F.lit(role), between(F.lit(form.opening), form.closing)))
     return out
 
 
 def digest(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """Per conversation, read back from what ``format_turns`` wrote: counts and hashes of its turns and of its loss mask.
+    """Per conversation, read back from what ``write_turns`` gives: counts and hashes of its turns and of its loss mask.
 
-    A hash of a whole conversation needs its texts in one place: this summary, not the formatting, gathers a conversation.
+    Roles and texts come from the written string, the text that bears loss from the written mask alone: a mask that does not
+    fit the template gives other values. A hash of a whole conversation needs its texts in one place: this summary, not the
+    formatting, gathers a conversation.
     """
-    read = formatted.select("conv_id", "turn", "accepted", written("segments").alias("w")).select(
-        "conv_id", "turn", "accepted", F.length("w").alias("chars"), read_turn(F.col("w"), template).alias("r")
+    out = write_turns(formatted)
+    read = out.select(
+        "conv_id", "turn", "accepted", F.length("written").alias("chars"), read_turn(F.col("written"), template).alias("r"),
+        masked(F.col("written"), F.col("mask")).alias("loss"),
     )
     per = read.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.min("accepted").alias("steps"),
-        F.array_sort(F.collect_list(F.struct("turn", "r.role", "r.text", "r.loss"))).alias("t"),
+        F.array_sort(F.collect_list(F.struct("turn", "r.role", "r.text", "loss"))).alias("t"),
     )
     # Missing turn numbers come first here and last in array_sort.
     missing, there = (F.filter("t", lambda x: x["turn"].isNull()), F.filter("t", lambda x: x["turn"].isNotNull()))
     per = per.withColumn("t", F.concat(missing, there))
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["loss"]), lambda x: x["text"]), "")
+    loss = F.array_join(F.transform("t", lambda x: x["loss"]), "")
     turns = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return per.select(
         "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"),

@@ -7,6 +7,7 @@ from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from odweave.llm.audit import audit
 from odweave.llm.chat import digest, format_turns
@@ -92,8 +93,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = [(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)]
-    fixed = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
+    role = F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1)
+    fixed = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(HOSTILE).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
     return digest(format_turns(turns))
 
