@@ -17,37 +17,16 @@ STOP_WORDS = (
     "le les des et une du est dans qui au pour sur pas par ce il "
     "der die und das den von zu mit sich dem nicht ein eine auf ist im für als auch"
 ).split()
-#: The languages that these words belong to.
-LANGUAGES = ("en", "es", "fr", "de")
-# Function words of other languages in Latin letters; they tell that an unlabelled text is in none of LANGUAGES.
-OTHER_WORDS = (
-    "di che il per non sono della nel anche come più questo dei alla "  # it
-    "não uma para com os mais foi ao dos são pelo "  # pt
-    "het een van dat niet zijn voor met ook aan deze maar wordt "  # nl
-    "och att det som för inte är av till har och jag ikke til og på med vi "  # sv, da, no
-    "ja ei että oli mutta hän joka kun niin ovat ka see kui ning "  # fi, et
-    "nie się jest że jak ale czy przez tego są "  # pl
-    "je že se na jako ale který jsou byl tak som sú ktorý "  # cs, sk
-    "hogy nem egy és az van meg csak volt vagy "  # hu
-    "și nu este mai din cu care pentru sunt să "  # ro
-    "bir ve bu için ile olarak daha çok değil gibi "  # tr
-    "su nije koji ali kao samo ili kako biti bi da pa tudi ki "  # hr, bs, sr, sl
-    "yang dan ini itu dengan untuk tidak dari pada adalah "  # id, ms
-    "của và là không có được trong người một cho "  # vi
-    "na ya wa kwa ni katika za hii kama lakini "  # sw
-    "ir yra kad tai bet kaip un ir kas par bija "  # lt, lv
-    "els amb dels són però aquest "  # ca
-    "dhe për një është nga me të që "  # sq
-    "ang mga sa ng ay hindi "  # tl
-    "die nie wat het vir sy word "  # af
-).split()
+# Characters that are no letter or mark of another script than Latin. Nothing up to U+024F is one, which most texts show at a glance.
+_LATIN_END = "\u024F"
+_NOT_OTHER = rf"[\x00-{_LATIN_END}\p{{IsLatin}}\p{{IsInherited}}[^\p{{L}}\p{{M}}]]+"
 
 
 @dataclass(frozen=True)
 class Rule:
     """``low`` <= 100 * part / whole <= ``high``, where the whole is at least ``at_least``; smaller wholes always pass.
 
-    A rule of function words passes what ``foreign`` finds: texts in languages whose words it does not have.
+    With ``where`` (part, whole, high) the rule judges only texts with 100 * part / whole <= high, and passes all others.
     """
 
     part: str
@@ -55,18 +34,19 @@ class Rule:
     low: int | None = None
     high: int | None = None
     at_least: int = 1
-    function_words: bool = False
+    where: tuple[str, str, int] | None = None
 
 
-#: Mean word length; symbols and capitals against letters; repeated lines against lines; function words against words.
+#: Mean word length; symbols and capitals against letters; repeated lines against lines; function words against words, in texts
+#: that are half or more in Latin letters, as all of the function words are. The text alone decides, never a label.
 RULES = (
     Rule("word_chars", "n_words", low=200, high=1400),
     Rule("n_symbols", "word_chars", high=5),
     Rule("n_capitals", "word_chars", high=50, at_least=40),
     Rule("n_dup_lines", "n_lines", high=50, at_least=4),
-    Rule("n_stop_words", "n_words", low=1, at_least=150, function_words=True),
+    Rule("n_stop_words", "n_words", low=1, at_least=150, where=("n_other_letters", "word_chars", 50)),
 )
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_stop_words"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines", "n_stop_words", "n_other_letters"]
 
 
 def _repeated(words: Column, hashes: Column) -> Column:
@@ -92,22 +72,8 @@ def _repeated(words: Column, hashes: Column) -> Column:
     return F.get(F.transform(F.array(sorted_starts), covered), 0)
 
 
-def foreign(text: Column, words: Column, lang: Column) -> Column:
-    """Is a text in a language that STOP_WORDS does not cover?
-
-    It is when more of its letters are in other scripts than in Latin; or when its label is no language of LANGUAGES; or, without
-    a label, when a hundredth of its words or more are OTHER_WORDS and none of STOP_WORDS.
-    """
-    other = F.length(F.regexp_replace(text, r"[\P{L}\p{IsLatin}]+", ""))
-    label = F.lower(F.regexp_extract(lang, r"^\s*([A-Za-z]*)", 1))
-    only = [w for w in dict.fromkeys(OTHER_WORDS) if w not in STOP_WORDS]
-    found = F.size(F.filter(words, lambda x: F.lower(x).isin(*only)))
-    by_words = F.when(F.coalesce(label, F.lit("")).isin("", "und", "unknown"), 100 * found >= F.size(words)).otherwise(~label.isin(*LANGUAGES))
-    return F.when(other > 0, other > F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))).otherwise(F.lit(False)) | by_words
-
-
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, and lang if there is one) with a struct column ``__m`` of the counts of the text, and if it is ``foreign``."""
+    """``docs`` with a struct column ``__m`` of the counts of the text."""
     text = F.coalesce(docs["text"], F.lit(""))
     step = docs.withColumn("__w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     w = F.col("__w")
@@ -122,10 +88,10 @@ def measured(docs: DataFrame) -> DataFrame:
         F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_repeated(w, h)),
         F.length(F.regexp_replace(text, r"[^A-ZÀ-ÖØ-Þ]+", "")), F.size(lines),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))),
+        F.when(text.rlike(rf"[^\x00-{_LATIN_END}]"), F.length(F.regexp_replace(text, _NOT_OTHER, ""))).otherwise(F.lit(0)),
     ]
     named = [c.cast("bigint").alias(n) for n, c in zip(_COUNTS, counts, strict=True)]
-    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return step.withColumn("__m", F.struct(*named, foreign(text, w, lang).alias("foreign"))).drop("__w", "__h", "__l")
+    return step.withColumn("__m", F.struct(*named)).drop("__w", "__h", "__l")
 
 
 def base_failed(m: Column) -> Column:
@@ -141,22 +107,20 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             ok = ok & (part >= r.low * whole)
         if r.high is not None:
             ok = ok & (part <= r.high * whole)
-        passed = passed & (ok | (whole < r.at_least) | (m["foreign"] if r.function_words else F.lit(False)))
+        if r.where is not None:
+            ok = ok | (100 * m[r.where[0]] > r.where[2] * m[r.where[1]])
+        passed = passed & (ok | (whole < r.at_least))
     return passed
 
 
-def _label(docs: DataFrame) -> list[Column]:
-    return [docs["lang"].alias("lang")] if "lang" in docs.columns else []
-
-
 def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, kept.
 
     A missing text has no words and fails; a missing doc_id stays missing; repeated rows are judged one by one; an empty
-    table gives no rows; lang, where there is such a column, tells texts that the function words cannot judge; others are not read.
+    table gives no rows; other columns, labels too, are not read.
     """
     m = F.col("__m")
-    rows = measured(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), *_label(docs))).select("doc_id", "__m")
+    rows = measured(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))).select("doc_id", "__m")
     return rows.select("doc_id", *(m[c].alias(c) for c in _COUNTS), base_failed(m).alias("base_failed"), verdict(m, rules).alias("kept"))
 
 
@@ -166,18 +130,20 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The counts go through a generator of one row: a filter right above them would be pushed below, each count worked out
     again wherever the verdict names it.
     """
-    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), *_label(docs))
+    rows = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
     counted = measured(rows).select("row", F.explode(F.array("__m")).alias("m"))
     return counted.filter(verdict(F.col("m"), rules)).select("row.*")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """What ``assess`` gives for the table documents (with unique doc_ids), in DuckDB's SQL, where none is ``foreign``."""
+    """What ``assess`` gives for the table documents (with unique doc_ids), in DuckDB's SQL."""
     checks = ["not base_failed"]
     for r in rules:
         parts = [f"100 * {r.part} >= {r.low} * {r.whole}"] * (r.low is not None) + [f"100 * {r.part} <= {r.high} * {r.whole}"] * (r.high is not None)
-        checks.append(f"(({' and '.join(parts)}) or {r.whole} < {r.at_least})")
+        beyond = f" or 100 * {r.where[0]} > {r.where[2]} * {r.where[1]}" if r.where else ""
+        checks.append(f"(({' and '.join(parts)}) or {r.whole} < {r.at_least}{beyond})")
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    other = r"[\x00-\x{24F}\p{Latin}\p{Inherited}]|[^\p{L}\p{M}]"
     return f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{WORD}') as ws,
@@ -189,7 +155,8 @@ c as (select doc_id, sum(least(5, gap)) as n from
 m as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
   coalesce(c.n, 0)::bigint as n_repeat_words, length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g'))::bigint as n_capitals,
-  len(ls)::bigint as n_lines, len(list_filter(ws, lambda x: lower(x) in ({stop})))::bigint as n_stop_words
+  len(ls)::bigint as n_lines, len(list_filter(ws, lambda x: lower(x) in ({stop})))::bigint as n_stop_words,
+  length(regexp_replace(text, '{other}', '', 'g'))::bigint as n_other_letters
   from w left join c on c.doc_id = w.doc_id),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select *, {' and '.join(checks)} as kept from b"""
