@@ -13,7 +13,7 @@ from odweave.operators.verbs import rename_map
 from odweave.plans.flow_map import flow_map
 from odweave.sources.areas import read_areas, read_water
 from odweave.sources.flows import read_flows
-from odweave.sources.tables import read_table, read_text_table, write_failures, write_table
+from odweave.sources.tables import read_flow_bundle, read_table, read_text_table, write_failures, write_table
 
 _CODES = (
     "SELECT lpad(CAST(h_geocode AS VARCHAR), 15, '0') AS h_geocode, lpad(CAST(w_geocode AS VARCHAR), 15, '0') AS w_geocode,"
@@ -166,8 +166,7 @@ def sink_flow_bundle(t: Tables) -> DataFrame:
     flows = coarse.groupBy("part", "h_county", "w_county").agg(F.sum("S000").alias("commuters"))
     out = flow_map(flows.filter("part = 'main'"), flows.filter("part = 'aux'"), t.counties, t.states)
     out.write(path, {"title": "Commuter flow", "clustering": "yes", "mapbox.mapStyle": None})
-    edges = read_table(t.spark, f"{path}/flows", "origin bigint, dest bigint, count bigint", "csv")
-    places = read_table(t.spark, f"{path}/locations", "id bigint, name string, lat double, lon double, GEOID string", "csv")
+    edges, places = (read_flow_bundle(t.spark, path, name) for name in ("flows", "locations"))
     for end in ("origin", "dest"):
         names = places.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
         edges = join(edges, names, end, na_matches="never")

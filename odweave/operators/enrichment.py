@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import Any
+from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from odweave.functions.semantics import single_value, strict_sum
 from odweave.functions.text import patch_value, str_detect
@@ -30,6 +33,27 @@ def map_column(df: DataFrame, fn: Callable[[Any], Any], col: str, to: T.DataType
     return df.withColumn(out or col, apply(F.col(col)))
 
 
+def _attempt(make: Callable[[], Any]) -> tuple[Any, str | None]:
+    try:
+        return make(), None
+    except Exception as exc:  # the point of this operator: no row may stop the job
+        return None, f"{type(exc).__name__}: {exc}"
+
+
+def call_rows(fn: Callable[..., Any], rows: Iterable[tuple], arrow: pa.DataType) -> tuple[pa.Array, list[str | None]]:
+    """Results and errors of ``fn`` on rows of arguments. They are converted at once; only where that fails, each one alone."""
+    called = [_attempt(lambda: fn(*args)) for args in rows]
+    results, errors = [c[0] for c in called], [c[1] for c in called]
+    try:
+        return pa.array(results, arrow), errors
+    except Exception:
+        for i, result in enumerate(results):
+            misfit = _attempt(lambda: pa.array([result], arrow))[1]
+            if misfit:
+                results[i], errors[i] = None, misfit
+        return pa.array(results, arrow), errors
+
+
 def possibly(
     df: DataFrame, fn: Callable[..., Any], inputs: Sequence[str], to: T.DataType, out: str, tasks: int | None = None
 ) -> DataFrame:
@@ -44,28 +68,9 @@ def possibly(
     )
     names, arrow = list(inputs), to_arrow_type(to)
 
-    def attempt(make: Callable[[], Any]) -> tuple[Any, str | None]:
-        try:
-            return make(), None
-        except Exception as exc:  # the point of this operator: no row may stop the job
-            return None, f"{type(exc).__name__}: {exc}"
-
-    def converted(results: list[Any], errors: list[str | None]) -> tuple[pa.Array, list[str | None]]:
-        """The whole batch at once; only where that fails, each result is tried alone."""
-        try:
-            return pa.array(results, arrow), errors
-        except Exception:
-            for i, result in enumerate(results):
-                misfit = attempt(lambda: pa.array([result], arrow))[1]
-                if misfit:
-                    results[i], errors[i] = None, misfit
-            return pa.array(results, arrow), errors
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(n).to_pylist() for n in names])
-            called = [attempt(lambda: fn(*args)) for args in rows]
-            value, errors = converted([c[0] for c in called], [c[1] for c in called])
+            value, errors = call_rows(fn, zip(*[batch.column(n).to_pylist() for n in names]), arrow)
             status = pa.array(["ok" if e is None else "failed" for e in errors], pa.string())
             columns = [*batch.columns, value, status, pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out, "status", "error"])
@@ -109,23 +114,82 @@ def enrich(
     patches: Mapping[str, Mapping[object, object]] | None = None,
     retries: int = 1,
     tasks: int | None = None,
+    log: str | None = None,
 ) -> DataFrame:
     """Enrich every row, then patch the inputs of the failed ones, retry them and put them in the place of the failures.
 
     ``patches`` maps an input column to ``{bad value: replacement}``. Each round is written to the shared checkpoint
-    folder, so that no row is sent to the function again when its result is read. ``source_file`` tells the round.
+    folder, so that no row is sent to the function again when its result is read. ``source_file`` tells the round. With a folder
+    ``log`` every round keeps an attempt log there (see ``logged``), and a run that broke off goes on where it stopped.
     """
-    done = materialize(possibly(df, fn, inputs, to, out, tasks).withColumn("source_file", F.lit("main")))
-    for _ in range(retries):
+
+    def ask(rows: DataFrame, name: str) -> DataFrame:
+        called = logged(rows, fn, inputs, to, out, f"{log}/{name}") if log else possibly(rows, fn, inputs, to, out, tasks)
+        return materialize(called.withColumn("source_file", F.lit("main" if name == "main" else "retried")))
+
+    done = ask(df, "main")
+    for round_no in range(1, retries + 1):
         again = done.filter(F.col(out).isNull()).select(*df.columns)
         for col, values in (patches or {}).items():
             for bad, good in values.items():
                 again = again.withColumn(col, patch_value(col, bad, col, good))
-        redone = materialize(possibly(again, fn, inputs, to, out, tasks).withColumn("source_file", F.lit("retried")))
+        redone = ask(again, f"retry-{round_no}")
         done = done.filter(F.col(out).isNotNull()).unionByName(redone)
     return done
 
 
+def logged(
+    df: DataFrame, fn: Callable[..., Any], inputs: Sequence[str], to: T.DataType, out: str, log: str, batches: int = 64
+) -> DataFrame:
+    """``possibly`` with an attempt log below the shared folder ``log``: what was answered once is not asked again.
+
+    Each different combination of inputs is asked once. Combinations are dealt by hash into ``batches``; the answers of a batch,
+    failures too, are written to a file of the batch's name, under another name first, so that a file is whole or not there. A lost
+    task, a broken run or a later run on more rows reads the files and asks only for what they lack. A batch is held in memory:
+    choose ``batches`` with the number of combinations. ``fn`` must depend on its inputs alone.
+    """
+    names = list(inputs)
+    item = T.StructType([*(df.schema[n] for n in names), T.StructField(out, to), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
+    arrow = to_arrow_schema(item)
+    asked = df.select(*names).distinct().withColumn("__batch", F.pmod(F.xxhash64(*names), F.lit(batches)).cast("int"))
+
+    def batch_file(key: int) -> tuple[pafs.FileSystem, str]:
+        fs, folder = pafs.FileSystem.from_uri(log)
+        fs.create_dir(folder, recursive=True)
+        return fs, f"{folder}/batch-{key:06d}.parquet"
+
+    def answer(key: int, rows: list[tuple]) -> pa.Table:
+        fs, path = batch_file(key)
+        known = pq.read_table(path, filesystem=fs).cast(arrow) if fs.get_file_info(path).type == pafs.FileType.File else arrow.empty_table()
+        had = set(zip(*[known[n].to_pylist() for n in names]))
+        new = [r for r in rows if r not in had]
+        if new:
+            called, errors = call_rows(fn, new, to_arrow_type(to))
+            columns = [*(pa.array(list(c), arrow.field(n).type) for c, n in zip(zip(*new), names)), called, pa.array(["ok" if e is None else "failed" for e in errors], pa.string()), pa.array(errors, pa.string())]
+            known = pa.concat_tables([known, pa.Table.from_arrays(columns, schema=arrow)])
+            written = f"{path}.{uuid4().hex}"
+            pq.write_table(known, written, filesystem=fs)
+            fs.move(written, path)
+        wanted = set(rows)
+        return known.filter(pa.array([r in wanted for r in zip(*[known[n].to_pylist() for n in names])], pa.bool_()))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in found:
+            for key, *row in zip(*[batch.column(n).to_pylist() for n in ["__batch", *names]]):
+                if held and key != last:
+                    yield from answer(last, held).to_batches()
+                    held = []
+                held.append(tuple(row))
+                last = key
+        if held:
+            yield from answer(last, held).to_batches()
+
+    dealt = asked.repartition("__batch").sortWithinPartitions("__batch")
+    return join(df, materialize(dealt.mapInArrow(run, item)), by=names)
+
+
 def routes_using(
     steps: DataFrame,
     patterns: Mapping[str, str],

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Sequence
+from uuid import uuid4
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +67,32 @@ def write_failures(bad: DataFrame, path: str) -> None:
     write_table(bad, path, fmt="csv", mode="overwrite")
 
 
-def write_flow_bundle(path: str, properties: DataFrame, locations: DataFrame, flows: DataFrame, fmt: str = "csv") -> None:
-    """The three tables of a flow map: properties, locations, flows."""
-    for name, df in (("properties", properties), ("locations", locations), ("flows", flows)):
-        write_table(df, f"{path}/{name}", fmt=fmt, mode="overwrite")
+def write_flow_bundle(path: str, properties: DataFrame, locations: DataFrame, flows: DataFrame, fmt: str = "csv") -> str:
+    """The three tables of a flow map, as one commit: properties, locations, flows. Gives the name of the version.
+
+    Each call writes a folder of its own and, when all three tables are there, a manifest that names it. Readers follow the
+    newest manifest, so that a write that breaks off leaves the bundle before it readable and whole.
+    """
+    version = f"{time.time_ns():020d}-{uuid4().hex}"
+    tables = {"properties": properties, "locations": locations, "flows": flows}
+    for name, df in tables.items():
+        write_table(df, f"{path}/{version}/{name}", fmt=fmt)
+    fs, folder = pafs.FileSystem.from_uri(path)
+    fs.create_dir(f"{folder}/manifests", recursive=True)
+    hidden = f"{folder}/manifests/.{version}"
+    with fs.open_output_stream(hidden) as out:
+        out.write(json.dumps({"version": version, "format": fmt, "tables": {n: df.schema.jsonValue() for n, df in tables.items()}}).encode())
+    fs.move(hidden, f"{folder}/manifests/{version}.json")
+    return version
+
+
+def read_flow_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the bundle that was committed last."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    found = fs.get_file_info(pafs.FileSelector(f"{folder}/manifests", allow_not_found=True))
+    manifests = sorted(f.path for f in found if f.base_name.endswith(".json") and not f.base_name.startswith("."))
+    if not manifests:
+        raise FileNotFoundError(f"no flow map was committed in {path}")
+    with fs.open_input_stream(manifests[-1]) as stream:
+        told = json.loads(stream.read())
+    return read_table(spark, f"{path}/{told['version']}/{name}", T.StructType.fromJson(told["tables"][name]), told["format"])
