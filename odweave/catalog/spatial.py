@@ -190,6 +190,21 @@ def geo_srid(t: Tables) -> DataFrame:
     return tagged.select("vec_id", "srid", F.size(F.get("geometry", F.lit(0))).alias("vertices"))
 
 
+@query(
+    "geo_reproject",
+    "SELECT vec_id, 3857 AS srid, round(radians(x) * 6378137, 4) AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * 6378137, 4) AS north,"
+    " round(x, 7) AS lon, round(y, 7) AS lat FROM points",
+)
+def geo_reproject(t: Tables) -> DataFrame:
+    """Points on a web map, and back in degrees by way of an equal-area map."""
+    points = s.set_srid(t.points.select("vec_id", point("x", "y").alias("geometry")), 4326)
+    web = s.reproject(points, 4326, 3857)
+    back = s.reproject(s.reproject(s.reproject(web.withColumn("web", F.col("geometry")), 3857, 5070), 5070, 4269), 4269, 4326)
+    places = [F.round(F.col(f"web.{c}"), 4).alias(n) for c, n in (("x", "east"), ("y", "north"))]
+    degrees = [F.round(F.col(f"geometry.{c}"), 7).alias(n) for c, n in (("x", "lon"), ("y", "lat"))]
+    return back.select("vec_id", F.lit(3857).alias("srid"), *places, *degrees)
+
+
 @query("geo_drop", "SELECT vec_id, label FROM plots")
 def geo_drop(t: Tables) -> DataFrame:
     return s.drop_geometry(t.plots)

@@ -14,8 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from odweave.functions.geometry import bbox, line_segments, polygon_edges, segments_touch, way_crosses_edge
+from odweave.functions.projection import project_point
 from odweave.operators.joins import By, join
 from odweave.session import materialize
 
@@ -40,6 +42,20 @@ def assert_srid(df: DataFrame, srid: int, geometry: str = "geometry") -> DataFra
     return df.withColumn(geometry, F.when(F.col("srid").eqNullSafe(F.lit(srid)), F.col(geometry)).otherwise(wrong))
 
 
+def reproject(df: DataFrame, source: int, target: int, geometry: str = "geometry") -> DataFrame:
+    """Points, lines or polygons in another reference system; the table is tagged with it.
+
+    A table that carries a tag must carry ``source``. Vertices are moved, edges stay straight between them.
+    """
+    def moved(geom: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.transform(geom, lambda part: moved(part, kind.elementType))
+        return project_point(geom, source, target)
+
+    known = assert_srid(df, source, geometry) if "srid" in df.columns else df
+    return set_srid(known.withColumn(geometry, moved(F.col(geometry), df.schema[geometry].dataType)), target)
+
+
 # --- polygons as cell sets -----------------------------------------------------------------------------------
 
 def _first_cell(v: Column, cell: float, at: float) -> Column:
