@@ -308,6 +308,8 @@ def with_fixtures(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
+    if re.match(r"(?i)with\s+recursive\s", sql):
+        return f"WITH RECURSIVE {ctes},\n{sql[15:]}"
     if re.match(r"(?i)with\s", sql):
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"

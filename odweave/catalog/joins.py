@@ -9,7 +9,7 @@ from odweave.catalog.fixtures import Tables
 from odweave.catalog.registry import query
 from odweave.operators.joins import active_areas, attach, destinations_of, join, map_areas, restrict_to
 from odweave.operators.reshape import endpoints
-from odweave.operators.travel import od_matrix, to_destination
+from odweave.operators.travel import network_matrix, od_matrix, to_destination
 from odweave.operators.verbs import top_k
 from odweave.operators.aggregates import sum_by
 
@@ -162,3 +162,23 @@ def cross_pairs(t: Tables) -> DataFrame:
 def pairs_to_one(t: Tables) -> DataFrame:
     dest = t.nation.agg(F.lit(-40.0).alias("lon"), (F.max("n_regionkey") * 4.0 + 20).alias("lat"))
     return to_destination(_places(t), dest).withColumn("travel_km", F.round("travel_km", 3))
+
+
+@query(
+    "cross_pairs_network",
+    "WITH RECURSIVE lines AS (SELECT o_custkey AS a, l_suppkey AS b, CAST(l_quantity AS BIGINT) AS step FROM lineitem"
+    " JOIN orders ON l_orderkey = o_orderkey), roads AS (SELECT a, b, min(step) AS step FROM"
+    " (SELECT * FROM lines UNION ALL SELECT b, a, step FROM lines) u WHERE a <> b GROUP BY 1, 2),"
+    " top AS (SELECT * FROM flows_pair ORDER BY commuters DESC, h_geocode, w_geocode LIMIT 10),"
+    " places AS (SELECT h_geocode AS name FROM top UNION SELECT w_geocode FROM top),"
+    " best(origin, node, cost) USING KEY (origin, node) AS (SELECT name, name, CAST(0 AS BIGINT) FROM places UNION"
+    " SELECT w.origin, w.node, w.cost FROM (SELECT f.origin, b AS node, min(f.cost + step) AS cost FROM best f"
+    " JOIN roads ON f.node = a GROUP BY 1, 2) w LEFT JOIN recurring.best k ON k.origin = w.origin AND k.node = w.node"
+    " WHERE k.cost IS NULL OR w.cost < k.cost)"
+    " SELECT o.name AS origin_name, d.name AS destination_name, cost AS travel_cost FROM places o CROSS JOIN places d"
+    " LEFT JOIN best ON origin = o.name AND node = d.name",
+)
+def cross_pairs_network(t: Tables) -> DataFrame:
+    """Cheapest ways over all trips, between the ends of the ten largest flows."""
+    ends = endpoints(top_k(t.flows_pair, ["-commuters", "h_geocode", "w_geocode"], 10), ["h_geocode", "w_geocode"], "name")
+    return network_matrix(t.flows_block, ends, src="h_geocode", dst="w_geocode", cost="S000", both_ways=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from odweave.functions.geometry import haversine_km
 from odweave.functions.semantics import sort_keys
 from odweave.operators.reshape import grid
+from odweave.session import materialize
 
 
 Measure = Callable[[Column, Column, Column, Column], Column]
@@ -34,3 +35,48 @@ def to_destination(places: DataFrame, dest: DataFrame, x: str = "lon", y: str =
     at = dest.select(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).scalar()
     km = haversine_km(F.col(x), F.col(y), at.getField("x"), at.getField("y"))
     return places.withColumn("travel_km", km).orderBy(*sort_keys(["-travel_km", key]))
+
+
+def least_costs(
+    roads: DataFrame, origins: DataFrame, src: str = "from", dst: str = "to", cost: str = "cost", key: str = "name",
+    both_ways: bool = False, most: float | None = None,
+) -> DataFrame:
+    """Least cost of a way from every origin to every node it reaches, at most ``most`` away: origin, node, cost.
+
+    Each round only extends the ways that the round before has found or made cheaper; rounds are as many as the roads of the
+    longest cheapest way, and what is kept is one row per origin and reached node. Of parallel roads the cheapest counts; a
+    road without an end or a cost leads nowhere; a missing origin is left out, a repeated one counts once; an origin that no
+    road touches reaches itself. A negative cost is an error.
+    """
+    a, b, step = (F.col(c).alias(n) for c, n in ((src, "a"), (dst, "b"), (cost, "step")))
+    open_roads = roads.select(a, b, step).dropna()
+    if both_ways:
+        open_roads = open_roads.unionByName(open_roads.select(F.col("b").alias("a"), F.col("a").alias("b"), "step"))
+    checked = F.when(F.col("step") < 0, F.raise_error(F.lit("negative cost of a road"))).otherwise(F.col("step"))
+    open_roads = open_roads.withColumn("step", checked).filter("a <> b").groupBy("a", "b").agg(F.min("step").alias("step"))
+    open_roads = materialize(open_roads)
+    kind = "bigint" if open_roads.schema["step"].dataType.typeName() in ("byte", "short", "integer", "long") else "double"
+    start = origins.select(F.col(key).alias("origin"), F.col(key).alias("node")).dropna().distinct()
+    reached = materialize(start.select("origin", "node", F.lit(0).cast(kind).alias("cost"), F.lit(True).alias("cheaper")))
+    while not reached.filter("cheaper").isEmpty():
+        ways = reached.filter("cheaper").join(open_roads, F.col("node") == F.col("a"))
+        found = ways.select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("step")).cast(kind).alias("found"))
+        if most is not None:
+            found = found.filter(F.col("found") <= most)
+        known = reached.select("origin", "node", F.col("cost").alias("known"))
+        best = known.unionByName(found, allowMissingColumns=True).groupBy("origin", "node").agg(F.min("known").alias("known"), F.min("found").alias("found"))
+        cheaper = F.coalesce(F.col("found") < F.col("known"), F.col("known").isNull())
+        reached = materialize(best.select("origin", "node", F.least("known", "found").alias("cost"), cheaper.alias("cheaper")))
+    return reached.select("origin", "node", "cost")
+
+
+def network_matrix(roads: DataFrame, places: DataFrame, key: str = "name", **ways) -> DataFrame:
+    """Least cost over a network between all pairs of the chosen places in long form; missing where no way leads.
+
+    ``ways`` go to ``least_costs``. Like ``od_matrix`` it is meant for a short list of places; the network may be of any size.
+    """
+    chosen = places.select(key).dropna().distinct()
+    pairs = grid(chosen.select(F.col(key).alias(f"origin_{key}")), chosen.select(F.col(key).alias(f"destination_{key}")))
+    reached = least_costs(roads, chosen, key=key, **ways)
+    same = (F.col("origin") == F.col(f"origin_{key}")) & (F.col("node") == F.col(f"destination_{key}"))
+    return pairs.join(reached, same, "left").select(f"origin_{key}", f"destination_{key}", F.col("cost").alias("travel_cost"))
