@@ -1,12 +1,14 @@
 """Benchmark decontamination: SimHash windows of the items' sizes, multi-index Hamming search, exact check.
 
 A window of a document is as many words as an item has. Its 64-bit fingerprint is compared with those of the items of that
-size: within a radius of 23 bits at least one of eight 8-bit blocks differs by two bits at most, so an index per block finds
-all fingerprints within the radius. What is found counts only if the shingles' weighted Jaccard similarity (weights: how often
-a shingle occurs) reaches the threshold.
-
-Windows that hold too few shingles of any item of their size to reach the threshold get no fingerprint: by the same bound
-the exact check would refuse them.
+size: within a radius of 23 bits at least one of four 16-bit blocks differs by five bits at most, so an index of the blocks'
+bytes finds all fingerprints within the radius. What is found counts only if the shingles' weighted Jaccard similarity
+(weights: how often a shingle occurs) reaches the threshold.
+
+Only items that share enough shingles with the whole text are looked up, and windows that hold too few shingles of any of them
+get no fingerprint: by the same bound the exact check would refuse them. The exact check of an item takes all windows at once:
+an occurrence of a shingle that the item has c times counts in the windows that hold it and not its c-th predecessor, which is
+a run of window starts; the sums over such runs are the weighted overlaps.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from odweave.llm.shingles import shingles, word_hashes
 from odweave.llm.tables import texts
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
-_BLOCKS = 8
+_BLOCKS = 4
+#: Window starts whose bits are counted at once, and pairs of a window and an item that are compared at once.
+_SPAN, _PAIRS = 1 << 16, 1 << 20
 #: Items are searched for in blocks of about so many, of about so many bytes; each block is one broadcast index.
 ITEMS, ITEM_BYTES = 4096, 16 << 20
 _SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -38,38 +42,87 @@ def plain_words(text: str) -> list[bytes]:
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` shingles: bit b is set if more than half of the shingles' hashes have it."""
-    if not len(starts):
-        return np.zeros((0, _BLOCKS), dtype=np.uint8)
-    low = int(starts.min())
-    bits = np.unpackbits(hashes[low : int(starts.max()) + size].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    at = starts - low
-    return np.packbits(2 * (ones[at + size] - ones[at]) > size, axis=1)
+    """SimHash of the windows of ``size`` shingles: bit b is set if more than half of the shingles' hashes have it.
+
+    ``starts`` ascend.
+    """
+    marks = np.zeros((len(starts), 8), dtype=np.uint8)
+    edge = 0
+    while edge < len(starts):
+        low = int(starts[edge])
+        until = int(np.searchsorted(starts, low + _SPAN))
+        at = starts[edge:until] - low
+        bits = np.unpackbits(hashes[low : low + int(at[-1]) + size].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.concatenate([np.zeros((1, 64), dtype=np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        marks[edge:until] = np.packbits(2 * (ones[at + size] - ones[at]) > size, axis=1)
+        edge = until
+    return marks
 
 
 @dataclass
 class SizeClass:
-    """The items with one number of shingles, and their block indexes: ``near[b][key]`` are the items whose block b is near key."""
+    """The items with one number of shingles, and their block index: ``far[k][byte]`` tells how far the items' byte k is from it."""
 
     size: int
     items: list[int] = field(default_factory=list)
     marks: np.ndarray | None = None
-    near: np.ndarray | None = None
+    far: np.ndarray | None = None
 
     def index(self, marks: list[np.ndarray], radius: int) -> None:
         self.marks = np.stack(marks)
         keys = np.arange(256, dtype=np.uint8)
-        self.near = np.stack([_ONES[keys[:, None] ^ self.marks[None, :, b]] <= radius // _BLOCKS for b in range(_BLOCKS)])
-
-    def search(self, marks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) places of all fingerprints within the radius."""
-        found = self.near[0][marks[:, 0]]
-        for b in range(1, _BLOCKS):
-            found = found | self.near[b][marks[:, b]]
+        self.far = np.stack([_ONES[keys[:, None] ^ self.marks[None, :, k]] for k in range(8)])
+
+    def search(self, marks: np.ndarray, radius: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) places of all fingerprints within the radius, among the items at ``places`` (all unless given)."""
+        places = np.arange(len(self.marks)) if places is None else places
+        far = self.far[:, :, places]
+        found = np.zeros((len(marks), len(places)), dtype=bool)
+        for k in range(0, 8, 8 // _BLOCKS):
+            found |= far[k][marks[:, k]] + far[k + 1][marks[:, k + 1]] <= radius // _BLOCKS
         window, item = np.nonzero(found)
-        close = _ONES[marks[window] ^ self.marks[item]].sum(axis=1) <= radius
-        return window[close], item[close]
+        close = _ONES[marks[window] ^ self.marks[places[item]]].sum(axis=1) <= radius
+        return window[close], places[item[close]]
+
+
+@dataclass
+class Holders:
+    """Which items hold a shingle: those of ``seeds[k]`` are ``items[first[k]:first[k + 1]]``."""
+
+    seeds: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+
+    @classmethod
+    def of(cls, numbers: list[int], bags: list[np.ndarray]) -> Holders:
+        held = np.concatenate(bags)
+        order = np.argsort(held, kind="stable")
+        seeds, first = np.unique(held[order], return_index=True)
+        items = np.repeat(np.array(numbers), [len(b) for b in bags])[order]
+        return cls(seeds, np.append(first, len(held)), items)
+
+    def shared(self, used: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items that hold one of the seeds ``used``, and how many of their occurrences in the text each of them explains."""
+        n = self.first[used + 1] - self.first[used]
+        at = np.arange(n.sum()) + np.repeat(self.first[used] - (np.cumsum(n) - n), n)
+        items, which = np.unique(self.items[at], return_inverse=True)
+        return items, np.bincount(which, weights=np.repeat(times, n)).astype(np.int64)
+
+
+def overlaps(places: np.ndarray, kinds: np.ndarray, limits: np.ndarray, starts: int, size: int) -> np.ndarray:
+    """Per window start: the sum over kinds of the smaller of its occurrences in the window of ``size`` and its limit.
+
+    ``places`` (ascending) are the occurrences, ``kinds`` what occurs there, ``limits`` the limit of each occurrence's kind.
+    """
+    order = np.argsort(kinds, kind="stable")
+    place, kind, limit = places[order], kinds[order], limits[order]
+    back = np.arange(len(order)) - limit
+    same = (back >= 0) & (kind[back] == kind)
+    low = np.maximum(np.where(same, place[back], -1), place - size) + 1
+    high = np.minimum(place, starts - 1)
+    some = low <= high
+    steps = np.bincount(low[some], minlength=starts + 1) - np.bincount(high[some] + 1, minlength=starts + 1)
+    return np.cumsum(steps[:starts])
 
 
 class ItemIndex:
@@ -81,72 +134,92 @@ class ItemIndex:
         self.bags: list[tuple[np.ndarray, np.ndarray]] = []
         self.classes: dict[tuple[int, int], SizeClass] = {}
         marks: dict[tuple[int, int], list[np.ndarray]] = {}
-        seeds: dict[tuple[int, int], list[np.ndarray]] = {}
         for key, text in items:
             words = word_hashes(plain_words(text or ""))
             if not len(words):
                 continue
             hashes = shingles(words, WORDS)
             kind = (min(WORDS, len(words)), len(hashes))  # words of a shingle, shingles of the item
-            c = self.classes.setdefault(kind, SizeClass(len(hashes)))
-            c.items.append(len(self.ids))
+            self.classes.setdefault(kind, SizeClass(len(hashes))).items.append(len(self.ids))
             marks.setdefault(kind, []).append(fingerprints(hashes, np.array([0]), len(hashes))[0])
-            seeds.setdefault(kind, []).append(hashes)
             self.ids.append(key)
             self.bags.append(np.unique(hashes, return_counts=True))
         for kind, c in self.classes.items():
             c.index(marks[kind], radius)
-        # Per shingle length: all shingles of items, and for each the size classes that have it.
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]] = {}
+        self.sizes = np.zeros(len(self.ids), dtype=np.int64)
+        for c in self.classes.values():
+            self.sizes[c.items] = c.size
+        self.holders: dict[int, Holders] = {}
         for words in {k[0] for k in self.classes}:
-            kinds = [k for k in self.classes if k[0] == words]
-            parts = [np.unique(np.concatenate(seeds[k])) for k in kinds]
-            pairs = np.concatenate([np.stack([p, np.full(len(p), i, dtype=np.uint64)]) for i, p in enumerate(parts)], axis=1)
-            order = np.argsort(pairs[0], kind="stable")
-            self.seeds[words] = pairs[0][order], pairs[1][order].astype(np.int64), kinds
+            numbers = [i for k, c in self.classes.items() if k[0] == words for i in c.items]
+            self.holders[words] = Holders.of(numbers, [self.bags[i][0] for i in numbers])
 
-    def least(self, a: int, b: int) -> int:
+    def least(self, a: int | np.ndarray, b: int | np.ndarray) -> np.ndarray:
         """The common shingles that bags of a and b shingles need to reach the similarity."""
-        return int(np.ceil(self.similarity / (1 + self.similarity) * (a + b) - 1e-9))
-
-    def _similar(self, window: np.ndarray, item: int) -> float:
-        a, na = np.unique(window, return_counts=True)
-        b, nb = self.bags[item]
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        both = int(np.minimum(na[i], nb[j]).sum())
-        return both / (len(window) + int(nb.sum()) - both)
+        return np.ceil(self.similarity / (1 + self.similarity) * (a + b) - 1e-9)
 
     def find(self, text: str) -> Iterator[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) of the best window for each item found in the text."""
         words = word_hashes(plain_words(text))
-        for length, (seeds, kind_of, kinds) in self.seeds.items():
+        for length, holders in self.holders.items():
             if len(words) < length:
                 continue
             hashes = shingles(words, length)
-            left, right = np.searchsorted(seeds, hashes, "left"), np.searchsorted(seeds, hashes, "right")
-            hit = np.flatnonzero(right > left)
-            if not len(hit):
+            seed = np.minimum(np.searchsorted(holders.seeds, hashes), len(holders.seeds) - 1)
+            hits = np.flatnonzero(holders.seeds[seed] == hashes)
+            if not len(hits):
                 continue
-            at = np.repeat(hit, (right - left)[hit])
-            which = np.concatenate([kind_of[left[p] : right[p]] for p in hit.tolist()])
-            for k in np.unique(which).tolist():
-                yield from self._windows(hashes, at[which == k], self.classes[kinds[k]], length)
-
-    def _windows(self, hashes: np.ndarray, hits: np.ndarray, c: SizeClass, length: int) -> Iterator[tuple[int, float, int, int]]:
+            used, kinds, times = np.unique(seed[hits], return_inverse=True, return_counts=True)
+            items, shared = holders.shared(used, times)
+            sizes = self.sizes[items]
+            enough = shared >= self.least(np.minimum(sizes, len(hashes)), sizes)
+            for size in np.unique(sizes[enough]).tolist():
+                found = self._windows(hashes, hits, kinds, holders.seeds[used], items[enough & (sizes == size)], self.classes[length, size])
+                for i, similarity, start, n in found:
+                    yield self.ids[i], similarity, start, n + length - 1
+
+    def _windows(
+        self, hashes: np.ndarray, hits: np.ndarray, kinds: np.ndarray, seeds: np.ndarray, items: np.ndarray, c: SizeClass
+    ) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, first shingle, shingles) of the best window for each of the ``items``, all of one class.
+
+        ``hits`` are the places of the shingles ``seeds[kinds]``.
+        """
         size = min(c.size, len(hashes))
-        before = np.zeros(len(hashes) + 1, dtype=np.int32)
-        before[hits + 1] = 1
+
+        def limit(k: int) -> np.ndarray:
+            held, n = self.bags[items[k]]
+            at = np.minimum(np.searchsorted(held, seeds), len(held) - 1)
+            return np.where(held[at] == seeds, n[at], 0)
+
+        any_item = np.zeros(len(seeds), dtype=bool)
+        for k in range(len(items)):
+            any_item |= limit(k) > 0
+        before = np.zeros(len(hashes) + 1, dtype=np.int64)
+        before[hits[any_item[kinds]] + 1] = 1
         before = np.cumsum(before)
         starts = np.flatnonzero(before[size:] - before[: len(before) - size] >= self.least(size, c.size))
-        marks = fingerprints(hashes, starts, size)
-        best: dict[int, tuple[float, int]] = {}
-        for w, i in zip(*(x.tolist() for x in c.search(marks, self.radius)), strict=True):
-            start = int(starts[w])
-            similarity = self._similar(hashes[start : start + size], c.items[i])
-            if similarity >= self.similarity and similarity > best.get(i, (0.0, 0))[0]:
-                best[i] = similarity, start
-        for i, (similarity, start) in best.items():
-            yield self.ids[c.items[i]], similarity, start, size + length - 1
+        if not len(starts):
+            return
+        marks, which = np.unique(fingerprints(hashes, starts, size).view("<u8").ravel(), return_inverse=True)
+        marks = marks.view(np.uint8).reshape(-1, 8)
+        places = np.searchsorted(c.items, items)
+        step = max(1, _PAIRS // len(marks))
+        for edge in range(0, len(items), step):
+            window, place = c.search(marks, self.radius, places[edge : edge + step])
+            order = np.argsort(place, kind="stable")
+            each, first = np.unique(place[order], return_index=True)
+            for k, windows in zip(np.searchsorted(places, each).tolist(), np.split(window[order], first[1:]), strict=bool(len(each))):
+                near = np.zeros(len(marks), dtype=bool)
+                near[windows] = True
+                near = starts[near[which]]
+                row = limit(k)[kinds]
+                mine = row > 0
+                common = overlaps(hits[mine], kinds[mine], row[mine], len(hashes) - size + 1, size)[near]
+                similarity = common / (size + c.size - common)
+                best = int(similarity.argmax())
+                if similarity[best] >= self.similarity:
+                    yield int(items[k]), float(similarity[best]), int(near[best]), size
 
 
 def item_blocks(items: DataFrame, similarity: float = SIMILARITY) -> list[Broadcast]:
