@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ from odweave.session import materialize
 
 #: Counters of the table of shingle counts, and counters that travel together.
 SLOTS, CHUNK = 1 << 20, 4096
+#: Tasks whose counters are summed in one group before the groups are, and sets a task remembers to have posted.
+SUM_TASKS, POSTED = 512, 200_000
 #: Sets and shingles of one block of a bundle.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 _COLUMNS = 4096
@@ -53,27 +55,31 @@ def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
-        names = ["row", "doc_id", "n", "s1", "s2", "chunk", "counts"]
+        names = ["row", "doc_id", "n", "s1", "s2", "chunk", "part", "counts"]
         for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             sets = [shingle_set(t, words) for t in texts(batch.column(2))]
             counts += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
             n = pa.array([len(s) for s in sets], pa.int64())
             s1, s2 = (pa.array([f(s) for s in sets], pa.int64()) for f in (_sum_of, _mix_of))
             none = pa.nulls(len(sets), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, s1, s2, none, pa.nulls(len(sets), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, s1, s2, none, none, pa.nulls(len(sets), pa.binary())], names)
         used = [k for k in range(SLOTS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         packed = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in used]
-        empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        empty, part = pa.nulls(len(used), pa.int64()), [TaskContext.get().partitionId() // SUM_TASKS] * len(used)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    def total(rows: pa.Table) -> pa.Table:
-        summed = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in rows["counts"].to_pylist())
-        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([zlib.compress(summed.tobytes(), 1)], pa.binary())})
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = np.zeros(CHUNK, dtype=np.int64)
+        for packed in (x for b in batches for x in b.column("counts").to_pylist()):
+            summed += np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+        yield pa.RecordBatch.from_pydict({"chunk": key[:1], "counts": pa.array([zlib.compress(summed.tobytes(), 1)], pa.binary())})
 
-    schema = "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, chunk int, counts binary"
+    schema = "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, chunk int, part int, counts binary"
     stored = materialize(docs.mapInArrow(run, schema))
     counts = np.zeros(SLOTS, dtype=np.int64)
-    sums = stored.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(total, "chunk int, counts binary")
+    sums = stored.filter("chunk is not null").select("chunk", "part", "counts")
+    for keys in (("chunk", "part"), ("chunk",)):
+        sums = sums.groupBy(*keys).applyInArrow(total, "chunk int, counts binary")
     for row in sums.collect():
         counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
     return stored.filter("chunk is null").select("row", "doc_id", "n", "s1", "s2"), np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
@@ -87,10 +93,21 @@ def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> DataFrame:
+    """The prefix shingles: token, row, n, place. A task posts equal sets once, whichever of their rows comes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        posted: set[tuple[int, int]] = set()
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                sets = [shingle_set(t, words) for t in texts(part.column(1))]
+                sets, new = [shingle_set(t, words) for t in texts(part.column(1))], []
+                for k, found in enumerate(sets):
+                    mark = _sum_of(found), _mix_of(found)
+                    if mark not in posted:
+                        posted.add(mark)
+                        new.append(k)
+                if len(posted) > POSTED:
+                    posted.clear()
+                part, sets = part.take(pa.array(new, pa.int64())), [sets[k] for k in new]
                 heads = [prefix(s, counts.value, percent) for s in sets]
                 sizes = np.array([len(h) for h in heads], dtype=np.int64)
                 if sizes.sum():
