@@ -14,7 +14,7 @@ from odweave.llm.encoder import id_encoder
 from odweave.llm.tables import texts
 from odweave.session import materialize
 
-#: Pieces that one task packs; beyond, the pieces are dealt into more groups, each with sequences of its own.
+#: Pieces that one task packs; beyond, the pieces are dealt into more groups, whose part-filled sequences are packed anew.
 GROUP_PIECES = 50_000
 
 
@@ -91,22 +91,44 @@ def pack_group(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return best
 
 
+def _placed(pieces: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
+    """Adds sequence_id, offset and gap (what the piece's sequence leaves free) to pieces dealt into groups by a hash of their row."""
+
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
+        lengths = rows["length"].to_numpy()
+        bins, offsets = pack_group(lengths, size)
+        gaps = size - np.bincount(bins, weights=lengths).astype(np.int64)[bins]
+        rows = rows.drop_columns(["group"])
+        for name, values in (("sequence_id", bins + (turn << 58) + (key[0].as_py() << 32)), ("offset", offsets), ("gap", gaps)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
+
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return dealt.groupBy("group").applyInArrow(place, f"{schema}, sequence_id bigint, offset bigint, gap bigint")
+
+
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``size``: at most ``size`` ids per sequence, no gaps.
 
     The pieces are stored once, numbered and dealt into groups by a hash of their number, so that neither a document nor a
-    source decides where a piece goes and no group grows with the table.
+    source decides where a piece goes and no group grows with the table. Of several groups the sequences that are full stay;
+    the pieces of all others are dealt anew into fewer groups, round by round, until one group or few full sequences are left
+    (a round that fills less than half of its pieces' sequences is the last).
     """
-    stored = materialize(pieces.withColumn("row", F.monotonically_increasing_id()))
-    groups = max(1, -(-stored.count() // GROUP_PIECES))
-
-    def place(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("row")
-        bins, offsets = pack_group(rows["length"].to_numpy(), size)
-        sequences = bins + (key[0].as_py() << 32)
-        rows = rows.drop_columns(["row", "group"])
-        return rows.append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets))
-
-    dealt = stored.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
-    return dealt.groupBy("group").applyInArrow(place, schema)
+    rest = materialize(pieces.withColumn("row", F.monotonically_increasing_id()))
+    left, turn, out = rest.count(), 0, None
+    while True:
+        groups = max(1, -(-left // GROUP_PIECES))
+        placed = _placed(rest, size, groups, turn)
+        again = 0
+        if groups > 1:
+            placed = materialize(placed)
+            again = placed.filter("gap > 0").count()
+        last = not again or 2 * again > left
+        kept = placed if last else placed.filter("gap = 0")
+        out = kept if out is None else out.unionByName(kept)
+        if last:
+            return out.drop("row", "gap")
+        rest, left, turn = placed.filter("gap > 0").drop("sequence_id", "offset", "gap"), again, turn + 1
