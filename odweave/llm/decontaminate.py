@@ -207,9 +207,11 @@ class ItemIndex:
         step = max(1, _PAIRS // len(marks))
         for edge in range(0, len(items), step):
             window, place = c.search(marks, self.radius, places[edge : edge + step])
+            if not len(place):
+                continue
             order = np.argsort(place, kind="stable")
             each, first = np.unique(place[order], return_index=True)
-            for k, windows in zip(np.searchsorted(places, each).tolist(), np.split(window[order], first[1:]), strict=bool(len(each))):
+            for k, windows in zip(np.searchsorted(places, each).tolist(), np.split(window[order], first[1:]), strict=True):
                 near = np.zeros(len(marks), dtype=bool)
                 near[windows] = True
                 near = starts[near[which]]

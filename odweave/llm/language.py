@@ -18,6 +18,8 @@ from odweave.llm.tables import texts
 SLOTS = 1 << 16
 #: Labelled documents that a model is fitted on at most: those with the smallest hash of their id.
 FIT_DOCUMENTS = 20_000
+#: Tasks that count the sample.
+FIT_TASKS = 32
 #: What a change of language between two words costs, in natural log likelihood.
 SWITCH = 6.0
 #: A text whose language has less than this share of its letters is rejected; texts half in one language and half in another stay.
@@ -181,12 +183,22 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, most: int = FIT_DOCUMENTS) -> Model:
     """Learns from text and lang of rows of ``docs`` that are not held out and have both.
 
-    At most about ``most`` rows (documented bound), chosen by a hash of their doc_id over the whole table, each with its whole
-    text. Counts of hashed letter triples are summed per task, then per language; the driver gets one array per language.
+    At most about ``most`` rows (documented bound), each with its whole text. The bound is shared out by language: each gets
+    an equal part, or all its rows where they are fewer, and what such languages leave goes to the others; so a rare language
+    is learned at every size. Within a language the rows are chosen by a hash of their doc_id (of the text where it is
+    missing). Counts of hashed letter triples are summed per task, then per language; the driver gets one array per language.
     """
     rows = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share = min(1.0, most / max(1, rows.select("doc_id", "lang").count()))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    odds, left = {}, most
+    sizes = sorted((r.asDict()["count"], r.lang) for r in rows.groupBy("lang").count().collect())
+    for k, (n, name) in enumerate(sizes):
+        part = min(n, left // (len(sizes) - k))
+        odds[name], left = part / n, left - part
+    if not odds:
+        return Model([], np.zeros((SLOTS, 0), dtype=np.float32), np.zeros((len(SCRIPT_NAMES), 0), dtype=bool))
+    draw = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(1 << 40))
+    share = F.create_map(*(F.lit(x) for pair in odds.items() for x in pair))
+    chosen = rows.filter(draw < F.element_at(share, F.col("lang")) * float(1 << 40)).repartition(FIT_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -208,8 +220,6 @@ def fit(docs: DataFrame, most: int = FIT_DOCUMENTS) -> Model:
     schema = "lang string, counts binary"
     per = chosen.select("text", "lang").mapInArrow(count, schema).groupBy("lang").applyInArrow(total, schema).collect()
     found = {r.lang: np.frombuffer(r.counts, dtype=np.int64) for r in sorted(per, key=lambda r: r.lang)}
-    if not found:
-        return Model([], np.zeros((SLOTS, 0), dtype=np.float32), np.zeros((len(SCRIPT_NAMES), 0), dtype=bool))
     counts = np.stack([v[:SLOTS] for v in found.values()], axis=1) + 0.1
     scripts = np.stack([v[SLOTS:] for v in found.values()], axis=1)
     return Model(list(found), np.log(counts / counts.sum(axis=0)).astype(np.float32), scripts * 200 > scripts.sum(axis=0))
