@@ -1,25 +1,39 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them.
 
-The library cuts a text into pieces and merges each piece on its own, so equal pieces have equal ids. Texts of plain
-characters are cut at white space here, and each different chunk is merged by the library's model once and then
-remembered in a bounded memo. Every other text (other scripts, control characters, special strings) goes whole through
-the library's own ``encode``. Both ways give the same ids.
+The library cuts a text into pieces and merges each piece on its own, so equal pieces have equal ids. Each different piece
+is merged by the library's model once and then remembered in a bounded memo. Texts of plain characters are cut at white
+space here, if the tokenizer's own settings are ones that the patterns below were made for; every other text (other scripts,
+typographic marks, control characters, other tokenizer files) is cut by the library's own normalizer and pre-tokenizer. Only
+texts that hold one of the tokenizer's added strings go whole through the library's ``encode``. All ways give the same ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 from struct import pack
 
 from tokenizers import Tokenizer
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
-# How the two public vocabularies cut a text into pieces, on the plain characters above.
+# How the two public vocabularies cut a text into pieces, on the plain characters above, and the settings in their
+# files (normalizer, pre-tokenizer) that say so.
 _BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_BYTE_SETTINGS = None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_SETTINGS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: Longer pieces are merged each time and not remembered, so that a memo's size in bytes is bounded as well.
+REMEMBERED = 256
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,13 +52,15 @@ def as_letters(piece: str) -> str:
 
 
 class Memo(dict):
-    """A bounded memo of ``compute``. When it is full, its entries become the old half, and those still in use return."""
+    """A bounded memo of ``compute`` for strings. When it is full, its entries become the old half, and those still in use return."""
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > REMEMBERED:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -64,13 +80,33 @@ class Encoder:
 
     def __init__(self, path: str, of_ids: Callable[[list[int]], object], join: Callable, memo: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # the memos below take its place
-        self.words = self.tokenizer.normalizer is not None  # lower-cased words without white space
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.normalizer, self.pre_tokenizer, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the memos below take its place
+        self.added = self._added_strings()
+        file = json.loads(Path(path).read_text())
+        settings = file["normalizer"], file["pre_tokenizer"]
+        self.words = settings == _WORD_SETTINGS  # lower-cased words without white space
+        self.plain = self.words or settings == _BYTE_SETTINGS
         self.before = "" if self.words else as_letters(" ")
         self.of_ids, self.join = of_ids, join
         self.pieces = Memo(self._piece, memo // 4)
         self.chunks = Memo(self._chunk, memo)
+        self.letters = Memo(self._merge, memo // 4)
+
+    def _normal(self, text: str) -> str:
+        return text if self.normalizer is None else self.normalizer.normalize_str(text)
+
+    def _added_strings(self) -> re.Pattern | None:
+        """What the library may look for before it cuts a text: the added tokens, as they are and normalized."""
+        strings = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        strings |= {self._normal(s) for s in strings}
+        return re.compile("|".join(map(re.escape, sorted(strings - {""})))) if strings - {""} else None
+
+    def _holds_added(self, text: str) -> bool:
+        return self.added is not None and self.added.search(text) is not None
 
     def _merge(self, letters: str):
         return self.of_ids([t.id for t in self.model.tokenize(letters)])
@@ -93,9 +129,22 @@ class Encoder:
     def _cut(self, text: str):
         return self.join(map(self.pieces.__getitem__, _BYTE_PIECES.findall(text)))
 
+    def _whole(self, text: str):
+        return self.of_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _by_library(self, text: str):
+        """The library cuts, the memo merges; a text in which an added string may be found goes whole through the library."""
+        normal = self._normal(text)
+        if self._holds_added(text) or self._holds_added(normal):
+            return self._whole(text)
+        pieces = [(normal, None)] if self.pre_tokenizer is None else self.pre_tokenizer.pre_tokenize_str(normal)
+        return self.join(self.letters[piece] for piece, _ in pieces)
+
     def encode(self, text: str):
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.of_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not self.plain or not _PLAIN.fullmatch(text):
+            return self._by_library(text)
+        if self._holds_added(text):
+            return self._whole(text)
         if self.words:
             return self.join(map(self.chunks.__getitem__, text.lower().split()))
         first, _, rest = text.partition(" ")
