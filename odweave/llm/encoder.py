@@ -1,10 +1,11 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them.
 
 The library cuts a text into pieces and merges each piece on its own, so equal pieces have equal ids. Each different piece
-is merged by the library's model once and then remembered in a bounded memo. Texts of plain characters are cut at white
-space here, if the tokenizer's own settings are ones that the patterns below were made for; every other text (other scripts,
-typographic marks, control characters, other tokenizer files) is cut by the library's own normalizer and pre-tokenizer. Only
-texts that hold one of the tokenizer's added strings go whole through the library's ``encode``. All ways give the same ids.
+is merged by the library's model once and then remembered in a bounded memo. Texts are cut into chunks at spaces here, if the
+tokenizer's own settings are ones for which this is safe. Chunks of plain characters are cut by the patterns below, other
+chunks (other scripts, typographic marks, control characters) and all texts under other settings by the library's own
+normalizer and pre-tokenizer. Only texts that hold one of the tokenizer's added strings go whole through the library's
+``encode``. All ways give the same ids.
 """
 
 from __future__ import annotations
@@ -89,12 +90,14 @@ class Encoder:
         file = json.loads(Path(path).read_text())
         settings = file["normalizer"], file["pre_tokenizer"]
         self.words = settings == _WORD_SETTINGS  # lower-cased words without white space
-        self.plain = self.words or settings == _BYTE_SETTINGS
+        late = any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values())  # looked for in the normalized text
+        self.in_chunks = not late and (self.words or settings == _BYTE_SETTINGS)
         self.before = "" if self.words else as_letters(" ")
         self.of_ids, self.join = of_ids, join
         self.pieces = Memo(self._piece, memo // 4)
         self.chunks = Memo(self._chunk, memo)
         self.letters = Memo(self._merge, memo // 4)
+        self.others = Memo(self._other_chunk, memo // 4)
 
     def _normal(self, text: str) -> str:
         return text if self.normalizer is None else self.normalizer.normalize_str(text)
@@ -133,27 +136,36 @@ class Encoder:
         return self.of_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _by_library(self, text: str):
-        """The library cuts, the memo merges; a text in which an added string may be found goes whole through the library."""
+        """The library cuts, the memo merges."""
         normal = self._normal(text)
-        if self._holds_added(text) or self._holds_added(normal):
-            return self._whole(text)
         pieces = [(normal, None)] if self.pre_tokenizer is None else self.pre_tokenizer.pre_tokenize_str(normal)
-        return self.join(self.letters[piece] for piece, _ in pieces)
+        return self.join([self.letters[piece] for piece, _ in pieces])
+
+    def _other_chunk(self, chunk: str):
+        """A chunk of a text that has other than plain characters. It need not have some itself."""
+        if self.words:
+            return self.join(map(self.chunks.__getitem__, chunk.lower().split())) if _PLAIN.fullmatch(chunk) else self._by_library(chunk)
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Uneven
+        return self.chunks[chunk] if _PLAIN.fullmatch(chunk) else self._by_library(f" {chunk}")
 
     def encode(self, text: str):
-        if not self.plain or not _PLAIN.fullmatch(text):
-            return self._by_library(text)
-        if self._holds_added(text):
+        if self._holds_added(text) or not self.in_chunks and self._holds_added(self._normal(text)):
             return self._whole(text)
+        if not self.in_chunks:
+            return self._by_library(text)
+        plain = _PLAIN.fullmatch(text) is not None
         if self.words:
-            return self.join(map(self.chunks.__getitem__, text.lower().split()))
+            chunks = map(self.chunks.__getitem__, text.lower().split()) if plain else map(self.others.__getitem__, text.split(" "))
+            return self.join(chunks)
+        cut, chunks = (self._cut, self.chunks) if plain else (self._by_library, self.others)
         first, _, rest = text.partition(" ")
         if not rest or not first or first[-1].isspace():
-            return self._cut(text)
+            return cut(text)
         try:
-            return self.join([self._cut(first), *map(self.chunks.__getitem__, rest.split(" "))])
+            return self.join([cut(first), *map(chunks.__getitem__, rest.split(" "))])
         except _Uneven:
-            return self._cut(text)
+            return cut(text)
 
 
 def little_endian(ids: list[int]) -> bytes:
