@@ -61,19 +61,26 @@ def pivot(
     return df.groupBy(*ids).agg(*[cell(n) for n in names])
 
 
-#: Rows of a side that is sent whole to the tasks of the other one.
-_SMALL_SIDE = 10_000
+#: Rows and bytes (written out as text) of a side that is sent whole to the tasks of the other one.
+_SMALL_SIDE, _SMALL_BYTES = 10_000, 8 << 20
+
+
+def _small(side: DataFrame) -> bool:
+    """Is the side measured to be short and narrow? Reads no more than ``_SMALL_SIDE`` rows and one."""
+    size = F.sum(F.octet_length(F.struct("*").cast("string")))
+    rows, size = side.limit(_SMALL_SIDE + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return rows <= _SMALL_SIDE and size <= _SMALL_BYTES
 
 
 def grid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every row of ``left`` with every row of ``right``. The product is the wanted result, so its size is the cost.
 
-    A side counted to be small is broadcast and nothing is shuffled. Two large sides are cut into about sqrt(2 x shuffle
-    partitions) blocks by hash and each is repeated once per block of the other, which makes the blocks of the product
-    evenly sized tasks of an equi join.
+    A side measured to be small, in rows and in bytes, is broadcast and nothing is shuffled. Two large sides are cut into about
+    sqrt(2 x shuffle partitions) blocks by hash and each is repeated once per block of the other, which makes the blocks of
+    the product evenly sized tasks of an equi join.
     """
     for side, other in ((right, left), (left, right)):
-        if side.limit(_SMALL_SIDE + 1).count() <= _SMALL_SIDE:
+        if _small(side):
             met = other.withColumn("__one", F.lit(1)).join(F.broadcast(side.withColumn("__one", F.lit(1))), "__one")
             return met.select(*left.columns, *right.columns)
     blocks = ceil(sqrt(2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -17,10 +17,15 @@ Measure = Callable[[Column, Column, Column, Column], Column]
 
 
 def od_matrix(
-    places: DataFrame, measure: Measure = haversine_km, key: str = "GEOID", x: str = "lon", y: str = "lat"
+    places: DataFrame, measure: Measure = haversine_km, key: str = "GEOID", x: str = "lon", y: str = "lat", most: int = 30_000
 ) -> DataFrame:
-    """Travel measure (great-circle distance unless given) between all pairs of the chosen places in long form. The full matrix is the result, so it is meant
-    for a short list such as the ends of the top flows."""
+    """Travel measure (great-circle distance unless given) between all pairs of the chosen places in long form.
+
+    The full matrix is the result, so it is meant for a short list such as the ends of the top flows; more than ``most`` places
+    are an error, not a shorter result.
+    """
+    if places.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} places: the matrix has a row per pair; raise `most` if that is wanted")
 
     def role(prefix: str) -> DataFrame:
         return places.select(*[F.col(c).alias(f"{prefix}_{n}") for c, n in ((key, key), (x, "x"), (y, "y"))])
