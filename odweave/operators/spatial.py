@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odweave.functions.geometry import bbox, line_segments, polygon_edges, segments_touch, way_crosses_edge
+from odweave.functions.geometry import bbox, polygon_edges, segments_touch, way_crosses_edge
 from odweave.functions.projection import project_point
 from odweave.operators.joins import By, join
 from odweave.session import materialize
@@ -250,70 +250,148 @@ def _fill_levels(shapes: DataFrame, geometry: str, cell: float) -> DataFrame:
     return leveled.withColumn("__wide", extent / _size("level", cell))
 
 
-def crosses(
-    lines: DataFrame,
-    polygons: DataFrame,
-    keys: Sequence[str],
-    name: str,
-    cell: float,
-    line: str = "geometry",
-    geometry: str = "geometry",
-) -> DataFrame:
-    """Distinct (line key, polygon name) pairs that share a point. A key may own any number of line rows.
+#: Edges of one shape in one cell that are told from a start together; more are cut into parts.
+_FEW = 32
+#: Bytes (written out as text) of a polygon side that is sent whole to the tasks that read the lines.
+_SENT_BYTES = 32 << 20
 
-    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests look only at what meets
-    in a cell of a quadtree and sit in the join condition, so a candidate that fails never becomes a row. ``cell`` is the
-    size of the smallest cells. Segments and edges lie in cells of a level that suits their own length, tens of rows however
-    long they are, and meet at the higher of both levels. Copies of a line within its key are dropped; lines and polygons are
-    stored once; what is counted per line goes by a short id.
+
+def _met_by_lines(side: DataFrame) -> DataFrame:
+    """The stored polygon side of a join: sent whole if it was measured to be small, then no line is shuffled to meet it."""
+    size = side.agg(F.sum(F.octet_length(F.struct("*").cast("string")))).first()[0] or 0
+    return F.broadcast(side) if size <= _SENT_BYTES else side
+
+
+def _full_and_split(shapes: DataFrame, near: DataFrame, cell: float) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """Where a cell decides alone, and where edges do.
+
+    First, by size of block, the blocks of cells inside a shape that none of its edges enters, once per name: a start in
+    one of them is inside. Second, the cells that edges enter (``near``) whose reference point lies inside.
     """
-    keys = list(keys)
+    widest = shapes.agg(F.max("__wide")).first()[0] or 1.0
+    largest = int(math.log(max(widest, 1.0), 2 * _BLOCK))
+    place = ["__shape", "__name", "level", "cx", "cy"]
+    parts, full = _inside_blocks(shapes, cell, largest), []
+    for k in range(largest, -1, -1):
+        entered = near.select(*place[:-1], F.floor(F.col("cy") / _BLOCK**k).alias("cy")).distinct()
+        blocks = parts[k].select(*place)
+        if k < largest:
+            # a block of the next size that edges enter falls into those of this one
+            blocks = blocks.unionAll(split.select(*place[:-1], F.explode(F.sequence(F.col("cy") * _BLOCK, F.col("cy") * _BLOCK + _BLOCK - 1)).alias("cy")))
+        both = blocks.withColumn("__in", F.lit(True)).unionAll(entered.withColumn("__in", F.lit(False)))
+        both = materialize(both.groupBy(*place).agg(F.bool_or("__in").alias("__in"), F.bool_or(~F.col("__in")).alias("__by")).filter("__in"))
+        full.append((k, materialize(both.filter("NOT __by").select("__name", "level", "cx", "cy").distinct())))
+        split = both.filter("__by").select(*place)
+    return full, split
+
+
+def _edges_by_cell(near: DataFrame, inside: DataFrame, cell: float) -> DataFrame:
+    """One row per shape and cell that its edges enter: the edges, the cell's reference point and whether that lies ``inside``.
+
+    More than ``_FEW`` edges are cut into parts by hash, and the rows are marked as ``__many``.
+    """
+    place = ["__shape", "__name", "level", "cx", "cy"]
+    many = F.col("__n") > _FEW
+    counted = near.groupBy(*place).agg(F.count(F.lit(1)).alias("__n"))
+    part = F.pmod(F.xxhash64("ex", "ey", "fx", "fy"), F.ceil(F.col("__n") / _FEW))
+    dealt = join(near, counted, place, "inner").withColumn("__part", part)
+    rows = dealt.groupBy(*place, "__part").agg(
+        F.collect_list(F.struct("ex", "ey", "fx", "fy")).alias("__edges"), F.any_value(many).alias("__many"), F.any_value("__box").alias("__box")
+    )
+    rows = join(rows, inside.withColumn("__odd", F.lit(True)), place).fillna(False, subset=["__odd"])
+    reference = {f"r{c}": (F.col(f"c{c}") + _REFERENCE[i]) * _size("level", cell) for i, c in enumerate("xy")}
+    return rows.withColumns(reference)
+
+
+def _segments(lines: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
+    """A row per segment, ``ax, ay, bx, by``; a line of one vertex is a segment without length."""
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))))
+    numbered = lines.filter(F.size(line) > 0).select(*keys, line, at.alias("__at"))
+    a = F.get(line, F.col("__at") - 1)
+    b = F.when(F.size(line) == 1, a).otherwise(F.get(line, F.col("__at")))
+    return numbered.select(*keys, F.struct(a.alias("a"), b.alias("b")).alias("__s")).select(*keys, *_flat("__s", "a", "b"))
+
+
+def _meetings(
+    lines: DataFrame, polygons: DataFrame, keys: Sequence[str], name: str, cell: float, line: str, geometry: str
+) -> DataFrame:
+    """(line key, ``__name``) of all that share a point, some of them more than once. See ``crosses``."""
     shapes = polygons.select(F.col(name).alias("__name"), F.col(geometry).alias("__poly")).distinct()
     shapes = materialize(_fill_levels(shapes.withColumn("__shape", _shape_id("__poly")), "__poly", cell))
-    edges = shapes.select("__shape", "__name", F.col("level").alias("__fill"), F.explode(polygon_edges("__poly")).alias("__e"))
-    edges = edges.select("__shape", "__name", "__fill", *_flat("__e", "e", "f"))
+    edges = shapes.select("__shape", "__name", F.col("level").alias("__fill"), bbox("__poly").alias("__box"), F.explode(polygon_edges("__poly")).alias("__e"))
+    edges = edges.select("__shape", "__name", "__fill", "__box", *_flat("__e", "e", "f"))
     edges = edges.withColumn("level", _level(F.greatest(F.abs(F.expr("fx - ex")), F.abs(F.expr("fy - ey"))), cell))
     known = edges.agg(F.collect_set("level").alias("level"), F.collect_set("__fill").alias("fill")).first()
-    widest = shapes.agg(F.max("__wide")).first()[0] or 1.0
-    largest = int(math.log(max(widest, 1.0), 2 * _BLOCK))
 
-    start = F.get(line, F.lit(0))
-    dot = F.array(F.struct(start.alias("a"), start.alias("b")))
-    pieces = F.when(F.size(line) == 1, dot).otherwise(line_segments(line))
-    # narrow rows, much work on each: the tasks that drop copies stay as many as asked for, however few bytes they hold
-    dealt = lines.filter(F.size(line) > 0).repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, line)
-    parts = dissolve_lines(dealt, keys, line)
-    parts = materialize(parts.select(*keys, F.monotonically_increasing_id().alias("__line"), pieces.alias("__s")))
-    segments = parts.select(*keys, "__line", F.posexplode("__s").alias("__no", "__s")).select(*keys, "__line", "__no", *_flat("__s", "a", "b"))
-    segments = segments.withColumn("level", _level(F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("by - ay"))), cell))
+    def leveled(rows: DataFrame) -> DataFrame:
+        return _segments(rows, keys, line).withColumn("level", _level(F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("by - ay"))), cell))
+
+    spark = lines.sparkSession
+    lines = lines.select(*keys, line)
+    held = leveled(lines).groupBy(F.spark_partition_id().alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("level")).collect()
+    if max((r["n"] for r in held), default=0) * spark.sparkContext.defaultParallelism > 2 * sum(r["n"] for r in held):
+        # narrow rows, much work on each: few tasks hold most of them, so they are dealt out
+        lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     edge = [F.col(c) for c in ("ex", "ey", "fx", "fy")]
     ends = ["ax", "ay", "bx", "by"], ["ex", "ey", "fx", "fy"]
-    left = segment_cover(segments.drop("__line", "__no"), ends[0], _levels(known["level"]), cell, 1, [0])
-    right = segment_cover(edges.drop("__fill", "__shape"), ends[1], _levels(r[0] for r in segments.select("level").distinct().collect()), cell, 0, [0, 1])
-    right = right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})
+    left = segment_cover(leveled(lines), ends[0], _levels(known["level"]), cell, 1, [0])
+    right = segment_cover(edges.drop("__fill", "__shape", "__box"), ends[1], _levels({k for r in held for k in r["level"]}), cell, 0, [0, 1])
+    right = _met_by_lines(materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})))
     same_cell = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
     touch = segments_touch(*[F.col(c) for c in ends[0]], *edge)
-    touching = left.join(right, same_cell & touch).select(*keys, "__name")
+    met = left.join(right, same_cell & touch).select(*keys, "__name")
 
     # a start lies inside a polygon if its cell's reference point does, switched once per edge between the two
-    starts = segments.filter("__no = 0").select(*keys, "__line", F.col("ax").alias("px"), F.col("ay").alias("py"))
+    start = F.get(line, F.lit(0))
+    starts = lines.filter(F.size(line) > 0).select(*keys, start["x"].alias("px"), start["y"].alias("py"))
     starts = starts.withColumn("at", F.explode(_levels(known["fill"])))
     starts = starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell)) for c in "xy"})
-    found = ["__line", "__name", "__shape"]
-    votes = None
-    for k, blocks in enumerate(_inside_blocks(shapes, cell, largest)):
-        blocks = blocks.withColumnsRenamed({"level": "e_at", "cx": "e_cx", "cy": "e_cy"})
+    other = {"level": "e_at", "cx": "e_cx", "cy": "e_cy"}
+    near = materialize(_covered(edges.drop("level"), ends[1], "__fill", cell).withColumnRenamed("__fill", "level"))
+    full, inside = _full_and_split(shapes, near, cell)
+    for k, blocks in full:
+        blocks = _met_by_lines(blocks.withColumnsRenamed(other))
         in_block = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.floor(F.col("cy") / _BLOCK**k) == F.col("e_cy"))
-        filled = starts.join(blocks, in_block).select(*keys, *found)
-        votes = filled if votes is None else votes.unionAll(filled)
-    near = _covered(edges.drop("level"), ends[1], "__fill", cell).withColumnsRenamed({"__fill": "e_at", "cx": "e_cx", "cy": "e_cy"})
+        met = met.unionAll(starts.join(blocks, in_block).select(*keys, "__name"))
+    by_cell = materialize(_edges_by_cell(near, inside, cell).withColumnsRenamed(other))
+    px, py, box = F.col("px"), F.col("py"), F.col("__box")
     beside = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.col("cy") == F.col("e_cy"))
-    rx, ry = ((F.col(f"c{c}") + _REFERENCE[i]) * _size("at", cell) for i, c in enumerate("xy"))
-    switch = way_crosses_edge(F.col("px"), F.col("py"), rx, ry, *edge)
-    votes = votes.unionAll(starts.join(near, beside & switch).select(*keys, *found))
-    odd = votes.groupBy(*found).agg(*[F.any_value(k).alias(k) for k in keys], F.count(F.lit(1)).alias("__n")).filter("__n % 2 = 1")
-    return touching.unionAll(odd.select(*keys, "__name")).distinct().withColumnRenamed("__name", name)
+    beside = beside & px.between(box["xmin"], box["xmax"]) & py.between(box["ymin"], box["ymax"])
+
+    def switched(first: Column) -> Column:
+        cut = lambda e: F.coalesce(way_crosses_edge(px, py, F.col("rx"), F.col("ry"), e["ex"], e["ey"], e["fx"], e["fy"]), F.lit(False))
+        return F.aggregate("__edges", first, lambda odd, e: odd != cut(e))
+
+    few = _met_by_lines(by_cell.filter("NOT __many"))
+    met = met.unionAll(starts.join(few, beside & switched(F.col("__odd"))).select(*keys, "__name"))
+    crowded = by_cell.filter("__many")
+    if not crowded.isEmpty():
+        owner = [*keys, "px", "py", "__name", "__shape"]
+        votes = starts.join(_met_by_lines(crowded), beside).select(*owner, "__part", "__odd", switched(F.lit(False)).alias("__cut")).distinct()
+        odd = votes.groupBy(*owner).agg(((F.count_if("__cut") + F.max(F.col("__odd").cast("int"))) % 2 == 1).alias("__is_in"))
+        met = met.unionAll(odd.filter("__is_in").select(*keys, "__name"))
+    return met
+
+
+def crosses(
+    lines: DataFrame,
+    polygons: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    cell: float,
+    line: str = "geometry",
+    geometry: str = "geometry",
+) -> DataFrame:
+    """Distinct (line key, polygon name) pairs that share a point. A key may own any number of line rows.
+
+    A line meets a polygon if one of its segments touches an edge, or if it starts inside. Both tests look only at what meets
+    in a cell of a quadtree and sit in the join condition, so a candidate that fails never becomes a row. ``cell`` is the
+    size of the smallest cells. Segments and edges lie in cells of a level that suits their own length, tens of rows however
+    long they are, and meet at the higher of both levels. The polygons' side is stored; if it is small it goes whole to where the
+    lines are read, and only answers are shuffled. Lines are read in several passes: store them first if they are costly to make.
+    """
+    return _meetings(lines, polygons, list(keys), name, cell, line, geometry).distinct().withColumnRenamed("__name", name)
 
 
 def crossing_flags(
@@ -328,9 +406,11 @@ def crossing_flags(
 ) -> DataFrame:
     """One row per line key with one boolean per named polygon ``{flag column: polygon name}``, never missing."""
     wanted = polygons.filter(F.col(name).isin(*flags.values()))
-    met = crosses(lines, wanted, keys, name, cell, line, geometry)
-    wide = met.groupBy(*keys).agg(*[F.bool_or(F.col(name) == F.lit(v)).alias(k) for k, v in flags.items()])
-    return join(lines.select(*keys).distinct(), wide, by=list(keys)).fillna(False, subset=list(flags))
+    met = _meetings(lines, wanted, list(keys), name, cell, line, geometry)
+    # a row without a name per line: every key is there, in the same shuffle as the answers
+    every = lines.select(*keys, F.lit(None).cast(met.schema["__name"].dataType).alias("__name"))
+    is_met = {k: F.coalesce(F.bool_or(F.col("__name") == F.lit(v)), F.lit(False)) for k, v in flags.items()}
+    return every.unionAll(met).groupBy(*keys).agg(*[c.alias(k) for k, c in is_met.items()])
 
 
 # --- points and lines -----------------------------------------------------------------------------------------
