@@ -12,6 +12,7 @@ from odweave.operators.reshape import endpoints
 from odweave.operators.travel import network_matrix, od_matrix, to_destination
 from odweave.operators.verbs import top_k
 from odweave.operators.aggregates import sum_by
+from odweave.session import materialize
 
 
 @query(
@@ -180,5 +181,7 @@ def pairs_to_one(t: Tables) -> DataFrame:
 )
 def cross_pairs_network(t: Tables) -> DataFrame:
     """Cheapest ways over all trips, between the ends of the ten largest flows."""
-    ends = endpoints(top_k(t.flows_pair, ["-commuters", "h_geocode", "w_geocode"], 10), ["h_geocode", "w_geocode"], "name")
-    return network_matrix(t.flows_block, ends, src="h_geocode", dst="w_geocode", cost="S000", both_ways=True)
+    trips = materialize(t.flows_block)
+    pairs = sum_by(trips, ["h_geocode", "w_geocode"], "S000", out="commuters")
+    ends = endpoints(top_k(pairs, ["-commuters", "h_geocode", "w_geocode"], 10), ["h_geocode", "w_geocode"], "name")
+    return network_matrix(trips, ends, src="h_geocode", dst="w_geocode", cost="S000", both_ways=True)

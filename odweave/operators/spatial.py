@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from odweave.functions.geometry import bbox, polygon_edges, segments_touch, way_crosses_edge
 from odweave.functions.projection import project_point
 from odweave.operators.joins import By, join
-from odweave.session import materialize
+from odweave.session import materialize, whole_if_small
 
 
 def drop_geometry(df: DataFrame, *cols: str) -> DataFrame:
@@ -252,14 +252,6 @@ def _fill_levels(shapes: DataFrame, geometry: str, cell: float) -> DataFrame:
 
 #: Edges of one shape in one cell that are told from a start together; more are cut into parts.
 _FEW = 32
-#: Bytes (written out as text) of a polygon side that is sent whole to the tasks that read the lines.
-_SENT_BYTES = 32 << 20
-
-
-def _met_by_lines(side: DataFrame) -> DataFrame:
-    """The stored polygon side of a join: sent whole if it was measured to be small, then no line is shuffled to meet it."""
-    size = side.agg(F.sum(F.octet_length(F.struct("*").cast("string")))).first()[0] or 0
-    return F.broadcast(side) if size <= _SENT_BYTES else side
 
 
 def _full_and_split(shapes: DataFrame, near: DataFrame, cell: float) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
@@ -337,7 +329,7 @@ def _meetings(
     ends = ["ax", "ay", "bx", "by"], ["ex", "ey", "fx", "fy"]
     left = segment_cover(leveled(lines), ends[0], _levels(known["level"]), cell, 1, [0])
     right = segment_cover(edges.drop("__fill", "__shape", "__box"), ends[1], _levels({k for r in held for k in r["level"]}), cell, 0, [0, 1])
-    right = _met_by_lines(materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})))
+    right = whole_if_small(materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})))
     same_cell = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
     touch = segments_touch(*[F.col(c) for c in ends[0]], *edge)
     met = left.join(right, same_cell & touch).select(*keys, "__name")
@@ -351,7 +343,7 @@ def _meetings(
     near = materialize(_covered(edges.drop("level"), ends[1], "__fill", cell).withColumnRenamed("__fill", "level"))
     full, inside = _full_and_split(shapes, near, cell)
     for k, blocks in full:
-        blocks = _met_by_lines(blocks.withColumnsRenamed(other))
+        blocks = whole_if_small(blocks.withColumnsRenamed(other))
         in_block = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.floor(F.col("cy") / _BLOCK**k) == F.col("e_cy"))
         met = met.unionAll(starts.join(blocks, in_block).select(*keys, "__name"))
     by_cell = materialize(_edges_by_cell(near, inside, cell).withColumnsRenamed(other))
@@ -363,12 +355,12 @@ def _meetings(
         cut = lambda e: F.coalesce(way_crosses_edge(px, py, F.col("rx"), F.col("ry"), e["ex"], e["ey"], e["fx"], e["fy"]), F.lit(False))
         return F.aggregate("__edges", first, lambda odd, e: odd != cut(e))
 
-    few = _met_by_lines(by_cell.filter("NOT __many"))
+    few = whole_if_small(by_cell.filter("NOT __many"))
     met = met.unionAll(starts.join(few, beside & switched(F.col("__odd"))).select(*keys, "__name"))
     crowded = by_cell.filter("__many")
     if not crowded.isEmpty():
         owner = [*keys, "px", "py", "__name", "__shape"]
-        votes = starts.join(_met_by_lines(crowded), beside).select(*owner, "__part", "__odd", switched(F.lit(False)).alias("__cut")).distinct()
+        votes = starts.join(whole_if_small(crowded), beside).select(*owner, "__part", "__odd", switched(F.lit(False)).alias("__cut")).distinct()
         odd = votes.groupBy(*owner).agg(((F.count_if("__cut") + F.max(F.col("__odd").cast("int"))) % 2 == 1).alias("__is_in"))
         met = met.unionAll(odd.filter("__is_in").select(*keys, "__name"))
     return met

@@ -7,8 +7,11 @@ from uuid import uuid4
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes (written out as text) of a stored side of a join that is sent whole to the tasks of the other side.
+_SENT_BYTES = 32 << 20
 
 
 def get_session(app_name: str = "odweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,3 +74,9 @@ def fits_broadcast(df: DataFrame) -> bool:
     threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= threshold
+
+
+def whole_if_small(side: DataFrame) -> DataFrame:
+    """A stored side of a join: sent whole if it was measured to be small, then the other side is not shuffled to meet it."""
+    size = side.agg(F.sum(F.octet_length(F.struct("*").cast("string")))).first()[0] or 0
+    return F.broadcast(side) if size <= _SENT_BYTES else side
