@@ -9,7 +9,8 @@ Nothing here pairs all geometries: candidates always meet through an equi join o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -164,10 +165,10 @@ def _levels(found: Iterable[int]) -> Column:
     return F.array(*[F.lit(int(level)) for level in found]).cast("array<int>")
 
 
-def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float) -> DataFrame:
+def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float, explode: Callable[[Column], Column] = F.explode) -> DataFrame:
     """Cells ``cx, cy`` of the row's level that a segment passes through (a hair more, never less), one row each.
 
-    Every intermediate is a column of its own: inlined into one another, the expressions make a generated method too
+    ``explode_outer`` keeps a row without a segment, in no cell. Every intermediate is a column of its own: inlined into one another, the expressions make a generated method too
     large for the JVM to compile.
     """
     a_x, a_y, b_x, b_y = (F.col(c) for c in ends)
@@ -175,7 +176,7 @@ def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float) -> Dat
     size, pad = F.col("__c"), F.col("__c") * 1e-6
     # a nearly vertical segment has no slope and covers its whole height in each of its columns
     s = s.withColumn("__m", F.when(F.abs(b_x - a_x) > size * 1e-3, F.try_divide(b_y - a_y, b_x - a_x)))
-    s = s.withColumn("cx", F.explode(F.sequence(F.floor((F.col("__x0") - pad) / size), F.floor((F.col("__x1") + pad) / size))))
+    s = s.withColumn("cx", explode(F.sequence(F.floor((F.col("__x0") - pad) / size), F.floor((F.col("__x1") + pad) / size))))
     s = s.withColumns(
         {
             "__yl": a_y + (F.greatest("__x0", F.col("cx") * size) - a_x) * F.col("__m"),
@@ -189,10 +190,12 @@ def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float) -> Dat
         }
     )
     rows = F.sequence(F.floor((F.col("__lo") - pad) / size), F.floor((F.col("__hi") + pad) / size))
-    return s.select(*df.columns, "cx", F.explode(rows).alias("cy"))
+    return s.select(*df.columns, "cx", explode(rows).alias("cy"))
 
 
-def segment_cover(df: DataFrame, ends: Sequence[str], others: Column, cell: float, asks: int, meets: Sequence[int]) -> DataFrame:
+def segment_cover(
+    df: DataFrame, ends: Sequence[str], others: Column, cell: float, asks: int, meets: Sequence[int], explode: Callable[[Column], Column] = F.explode
+) -> DataFrame:
     """A segment's cells ``cx, cy`` at its own level (column ``level``) and, above it, at the levels of the ``others``.
 
     ``slot`` is twice the cell's level plus a kind. Kinds make two covers meet once, at the higher of both levels: cells of a
@@ -201,7 +204,7 @@ def segment_cover(df: DataFrame, ends: Sequence[str], others: Column, cell: floa
     own = F.col("level")
     here = [F.struct(own.alias("at"), (own * 2 + kind).alias("slot")) for kind in meets]
     above = F.transform(F.filter(others, lambda at: at > own), lambda at: F.struct(at.alias("at"), (at * 2 + asks).alias("slot")))
-    return _covered(df.select("*", F.inline(F.concat(F.array(*here), above))), ends, "at", cell).drop("level", "at")
+    return _covered(df.select("*", F.inline(F.concat(F.array(*here), above))), ends, "at", cell, explode).drop("level", "at")
 
 
 def _inside_blocks(shapes: DataFrame, cell: float, largest: int) -> list[DataFrame]:
@@ -295,19 +298,40 @@ def _edges_by_cell(near: DataFrame, inside: DataFrame, cell: float) -> DataFrame
     return rows.withColumns(reference)
 
 
-def _segments(lines: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
-    """A row per segment, ``ax, ay, bx, by``; a line of one vertex is a segment without length."""
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size(line) - 1, F.lit(1))))
-    numbered = lines.filter(F.size(line) > 0).select(*keys, line, at.alias("__at"))
+def _segments(lines: DataFrame, keys: Sequence[str], line: str, cell: float, unless: Column | None = None) -> DataFrame:
+    """A row per segment, ``ax, ay, bx, by`` and its ``level``; a line of one vertex is a segment without length.
+
+    Rows for which ``unless`` holds and lines without vertices stay as one row without a segment, if it is given.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.size(line) - 1, F.lit(1)))
+    if unless is None:
+        numbered = lines.filter(F.size(line) > 0).select(*keys, line, F.explode(at).alias("__at"))
+    else:
+        numbered = lines.select(*keys, line, F.explode_outer(F.when(~unless, at)).alias("__at"))
     a = F.get(line, F.col("__at") - 1)
     b = F.when(F.size(line) == 1, a).otherwise(F.get(line, F.col("__at")))
-    return numbered.select(*keys, F.struct(a.alias("a"), b.alias("b")).alias("__s")).select(*keys, *_flat("__s", "a", "b"))
+    ends = numbered.select(*keys, F.struct(a.alias("a"), b.alias("b")).alias("__s")).select(*keys, *_flat("__s", "a", "b"))
+    return ends.withColumn("level", _level(F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("by - ay"))), cell))
 
 
-def _meetings(
+_ENDS = ["ax", "ay", "bx", "by"]
+
+
+@dataclass(frozen=True)
+class _Shapes:
+    """The polygons' side, stored, and the lines: dealt out if few tasks held most of them."""
+
+    lines: DataFrame
+    edges: DataFrame  # by the cell and slot in which they meet segments
+    edge_levels: Column
+    fill_levels: Column
+    full: list[tuple[int, DataFrame]]  # blocks of cells in which every start is inside, by size
+    by_cell: DataFrame  # edges that tell a start
+
+
+def _shapes(
     lines: DataFrame, polygons: DataFrame, keys: Sequence[str], name: str, cell: float, line: str, geometry: str
-) -> DataFrame:
-    """(line key, ``__name``) of all that share a point, some of them more than once. See ``crosses``."""
+) -> _Shapes:
     shapes = polygons.select(F.col(name).alias("__name"), F.col(geometry).alias("__poly")).distinct()
     shapes = materialize(_fill_levels(shapes.withColumn("__shape", _shape_id("__poly")), "__poly", cell))
     edges = shapes.select("__shape", "__name", F.col("level").alias("__fill"), bbox("__poly").alias("__box"), F.explode(polygon_edges("__poly")).alias("__e"))
@@ -315,55 +339,132 @@ def _meetings(
     edges = edges.withColumn("level", _level(F.greatest(F.abs(F.expr("fx - ex")), F.abs(F.expr("fy - ey"))), cell))
     known = edges.agg(F.collect_set("level").alias("level"), F.collect_set("__fill").alias("fill")).first()
 
-    def leveled(rows: DataFrame) -> DataFrame:
-        return _segments(rows, keys, line).withColumn("level", _level(F.greatest(F.abs(F.expr("bx - ax")), F.abs(F.expr("by - ay"))), cell))
-
     spark = lines.sparkSession
     lines = lines.select(*keys, line)
-    held = leveled(lines).groupBy(F.spark_partition_id().alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("level")).collect()
+    held = _segments(lines, keys, line, cell).groupBy(F.spark_partition_id().alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("level")).collect()
     if max((r["n"] for r in held), default=0) * spark.sparkContext.defaultParallelism > 2 * sum(r["n"] for r in held):
         # narrow rows, much work on each: few tasks hold most of them, so they are dealt out
         lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    edge = [F.col(c) for c in ("ex", "ey", "fx", "fy")]
-    ends = ["ax", "ay", "bx", "by"], ["ex", "ey", "fx", "fy"]
-    left = segment_cover(leveled(lines), ends[0], _levels(known["level"]), cell, 1, [0])
-    right = segment_cover(edges.drop("__fill", "__shape", "__box"), ends[1], _levels({k for r in held for k in r["level"]}), cell, 0, [0, 1])
-    right = whole_if_small(materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")})))
+    ends = ["ex", "ey", "fx", "fy"]
+    right = segment_cover(edges.drop("__fill", "__shape", "__box"), ends, _levels({k for r in held for k in r["level"]}), cell, 0, [0, 1])
+    right = materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")}))
+    near = materialize(_covered(edges.drop("level"), ends, "__fill", cell).withColumnRenamed("__fill", "level"))
+    full, inside = _full_and_split(shapes, near, cell)
+    other = {"level": "e_at", "cx": "e_cx", "cy": "e_cy"}
+    by_cell = materialize(_edges_by_cell(near, inside, cell).withColumnsRenamed(other))
+    return _Shapes(lines, right, _levels(known["level"]), _levels(known["fill"]), [(k, b.withColumnsRenamed(other)) for k, b in full], by_cell)
+
+
+def _touches() -> Column:
     same_cell = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
-    touch = segments_touch(*[F.col(c) for c in ends[0]], *edge)
-    met = left.join(right, same_cell & touch).select(*keys, "__name")
+    return same_cell & segments_touch(*[F.col(c) for c in (*_ENDS, "ex", "ey", "fx", "fy")])
 
-    # a start lies inside a polygon if its cell's reference point does, switched once per edge between the two
+
+def _starts(lines: DataFrame, keys: Sequence[str], line: str, levels: Column, cell: float) -> DataFrame:
+    """The first vertex of each line, once per level, with its cell."""
     start = F.get(line, F.lit(0))
     starts = lines.filter(F.size(line) > 0).select(*keys, start["x"].alias("px"), start["y"].alias("py"))
-    starts = starts.withColumn("at", F.explode(_levels(known["fill"])))
-    starts = starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell)) for c in "xy"})
-    other = {"level": "e_at", "cx": "e_cx", "cy": "e_cy"}
-    near = materialize(_covered(edges.drop("level"), ends[1], "__fill", cell).withColumnRenamed("__fill", "level"))
-    full, inside = _full_and_split(shapes, near, cell)
-    for k, blocks in full:
-        blocks = whole_if_small(blocks.withColumnsRenamed(other))
+    return _start_cells(starts.withColumn("at", F.explode(levels)), cell)
+
+
+def _start_cells(starts: DataFrame, cell: float) -> DataFrame:
+    return starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell)) for c in "xy"})
+
+
+def _in_box(box: Column) -> Column:
+    return F.col("px").between(box["xmin"], box["xmax"]) & F.col("py").between(box["ymin"], box["ymax"])
+
+
+def _switched(first: Column, edges: Column, rx: Column, ry: Column) -> Column:
+    """A start lies inside a polygon if its cell's reference point does, switched once per edge between the two."""
+    cut = lambda e: F.coalesce(way_crosses_edge(F.col("px"), F.col("py"), rx, ry, e["ex"], e["ey"], e["fx"], e["fy"]), F.lit(False))
+    return F.aggregate(edges, first, lambda odd, e: odd != cut(e))
+
+
+def _beside() -> Column:
+    here = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.col("cy") == F.col("e_cy"))
+    return here & _in_box(F.col("__box"))
+
+
+def _by_votes(shapes: _Shapes, keys: Sequence[str], cell: float, line: str) -> DataFrame | None:
+    """(line key, ``__name``) of the starts inside a polygon that are told in parts, in cells of many edges; None if there are no such cells."""
+    crowded = shapes.by_cell.filter("__many")
+    if crowded.isEmpty():
+        return None
+    owner = [*keys, "px", "py", "__name", "__shape"]
+    cut = _switched(F.lit(False), F.col("__edges"), F.col("rx"), F.col("ry"))
+    starts = _starts(shapes.lines, keys, line, shapes.fill_levels, cell)
+    votes = starts.join(whole_if_small(crowded), _beside()).select(*owner, "__part", "__odd", cut.alias("__cut")).distinct()
+    odd = votes.groupBy(*owner).agg(((F.count_if("__cut") + F.max(F.col("__odd").cast("int"))) % 2 == 1).alias("__is_in"))
+    return odd.filter("__is_in").select(*keys, "__name")
+
+
+def _meetings(
+    lines: DataFrame, polygons: DataFrame, keys: Sequence[str], name: str, cell: float, line: str, geometry: str
+) -> DataFrame:
+    """(line key, ``__name``) of all that share a point, some of them more than once. See ``crosses``."""
+    shapes = _shapes(lines, polygons, keys, name, cell, line, geometry)
+    left = segment_cover(_segments(shapes.lines, keys, line, cell), _ENDS, shapes.edge_levels, cell, 1, [0])
+    met = left.join(whole_if_small(shapes.edges), _touches()).select(*keys, "__name")
+    starts = _starts(shapes.lines, keys, line, shapes.fill_levels, cell)
+    for k, blocks in shapes.full:
         in_block = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.floor(F.col("cy") / _BLOCK**k) == F.col("e_cy"))
-        met = met.unionAll(starts.join(blocks, in_block).select(*keys, "__name"))
-    by_cell = materialize(_edges_by_cell(near, inside, cell).withColumnsRenamed(other))
-    px, py, box = F.col("px"), F.col("py"), F.col("__box")
-    beside = (F.col("at") == F.col("e_at")) & (F.col("cx") == F.col("e_cx")) & (F.col("cy") == F.col("e_cy"))
-    beside = beside & px.between(box["xmin"], box["xmax"]) & py.between(box["ymin"], box["ymax"])
+        met = met.unionAll(starts.join(whole_if_small(blocks), in_block).select(*keys, "__name"))
+    told = _switched(F.col("__odd"), F.col("__edges"), F.col("rx"), F.col("ry"))
+    met = met.unionAll(starts.join(whole_if_small(shapes.by_cell.filter("NOT __many")), _beside() & told).select(*keys, "__name"))
+    votes = _by_votes(shapes, keys, cell, line)
+    return met if votes is None else met.unionAll(votes)
+
 
-    def switched(first: Column) -> Column:
-        cut = lambda e: F.coalesce(way_crosses_edge(px, py, F.col("rx"), F.col("ry"), e["ex"], e["ey"], e["fx"], e["fy"]), F.lit(False))
-        return F.aggregate("__edges", first, lambda odd, e: odd != cut(e))
+#: Polygon names that one whole number tells.
+_BITS = 63
 
-    few = whole_if_small(by_cell.filter("NOT __many"))
-    met = met.unionAll(starts.join(few, beside & switched(F.col("__odd"))).select(*keys, "__name"))
-    crowded = by_cell.filter("__many")
-    if not crowded.isEmpty():
-        owner = [*keys, "px", "py", "__name", "__shape"]
-        votes = starts.join(whole_if_small(crowded), beside).select(*owner, "__part", "__odd", switched(F.lit(False)).alias("__cut")).distinct()
-        odd = votes.groupBy(*owner).agg(((F.count_if("__cut") + F.max(F.col("__odd").cast("int"))) % 2 == 1).alias("__is_in"))
-        met = met.unionAll(odd.filter("__is_in").select(*keys, "__name"))
-    return met
+
+def _met_bits(
+    lines: DataFrame, polygons: DataFrame, keys: Sequence[str], name: str, names: Sequence[str], cell: float, line: str, geometry: str
+) -> DataFrame:
+    """Every line key, once, with ``__met``: a bit per name of what the key's lines meet.
+
+    The starts come first: what they lie in is told from one row per cell, and a segment asks only for the names that are left.
+    So a line goes through both joins in one pass, and a task sums its keys up before anything is shuffled.
+    """
+    shapes = _shapes(lines, polygons, keys, name, cell, line, geometry)
+    nothing, everything = F.lit(0).cast("bigint"), F.lit(2 ** len(names) - 1).cast("bigint")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("__name")).cast("int") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+    at_cell = ["e_k", "e_at", "e_cx", "e_cy"]
+    few = shapes.by_cell.filter("NOT __many").select(
+        F.lit(0).alias("e_k"), *at_cell[1:], nothing.alias("__bit"),
+        F.struct(bit.alias("bit"), F.col("__box").alias("box"), "rx", "ry", F.col("__edges").alias("edges"), F.col("__odd").alias("odd")).alias("__few"),
+    )
+    for k, blocks in shapes.full:
+        few = few.unionAll(blocks.select(F.lit(k).alias("e_k"), *at_cell[1:], bit.alias("__bit"), F.lit(None).cast(few.schema["__few"].dataType).alias("__few")))
+    cells = whole_if_small(materialize(few.groupBy(*at_cell).agg(F.bit_or("__bit").alias("__full"), F.collect_list("__few").alias("__few"))))
+
+    sizes = F.array(*[F.lit(k) for k, _ in shapes.full])
+    asks = F.flatten(F.transform(shapes.fill_levels, lambda at: F.transform(sizes, lambda k: F.struct(at.alias("at"), k.alias("k")))))
+    start = F.get(line, F.lit(0))
+    starts = shapes.lines.select(*keys, line, start["x"].alias("px"), start["y"].alias("py"), F.posexplode_outer(asks).alias("__no", "__ask"))
+    starts = _start_cells(starts.select("*", "__ask.at", "__ask.k"), cell).withColumn("cy", F.floor(F.col("cy") / F.pow(F.lit(float(_BLOCK)), F.col("k"))))
+    here = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("k", "at", "cx", "cy")])
+
+    def add(met: Column, s: Column) -> Column:
+        news = (met.bitwiseAND(s["bit"]) == 0) & _in_box(s["box"]) & _switched(s["odd"], s["edges"], s["rx"], s["ry"])
+        return F.when(news, met.bitwiseOR(s["bit"])).otherwise(met)
+
+    known = starts.join(cells, here, "left").withColumn("__met", F.coalesce(F.aggregate("__few", F.col("__full"), add), nothing))
+    owner = [*keys, "__met"]
+    segments = _segments(known, owner, line, cell, unless=(F.col("__met") == everything) | (F.col("__no") > 0))
+    left = segment_cover(segments, _ENDS, shapes.edge_levels, cell, 1, [0], F.explode_outer)
+    edges = whole_if_small(materialize(shapes.edges.select(*[c for c in shapes.edges.columns if c != "__name"], bit.alias("__bit"))))
+    touched = left.join(edges, _touches() & (F.col("__met").bitwiseAND(F.col("__bit")) == 0), "left")
+    met = touched.select(*keys, F.col("__met").bitwiseOR(F.coalesce("__bit", nothing)).alias("__met"))
+    votes = _by_votes(shapes, keys, cell, line)
+    if votes is not None:
+        met = met.unionAll(votes.select(*keys, bit.alias("__met")))
+    return met.groupBy(*keys).agg(F.bit_or("__met").alias("__met"))
 
 
 def crosses(
@@ -397,7 +498,12 @@ def crossing_flags(
     geometry: str = "geometry",
 ) -> DataFrame:
     """One row per line key with one boolean per named polygon ``{flag column: polygon name}``, never missing."""
-    wanted = polygons.filter(F.col(name).isin(*flags.values()))
+    names = list(dict.fromkeys(flags.values()))
+    wanted = polygons.filter(F.col(name).isin(*names))
+    if len(names) <= _BITS:
+        met = _met_bits(lines, wanted, list(keys), name, names, cell, line, geometry)
+        has = {k: F.getbit("__met", F.lit(names.index(v))) == 1 for k, v in flags.items()}
+        return met.select(*keys, *[c.alias(k) for k, c in has.items()])
     met = _meetings(lines, wanted, list(keys), name, cell, line, geometry)
     # a row without a name per line: every key is there, in the same shuffle as the answers
     every = lines.select(*keys, F.lit(None).cast(met.schema["__name"].dataType).alias("__name"))
