@@ -15,7 +15,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
-from struct import pack
+from struct import Struct, pack
 
 from tokenizers import Tokenizer
 
@@ -33,6 +33,8 @@ _WORD_SETTINGS = (
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ]},
 )
+#: Marks that often end a chunk: each is a piece of its own after a word.
+_ENDING = frozenset(".,;:!?)")
 #: Longer pieces are merged each time and not remembered, so that a memo's size in bytes is bounded as well.
 REMEMBERED = 256
 
@@ -122,7 +124,10 @@ class Encoder:
             return self._merge(self.before + (chunk if chunk.isascii() else as_letters(chunk)))
         if self.words:
             return self.join(map(self.pieces.__getitem__, _WORD_PIECES.findall(chunk)))
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        word, last = chunk[:-1], chunk[-1:]
+        if last in _ENDING and word.isalpha():
+            return self.join((self.chunks[word], self.pieces[last]))
+        if not chunk or chunk[0].isspace() or last.isspace():
             raise _Uneven
         first, *more = _BYTE_PIECES.findall(f" {chunk}")
         if more and first[1:].isalpha():
@@ -168,11 +173,14 @@ class Encoder:
             return cut(text)
 
 
+_SHORT = [Struct(f"<{n}I").pack for n in range(32)]
+
+
 def little_endian(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
+    return _SHORT[len(ids)](*ids) if len(ids) < len(_SHORT) else pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
 def id_encoder(path: str) -> Encoder:
     """Encodes to little-endian unsigned 32-bit ids; one per Python worker."""
-    return Encoder(path, little_endian, b"".join)
+    return Encoder(path, little_endian, b"".join, memo=600_000)
