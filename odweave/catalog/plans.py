@@ -17,7 +17,7 @@ from odweave.operators.verbs import agg_top_k
 from odweave.plans.duration_model import duration_model
 from odweave.plans.flow_summary import area_balance, main_network, top_area_pairs
 from odweave.plans.route_study import study_routes
-from odweave.session import materialize
+from odweave.session import materialize_in_parts
 
 
 @query("plan_top_area_pairs", "SELECT h_tract, w_tract, commuters FROM flows_area WHERE h_tract <> w_tract")
@@ -93,6 +93,10 @@ _ORTHOGONAL = (
 ).format(train=f"{_hash('split-1234', 10000)} < 7500", on="FILTER (WHERE fits) OVER ()")
 
 
+#: Steps in which orders, lines and flags are joined: each shuffles its part of the orders only, and reads the tables once more.
+_PARTS = 8
+
+
 @query(
     "plan_duration_model",
     f"WITH {_CROSS}, {_ORTHOGONAL} SELECT h_tract, w_tract, round(pred, 5) AS pred, round(y - pred, 5) AS resid FROM fitted",
@@ -107,7 +111,7 @@ def plan_duration_model(t: Tables) -> DataFrame:
     flags = crossing_flags(t.step_lines, t.water, ["l_orderkey"], "FULLNAME", names, CELL)
     routes = t.routes.select("h_tract", "w_tract", F.col("distance").cast("double").alias("distance"), "steps", "duration")
     flagged = join(routes, flags, {"w_tract": "l_orderkey"}, na_matches="never")
-    flagged = materialize(flagged.withColumns({n: F.coalesce(n, F.lit(False)).cast("double") for n in names}))
+    flagged = materialize_in_parts(flagged.withColumns({n: F.coalesce(n, F.lit(False)).cast("double") for n in names}), ["w_tract"], _PARTS)
     features = ("distance", "steps", *names)
-    model = duration_model(flagged, t.blocks.withColumnRenamed("NAME", "area_name"), features, key=("w_tract",))
+    model = duration_model(flagged, t.blocks.withColumnRenamed("NAME", "area_name"), features, key=("w_tract",), stored=True)
     return model.predictions.select("h_tract", "w_tract", F.round("`.pred`", 5).alias("pred"), F.round("`.resid`", 5).alias("resid"))

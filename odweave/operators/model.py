@@ -87,10 +87,11 @@ def lm_pipeline(label: str, features: Sequence[str], scaled: Sequence[str] = ())
     return Pipeline(stages=stages)
 
 
-def fit(df: DataFrame, label: str, features: Sequence[str], scaled: Sequence[str] = ()) -> PipelineModel:
-    """Fit the pipeline on the rows without missing values. Each stage is a pass, so the model columns are stored once."""
+def fit(df: DataFrame, label: str, features: Sequence[str], scaled: Sequence[str] = (), stored: bool = False) -> PipelineModel:
+    """Fit the pipeline on the rows without missing values. Each stage is a pass, so the model columns are stored once, unless
+    ``df`` comes from a table that is ``stored``."""
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in [label, *features]]).dropna("any")
-    return lm_pipeline(label, features, scaled).fit(materialize(numeric))
+    return lm_pipeline(label, features, scaled).fit(numeric if stored else materialize(numeric))
 
 
 def tidy(model: PipelineModel, df: DataFrame, features: Sequence[str], scaled: Sequence[str] = ()) -> DataFrame:
@@ -137,13 +138,15 @@ def _solve(n: float, sums: np.ndarray, products: np.ndarray) -> np.ndarray:
 
 
 def cross_validate(
-    df: DataFrame, label: str, features: Sequence[str], key: Sequence[str], v: int = 10, repeats: int = 2, seed: int = 1234
+    df: DataFrame, label: str, features: Sequence[str], key: Sequence[str], v: int = 10, repeats: int = 2, seed: int = 1234, stored: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics, predictions). Metrics hold rmse and rsq (squared correlation) per repeat and fold; predictions hold
-    the held-out prediction of every row per repeat. The driver sees one row of sums per resample."""
+    the held-out prediction of every row per repeat. The driver sees one row of sums per resample. The model columns are
+    stored once, unless ``df`` comes from a table that is ``stored``."""
     spark = df.sparkSession
     names = [*features, label]
-    rows = materialize(df.select(*key, *[F.col(c).cast("double").alias(c) for c in names]).dropna("any", subset=names))
+    rows = df.select(*key, *[F.col(c).cast("double").alias(c) for c in names]).dropna("any", subset=names)
+    rows = rows if stored else materialize(rows)
     centre = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
     held = folds(rows, key, v, repeats, seed)
     pairs = list(combinations_with_replacement(range(len(names)), 2))

@@ -33,11 +33,15 @@ def duration_model(
     dest: str = "w_tract",
     key: Sequence[str] = ("h_tract", "w_tract"),
     seed: int = 1234,
+    stored: bool = False,
 ) -> DurationModel:
-    """Cross-validate on the training part, fit it, score all routes and average the residuals per area."""
+    """Cross-validate on the training part, fit it, score all routes and average the residuals per area.
+
+    Routes that are ``stored`` already are read in each pass and not written again.
+    """
     training, _ = split(routes, key, 0.75, seed)
-    metrics, _ = cross_validate(training, label, features, key, seed=seed)
-    model = fit(training, label, features, scaled)
+    metrics, _ = cross_validate(training, label, features, key, seed=seed, stored=stored)
+    model = fit(training, label, features, scaled, stored)
     keep = list(dict.fromkeys([*key, origin, dest, *features, label]))
     predictions = residuals(score(model, routes, label, features, keep), label)
     return DurationModel(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from uuid import uuid4
 
 import pyarrow.fs as pafs
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Bytes (written out as text) of a stored side of a join that is sent whole to the tasks of the other side.
 _SENT_BYTES = 32 << 20
+#: Shuffle files go when the action that wrote them ends; what is run again writes them again.
+_FREED_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app_name: str = "odweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,6 +61,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_FREED_KEY, None)
+    spark.conf.set(_FREED_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREED_KEY)
+        else:
+            spark.conf.set(_FREED_KEY, before)
+
+
+def materialize_in_parts(df: DataFrame, by: Sequence[str], parts: int) -> DataFrame:
+    """``materialize`` in steps, each for the rows of one part of the keys ``by``: only one step's shuffle files are there at a time.
+
+    Every row is in one part, also one with a missing key; ``df`` must have the same rows whenever it is computed. If it is grouped
+    or joined by the keys, Spark picks a step's rows where the sources are read. So the sources are read in every step, but each
+    row is shuffled in one.
+    """
+    # told by text: unlike a number, a text is no part of the generated code, so the steps share what was compiled
+    part = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("string")
+    path = scratch_path(df.sparkSession, f"stored/{uuid4().hex}")
+    with _shuffles_freed(df.sparkSession):
+        for i in range(parts):
+            df.filter(part == str(i)).write.mode("append").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for one application's intermediate table; a rerun in the same application overwrites it."""
     return f"{shared_dir(spark)}/odweave/{spark.sparkContext.applicationId}/{name}"
