@@ -81,12 +81,11 @@ def materialize_in_parts(df: DataFrame, by: Sequence[str], parts: int) -> DataFr
     or joined by the keys, Spark picks a step's rows where the sources are read. So the sources are read in every step, but each
     row is shuffled in one.
     """
-    # told by text: unlike a number, a text is no part of the generated code, so the steps share what was compiled
-    part = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("string")
+    part = F.pmod(F.xxhash64(*by), F.lit(parts))
     path = scratch_path(df.sparkSession, f"stored/{uuid4().hex}")
     with _shuffles_freed(df.sparkSession):
         for i in range(parts):
-            df.filter(part == str(i)).write.mode("append").option("compression", "zstd").parquet(path)
+            df.filter(part == i).write.mode("append").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
