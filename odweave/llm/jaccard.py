@@ -3,8 +3,11 @@
 Sets are ordered by how often their shingles occur (a fixed-size table of counts over all documents), rarest first. Two sets
 that reach the threshold share a shingle of their prefixes. The index list of a prefix shingle is sorted by set size; whole
 ranges are skipped that sizes and prefix positions rule out. What the lists leave are bundles of sets that may be linked.
+The counters are shared by many shingles, so in a large table the order blurs and lists tie sets that have little in common: a
+bundle too large for one block is taken apart again by an order that is counted among its own sets alone.
 Within a bundle the answers of each set are derived from those of a leader set: only the shingles by which sets differ from the
-leader are compared. Large bundles are cut into blocks, and each pair of blocks is a task of bounded size; no pairs are listed.
+leader are compared. What stays large is cut into blocks, and each pair of blocks is a task of bounded size; no pairs are listed.
+Shuffle files go when the step that wrote them ends; blocks are compared in as many steps as keep a step's texts below the input's.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.components import components
-from odweave.llm.shingles import shingles, word_hashes
+from odweave.llm.shingles import mixed, shingles, word_hashes
 from odweave.llm.tables import runs, texts
-from odweave.session import materialize
+from odweave.session import materialize, materialize_each, shuffles_freed, whole_if_small
 
 #: Counters of the table of shingle counts, and counters that travel together.
-SLOTS, CHUNK = 1 << 20, 4096
+SLOTS, CHUNK = 1 << 22, 4096
 #: Tasks whose counters are summed in one group before the groups are, and sets a task remembers to have posted.
 SUM_TASKS, POSTED = 512, 200_000
 #: Sets and shingles of one block of a bundle.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles of the texts that a step of the comparison shuffles, if the whole input has fewer.
+STEP_SHINGLES = 1 << 24
+#: Bits of the table that tells where a row is looked for.
+MARKS = 1 << 26
 _COLUMNS = 4096
 
 
@@ -37,6 +44,27 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text.encode().lower().split()), words))
 
 
+def _salted(found: np.ndarray, salt: int | None) -> np.ndarray:
+    """The set under other hashes, ascending: sets of different salts share none of them, nor their counters."""
+    return np.sort(mixed(found + np.uint64(salt & 0xFFFFFFFFFFFFFFFF))) if salt else found
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
+    """The sets of the rows' texts, under the rows' salts if there are any."""
+    salts = batch.column("salt").to_pylist() if "salt" in batch.schema.names else [None] * batch.num_rows
+    return [_salted(shingle_set(t, words), salt) for t, salt in zip(texts(batch.column("text")), salts, strict=True)]
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes as the largest needs, packed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes(), 1)
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=f"u{len(raw) // CHUNK}").astype(np.int64)
+
+
 def _slots(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -51,28 +79,34 @@ def _mix_of(found: np.ndarray) -> int:
 
 
 def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """Per row: row, doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles. ``docs``: row, doc_id, text."""
+    """Per row: row, doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles. ``docs``: row, doc_id, text, perhaps salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int64)
+        counts, held, waiting = np.zeros(SLOTS, dtype=np.int64), [], 0
         names = ["row", "doc_id", "n", "s1", "s2", "chunk", "part", "counts"]
         for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
-            sets = [shingle_set(t, words) for t in texts(batch.column(2))]
-            counts += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
+            sets = _sets(batch, words)
+            held.append(_slots(np.concatenate(sets)))
+            waiting += len(held[-1])
+            if waiting > SLOTS:
+                counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                held, waiting = [], 0
             n = pa.array([len(s) for s in sets], pa.int64())
             s1, s2 = (pa.array([f(s) for s in sets], pa.int64()) for f in (_sum_of, _mix_of))
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, s1, s2, none, none, pa.nulls(len(sets), pa.binary())], names)
-        used = [k for k in range(SLOTS // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
-        packed = [zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1) for k in used]
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+        used = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
+        packed = [_narrow(counts[k * CHUNK : (k + 1) * CHUNK]) for k in used.tolist()]
         empty, part = pa.nulls(len(used), pa.int64()), [TaskContext.get().partitionId() // SUM_TASKS] * len(used)
         yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(used, pa.int32()), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names)
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summed = np.zeros(CHUNK, dtype=np.int64)
         for packed in (x for b in batches for x in b.column("counts").to_pylist()):
-            summed += np.frombuffer(zlib.decompress(packed), dtype=np.int64)
-        yield pa.RecordBatch.from_pydict({"chunk": key[:1], "counts": pa.array([zlib.compress(summed.tobytes(), 1)], pa.binary())})
+            summed += _wide(packed)
+        yield pa.RecordBatch.from_pydict({"chunk": key[:1], "counts": pa.array([_narrow(summed)], pa.binary())})
 
     schema = "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, chunk int, part int, counts binary"
     stored = materialize(docs.mapInArrow(run, schema))
@@ -81,7 +115,7 @@ def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     for keys in (("chunk", "part"), ("chunk",)):
         sums = sums.groupBy(*keys).applyInArrow(total, "chunk int, counts binary")
     for row in sums.collect():
-        counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
+        counts[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = _wide(row.counts)
     return stored.filter("chunk is null").select("row", "doc_id", "n", "s1", "s2"), np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
 
 
@@ -93,13 +127,13 @@ def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: Broadcast, words: int, percent: int) -> DataFrame:
-    """The prefix shingles: token, row, n, place. A task posts equal sets once, whichever of their rows comes first."""
+    """The prefix shingles: token, row, n, place. A task posts equal sets once, whichever of their rows comes first. ``docs``: row, text, perhaps salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posted: set[tuple[int, int]] = set()
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                sets, new = [shingle_set(t, words) for t in texts(part.column(1))], []
+                sets, new = _sets(part, words), []
                 for k, found in enumerate(sets):
                     mark = _sum_of(found), _mix_of(found)
                     if mark not in posted:
@@ -250,8 +284,56 @@ def _verified(bundled: DataFrame, words: int, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "row bigint, root bigint, links bigint")
 
 
+def _marks(df: DataFrame, key: str) -> DataFrame:
+    """Each row with the place of its key in a table of ``MARKS`` bits: a ``__word`` of 64 bits and the ``__bit`` in it."""
+    at = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    return df.withColumns({"__word": F.shiftright(at, 6).cast("int"), "__bit": F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))})
+
+
+def _looked_for(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` with a column ``__likely``: true for each row whose key is in ``wanted``, and for few others unless that has a large part of ``MARKS`` keys.
+
+    The table of bits is sent to the rows, which are not shuffled; it has one size at most, however many keys there are.
+    """
+    words = _marks(wanted, key).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = _marks(df, key).join(F.broadcast(words), "__word", "left")
+    return marked.withColumn("__likely", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def _with_text(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """``some`` of the rows, each with its text; the texts of few others are shuffled."""
+    likely = _looked_for(rows.select("row", "text"), some.select("row"), "row").filter("__likely").drop("__likely")
+    return some.join(likely, "row")
+
+
+def _split(bundles: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Bundles (node, component), those of more sets than a block taken apart as long as that halves their pairs.
+
+    The sets of one bundle go under hashes of its own, so that counts and lists are those among its sets. Two sets that are linked
+    share a shingle of their prefixes in any order, so they stay together; a set that is left alone is linked with nothing.
+    """
+    context, before, step = rows.sparkSession.sparkContext, float("inf"), 0
+    while True:
+        sizes = materialize(bundles.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > BLOCK_SETS))
+        pairs = sizes.agg(F.sum(F.col("sets").cast("double") * F.col("sets"))).first()[0] or 0
+        if not pairs or 2 * pairs > before:
+            return bundles
+        before, step = pairs, step + 1
+        salt = F.xxhash64("component", F.lit(step))
+        large = materialize(bundles.join(sizes, "component").select(F.col("node").alias("row"), salt.alias("salt")))
+        found = materialize(_with_text(large, rows).select("row", F.col("row").alias("doc_id"), "text", "salt"))
+        _, counts = _profiles(found, words)
+        finer = components(_candidates(_postings(found.select("row", "text", "salt"), context.broadcast(counts), words, percent), percent))
+        bundles = materialize(bundles.join(large.select(F.col("row").alias("node")), "node", "left_anti").unionByName(finer))
+
+
 def _groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Per row of the stored ``rows`` (row, a number of its own; doc_id; text): row, doc_id, n_shingles, component_id, n_links."""
+    with shuffles_freed(rows.sparkSession):
+        return _grouped(rows, words, percent)
+
+
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     profiles, counts = _profiles(rows, words)
     sets = ["s1", "s2", "n"]
     documents = profiles.filter("n > 0 and doc_id is not null").groupBy(*sets, "doc_id").agg(F.min("row").alias("row"))
@@ -266,19 +348,24 @@ def _groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     to_rep = members.filter("rep is not null").select("row", "rep")
     at_a, at_b = (to_rep.select(F.col("row").alias(x), F.col("rep").alias(f"{x}_rep")) for x in ("a", "b"))
     between = _candidates(postings, percent).join(at_a, "a").join(at_b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-    bundles = components(between)
+    bundles = _split(components(between), rows, words, percent)
 
     standing = members.filter("row = rep").select("row", "n", "copies")
-    placed = bundles.select(F.col("node").alias("row"), F.col("component").alias("bundle")).join(standing, "row")
+    placed = materialize(bundles.select(F.col("node").alias("row"), F.col("component").alias("bundle")).join(standing, "row"))
     blocks = placed.groupBy("bundle").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     placed = placed.join(materialize(blocks), "bundle").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    with_text = placed.join(rows.select("row", "text"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bundled = with_text.select(
+    shuffled, every = placed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0, profiles.agg(F.sum("n")).first()[0] or 0
+    steps = max(1, -(-shuffled // max(every, STEP_SHINGLES)))
+    with_text = _with_text(placed, rows)
+    with_text = with_text if steps == 1 else materialize(with_text)
+    dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bundled = dealt.select(
         "bundle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "copies", "text"
     )
-    verified = materialize(_verified(bundled, words, percent))
+    step = F.pmod(F.xxhash64("bundle", "i", "j"), F.lit(steps))
+    verified = materialize_each(_verified(bundled.filter(step == k) if steps > 1 else bundled, words, percent) for k in range(steps))
 
     # Rows of one doc_id with different sets hold their classes together.
     held = members.filter("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
@@ -323,7 +410,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         number += "_"
     numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()))
     row = F.col(number)
-    groups = _groups(numbered.select(row.alias("row"), row.alias("doc_id"), "text"), words, percent).select("row", "component_id")
+    groups = materialize(_groups(numbered.select(row.alias("row"), row.alias("doc_id"), "text"), words, percent).select("row", "component_id"))
     ids = numbered.select(row.alias("row"), "doc_id")
-    first = groups.join(ids, "row").groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias(number))
-    return numbered.join(first.select(number), number, "left_semi").drop(number)
+    first = groups.join(ids, "row").groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    dropped = materialize(groups.select("row").join(first.select("row"), "row", "left_anti")).withColumnRenamed("row", number)
+    told = _looked_for(numbered, dropped, number)
+    mistaken = materialize(told.filter("__likely").select(number).join(dropped, number, "left_anti"))
+    spared = told.filter("__likely").join(whole_if_small(mistaken), number, "left_semi")
+    return told.filter("NOT __likely").unionByName(spared).drop(number, "__likely")

@@ -22,7 +22,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_memo().__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     for m in _MIX:
         x = (x ^ (x >> _TURN)) * m
     return x ^ (x >> _TURN)
@@ -41,4 +41,4 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(n - size + 1, dtype=np.uint64)
     for k in range(size):
         total += hashes[k : n - size + 1 + k] * np.uint64(pow(factor, k + 1, 1 << 64))
-    return _mixed(total)
+    return mixed(total)

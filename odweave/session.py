@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from uuid import uuid4
 
@@ -62,7 +62,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs in here deletes its shuffle files as soon as its result is there, not when the driver collects its garbage."""
     before = spark.conf.get(_FREED_KEY, None)
     spark.conf.set(_FREED_KEY, "true")
     try:
@@ -82,11 +83,18 @@ def materialize_in_parts(df: DataFrame, by: Sequence[str], parts: int) -> DataFr
     row is shuffled in one.
     """
     part = F.pmod(F.xxhash64(*by), F.lit(parts))
-    path = scratch_path(df.sparkSession, f"stored/{uuid4().hex}")
-    with _shuffles_freed(df.sparkSession):
-        for i in range(parts):
-            df.filter(part == i).write.mode("append").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize_each(df.filter(part == i) for i in range(parts))
+
+
+def materialize_each(parts: Iterable[DataFrame]) -> DataFrame:
+    """The rows of one table or more with the same columns, stored one after another: the shuffle files of each go before the next begins."""
+    path = None
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        path = path or scratch_path(spark, f"stored/{uuid4().hex}")
+        with shuffles_freed(spark):
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
