@@ -94,7 +94,7 @@ _ORTHOGONAL = (
 
 
 #: Steps in which orders, lines and flags are joined: each shuffles its part of the orders only, and reads the tables once more.
-_PARTS = 4
+_PARTS = 2
 
 
 @query(

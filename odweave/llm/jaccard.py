@@ -82,21 +82,15 @@ def _profiles(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """Per row: row, doc_id, n, and two hashes of its set; and how many sets hold each slot's shingles. ``docs``: row, doc_id, text, perhaps salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, waiting = np.zeros(SLOTS, dtype=np.int64), [], 0
+        counts = np.zeros(SLOTS, dtype=np.uint32)
         names = ["row", "doc_id", "n", "s1", "s2", "chunk", "part", "counts"]
         for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             sets = _sets(batch, words)
-            held.append(_slots(np.concatenate(sets)))
-            waiting += len(held[-1])
-            if waiting > SLOTS:
-                counts += np.bincount(np.concatenate(held), minlength=SLOTS)
-                held, waiting = [], 0
+            np.add.at(counts, _slots(np.concatenate(sets)), np.uint32(1))
             n = pa.array([len(s) for s in sets], pa.int64())
             s1, s2 = (pa.array([f(s) for s in sets], pa.int64()) for f in (_sum_of, _mix_of))
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, s1, s2, none, none, pa.nulls(len(sets), pa.binary())], names)
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         used = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
         packed = [_narrow(counts[k * CHUNK : (k + 1) * CHUNK]) for k in used.tolist()]
         empty, part = pa.nulls(len(used), pa.int64()), [TaskContext.get().partitionId() // SUM_TASKS] * len(used)

@@ -9,6 +9,7 @@ Nothing here pairs all geometries: candidates always meet through an equi join o
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -137,8 +138,12 @@ def overlay(
 
 # off-centre, so that edges drawn on round coordinates do not run through a reference point
 _REFERENCE = (0.5132719, 0.4871543)
-#: Cells of its own level that a segment or a simple polygon spans at most.
+#: Cells of its own level that a segment spans at most.
 _ACROSS = 16
+#: Cells in which starts are told, on a side of the smallest cell in which segments meet: the smaller, the fewer edges they hold.
+_FINE = 4
+#: Cells of its own fill that a simple polygon spans at most; it takes no blocks of them.
+_FILLED = 32
 #: Levels are this many doublings apart: fewer levels mean fewer rows above a segment's own.
 _STEP = 2
 #: Cells of a grid column that make a block of the next size.
@@ -194,17 +199,22 @@ def _covered(df: DataFrame, ends: Sequence[str], level: str, cell: float, explod
 
 
 def segment_cover(
-    df: DataFrame, ends: Sequence[str], others: Column, cell: float, asks: int, meets: Sequence[int], explode: Callable[[Column], Column] = F.explode
+    df: DataFrame, ends: Sequence[str], others: Column | None, cell: float, asks: int, meets: Sequence[int],
+    explode: Callable[[Column], Column] = F.explode, also: Sequence[Column] = (),
 ) -> DataFrame:
     """A segment's cells ``cx, cy`` at its own level (column ``level``) and, above it, at the levels of the ``others``.
 
     ``slot`` is twice the cell's level plus a kind. Kinds make two covers meet once, at the higher of both levels: cells of a
     segment's own level carry the kinds ``meets``, those above it the kind ``asks``; the other side has them the other way round.
+    If the ``others`` have the lowest level only, none is above.
     """
     own = F.col("level")
     here = [F.struct(own.alias("at"), (own * 2 + kind).alias("slot")) for kind in meets]
+    if others is None:
+        at = F.array(*here, *also)
+        return _covered(df.select("*", F.inline(at)), ends, "at", cell, explode).drop("level", "at")
     above = F.transform(F.filter(others, lambda at: at > own), lambda at: F.struct(at.alias("at"), (at * 2 + asks).alias("slot")))
-    return _covered(df.select("*", F.inline(F.concat(F.array(*here), above))), ends, "at", cell, explode).drop("level", "at")
+    return _covered(df.select("*", F.inline(F.concat(F.array(*here, *also), above))), ends, "at", cell, explode).drop("level", "at")
 
 
 def _inside_blocks(shapes: DataFrame, cell: float, largest: int) -> list[DataFrame]:
@@ -248,7 +258,7 @@ def _fill_levels(shapes: DataFrame, geometry: str, cell: float) -> DataFrame:
     """Shapes with the level of their own fill and their extent in its cells: the more edges, the finer, so that a cell holds few."""
     box = bbox(geometry)
     extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
-    across = _ACROSS * F.ceil(F.sqrt(F.size(F.flatten(geometry)) / 4))
+    across = _FILLED * F.ceil(F.sqrt(F.size(F.flatten(geometry)) / 4))
     leveled = shapes.withColumn("level", F.coalesce(_level(extent, cell, across), F.lit(0)))
     return leveled.withColumn("__wide", extent / _size("level", cell))
 
@@ -264,7 +274,7 @@ def _full_and_split(shapes: DataFrame, near: DataFrame, cell: float) -> tuple[li
     one of them is inside. Second, the cells that edges enter (``near``) whose reference point lies inside.
     """
     widest = shapes.agg(F.max("__wide")).first()[0] or 1.0
-    largest = int(math.log(max(widest, 1.0), 2 * _BLOCK))
+    largest = int(math.log(max(widest * 2 * _BLOCK / _FILLED / 1.01, 1.0), 2 * _BLOCK))
     place = ["__shape", "__name", "level", "cx", "cy"]
     parts, full = _inside_blocks(shapes, cell, largest), []
     for k in range(largest, -1, -1):
@@ -315,6 +325,7 @@ def _segments(lines: DataFrame, keys: Sequence[str], line: str, cell: float, unl
 
 
 _ENDS = ["ax", "ay", "bx", "by"]
+_EDGE = ["ex", "ey", "fx", "fy"]
 
 
 @dataclass(frozen=True)
@@ -323,17 +334,41 @@ class _Shapes:
 
     lines: DataFrame
     edges: DataFrame  # by the cell and slot in which they meet segments
-    edge_levels: Column
-    fill_levels: Column
+    edge_levels: Column | None
+    fills: list[int]
     full: list[tuple[int, DataFrame]]  # blocks of cells in which every start is inside, by size
     by_cell: DataFrame  # edges that tell a start
 
+    @property
+    def fill_levels(self) -> Column:
+        return _levels(self.fills)
+
+
+def _above(levels: Iterable[int]) -> Column | None:
+    return _levels(levels) if any(k > 0 for k in levels) else None
+
+
+def _hidden(near: DataFrame, full: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Edges (``__name`` and ends) that lie in blocks of cells inside polygons of their own name alone.
+
+    A line that starts outside and comes to such an edge has come through the border of what the name covers before.
+    """
+    edge, told, parts = ["__name", *_EDGE], near.select("__name", *_EDGE, "level", "cx", "cy").distinct(), []
+    for k, blocks in full:
+        at = [F.col("__name"), F.col("level"), F.col("cx"), F.floor(F.col("cy") / _BLOCK**k)]
+        marked = blocks.select(F.struct("__name", "level", "cx", "cy").alias("__at"), F.lit(True).alias(f"__in{k}"))
+        told = told.join(marked, F.struct(*[c.alias(n) for c, n in zip(at, ("__name", "level", "cx", "cy"))]) == F.col("__at"), "left").drop("__at")
+        parts.append(F.coalesce(f"__in{k}", F.lit(False)))
+    covered = reduce(lambda a, b: a | b, parts)
+    return told.groupBy(*edge).agg(F.bool_and(covered).alias("__covered")).filter("__covered").select(*edge)
+
 
 def _shapes(
     lines: DataFrame, polygons: DataFrame, keys: Sequence[str], name: str, cell: float, line: str, geometry: str
 ) -> _Shapes:
     shapes = polygons.select(F.col(name).alias("__name"), F.col(geometry).alias("__poly")).distinct()
-    shapes = materialize(_fill_levels(shapes.withColumn("__shape", _shape_id("__poly")), "__poly", cell))
+    fine = cell / _FINE
+    shapes = materialize(_fill_levels(shapes.withColumn("__shape", _shape_id("__poly")), "__poly", fine))
     edges = shapes.select("__shape", "__name", F.col("level").alias("__fill"), bbox("__poly").alias("__box"), F.explode(polygon_edges("__poly")).alias("__e"))
     edges = edges.select("__shape", "__name", "__fill", "__box", *_flat("__e", "e", "f"))
     edges = edges.withColumn("level", _level(F.greatest(F.abs(F.expr("fx - ex")), F.abs(F.expr("fy - ey"))), cell))
@@ -341,35 +376,60 @@ def _shapes(
 
     spark = lines.sparkSession
     lines = lines.select(*keys, line)
-    held = _segments(lines, keys, line, cell).groupBy(F.spark_partition_id().alias("__at")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("level").alias("level")).collect()
-    if max((r["n"] for r in held), default=0) * spark.sparkContext.defaultParallelism > 2 * sum(r["n"] for r in held):
+    held = _segments(lines, keys, line, cell).groupBy(F.spark_partition_id().alias("__at"), "level").agg(F.count(F.lit(1)).alias("n")).collect()
+    tasks: Counter[int] = Counter()
+    for r in held:
+        tasks[r["__at"]] += r["n"]
+    if max(tasks.values(), default=0) * spark.sparkContext.defaultParallelism > 2 * tasks.total():
         # narrow rows, much work on each: few tasks hold most of them, so they are dealt out
         lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    ends = ["ex", "ey", "fx", "fy"]
-    right = segment_cover(edges.drop("__fill", "__shape", "__box"), ends, _levels({k for r in held for k in r["level"]}), cell, 0, [0, 1])
+    near = materialize(_covered(edges.drop("level"), _EDGE, "__fill", fine).withColumnRenamed("__fill", "level"))
+    full, inside = _full_and_split(shapes, near, fine)
+    border = edges.drop("__fill", "__shape", "__box").join(_hidden(near, full), ["__name", *_EDGE], "left_anti")
+    right = segment_cover(border, _EDGE, _above({r["level"] for r in held if r["level"] is not None}), cell, 0, [0, 1])
     right = materialize(right.withColumnsRenamed({c: f"e_{c}" for c in ("slot", "cx", "cy")}))
-    near = materialize(_covered(edges.drop("level"), ends, "__fill", cell).withColumnRenamed("__fill", "level"))
-    full, inside = _full_and_split(shapes, near, cell)
     other = {"level": "e_at", "cx": "e_cx", "cy": "e_cy"}
-    by_cell = materialize(_edges_by_cell(near, inside, cell).withColumnsRenamed(other))
-    return _Shapes(lines, right, _levels(known["level"]), _levels(known["fill"]), [(k, b.withColumnsRenamed(other)) for k, b in full], by_cell)
+    by_cell = materialize(_edges_by_cell(near, inside, fine).withColumnsRenamed(other))
+    return _Shapes(lines, right, _above(known["level"]), sorted(known["fill"]), [(k, b.withColumnsRenamed(other)) for k, b in full], by_cell)
+
+
+#: The slot in which every line meets the one edge that is no polygon's.
+_NOWHERE = -1
+
+
+def _extent(ends: Sequence[str], prefix: str) -> list[Column]:
+    """The box of a segment, so that it is not made anew for each edge that it meets in a cell."""
+    return [f(*ends[i::2]).alias(f"{prefix}__{c}{n}") for i, c in enumerate("xy") for n, f in enumerate((F.least, F.greatest))]
+
+
+def _same_cell() -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
+
+
+def _place(slot: Column, cx: Column, cy: Column) -> Column:
+    """A cell as one whole number: a join on it looks up faster than on three columns. Cells far apart may share it."""
+    left = lambda c, by: F.call_function("shiftleft", c.cast("bigint"), F.lit(by))
+    return left(cx, 32).bitwiseXOR(cy.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).bitwiseXOR(left(slot, 56))
+
+
+def _segments_touch() -> Column:
+    return segments_touch(*[F.col(c) for c in (*_ENDS, *_EDGE)])
 
 
 def _touches() -> Column:
-    same_cell = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"e_{c}") for c in ("slot", "cx", "cy")])
-    return same_cell & segments_touch(*[F.col(c) for c in (*_ENDS, "ex", "ey", "fx", "fy")])
+    return _same_cell() & _segments_touch()
 
 
 def _starts(lines: DataFrame, keys: Sequence[str], line: str, levels: Column, cell: float) -> DataFrame:
-    """The first vertex of each line, once per level, with its cell."""
+    """The first vertex of each line, once per level, with its cell, of those that tell starts."""
     start = F.get(line, F.lit(0))
     starts = lines.filter(F.size(line) > 0).select(*keys, start["x"].alias("px"), start["y"].alias("py"))
     return _start_cells(starts.withColumn("at", F.explode(levels)), cell)
 
 
 def _start_cells(starts: DataFrame, cell: float) -> DataFrame:
-    return starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell)) for c in "xy"})
+    return starts.withColumns({f"c{c}": F.floor(F.col(f"p{c}") / _size("at", cell / _FINE)) for c in "xy"})
 
 
 def _in_box(box: Column) -> Column:
@@ -441,10 +501,12 @@ def _met_bits(
     )
     for k, blocks in shapes.full:
         few = few.unionAll(blocks.select(F.lit(k).alias("e_k"), *at_cell[1:], bit.alias("__bit"), F.lit(None).cast(few.schema["__few"].dataType).alias("__few")))
-    cells = whole_if_small(materialize(few.groupBy(*at_cell).agg(F.bit_or("__bit").alias("__full"), F.collect_list("__few").alias("__few"))))
+    cells = few.groupBy(*at_cell).agg(F.bit_or("__bit").alias("__full"), F.collect_list("__few").alias("__few"))
+    # no edges of what the cell decides alone
+    left_over = F.filter("__few", lambda e: F.col("__full").bitwiseAND(e["bit"]) == 0)
+    cells = whole_if_small(materialize(cells.withColumn("__few", F.when(F.size(left_over) > 0, left_over))))
 
-    sizes = F.array(*[F.lit(k) for k, _ in shapes.full])
-    asks = F.flatten(F.transform(shapes.fill_levels, lambda at: F.transform(sizes, lambda k: F.struct(at.alias("at"), k.alias("k")))))
+    asks = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(k).alias("k")) for at in shapes.fills for k, _ in shapes.full]).cast("array<struct<at:int,k:int>>")
     start = F.get(line, F.lit(0))
     starts = shapes.lines.select(*keys, line, start["x"].alias("px"), start["y"].alias("py"), F.posexplode_outer(asks).alias("__no", "__ask"))
     starts = _start_cells(starts.select("*", "__ask.at", "__ask.k"), cell).withColumn("cy", F.floor(F.col("cy") / F.pow(F.lit(float(_BLOCK)), F.col("k"))))
@@ -454,13 +516,21 @@ def _met_bits(
         news = (met.bitwiseAND(s["bit"]) == 0) & _in_box(s["box"]) & _switched(s["odd"], s["edges"], s["rx"], s["ry"])
         return F.when(news, met.bitwiseOR(s["bit"])).otherwise(met)
 
-    known = starts.join(cells, here, "left").withColumn("__met", F.coalesce(F.aggregate("__few", F.col("__full"), add), nothing))
+    known = starts.join(cells, here, "left").withColumn("__met", F.coalesce(F.when(F.col("__few").isNotNull(), F.aggregate("__few", F.col("__full"), add)).otherwise(F.col("__full")), nothing))
     owner = [*keys, "__met"]
     segments = _segments(known, owner, line, cell, unless=(F.col("__met") == everything) | (F.col("__no") > 0))
-    left = segment_cover(segments, _ENDS, shapes.edge_levels, cell, 1, [0], F.explode_outer)
-    edges = whole_if_small(materialize(shapes.edges.select(*[c for c in shapes.edges.columns if c != "__name"], bit.alias("__bit"))))
-    touched = left.join(edges, _touches() & (F.col("__met").bitwiseAND(F.col("__bit")) == 0), "left")
-    met = touched.select(*keys, F.col("__met").bitwiseOR(F.coalesce("__bit", nothing)).alias("__met"))
+    # each segment also asks in a place of its own, where an edge of no polygon answers with no bit: every key is there, misses are not
+    nowhere = F.struct(F.lit(None).cast("int").alias("at"), F.lit(_NOWHERE).alias("slot"))
+    left = segment_cover(segments, _ENDS, shapes.edge_levels, cell, 1, [0], F.explode_outer, [nowhere])
+    left = left.select(*owner, *_ENDS, *_extent(_ENDS, ""), _place(F.coalesce("slot", F.lit(_NOWHERE)), *[F.coalesce(c, F.lit(0)) for c in ("cx", "cy")]).alias("__at"))
+    edges = shapes.edges.select(*_EDGE, *_extent(_EDGE, "e_"), _place(F.col("e_slot"), F.col("e_cx"), F.col("e_cy")).alias("e_at"), bit.alias("__bit"))
+    none = lines.sparkSession.range(1).select(*[F.lit(None).cast("double")] * (len(edges.columns) - 2), _place(F.lit(_NOWHERE), F.lit(0), F.lit(0)), nothing)
+    edges = whole_if_small(materialize(edges.unionAll(none)))
+    near = [F.col(f"__{c}0") <= F.col(f"e___{c}1") for c in "xy"] + [F.col(f"e___{c}0") <= F.col(f"__{c}1") for c in "xy"]
+    news = reduce(lambda a, b: a & b, [F.col("__met").bitwiseAND(F.col("__bit")) == 0, *near]) & _segments_touch()
+    # two that share a number, but no cell, touch or they do not: the number only finds them
+    touched = left.join(edges, (F.col("__at") == F.col("e_at")) & ((F.col("__bit") == nothing) | news))
+    met = touched.select(*keys, F.col("__met").bitwiseOR(F.col("__bit")).alias("__met"))
     votes = _by_votes(shapes, keys, cell, line)
     if votes is not None:
         met = met.unionAll(votes.select(*keys, bit.alias("__met")))
